@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_centroid, lattice_lm, odd_sketch, piece_bpe, pivotal_mix, token_transducer, url_cascade
+from . import hnsw_dedup, lang_centroid, lattice_lm, odd_sketch, permutation_index, piece_bpe, pivotal_mix, token_transducer, url_cascade
 from .common import fold_of, read
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -33,6 +37,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_centroid.identify(docs.select("doc_id", held, "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return lattice_lm.score(docs, fold_of("doc_id", 7) != 2, vocabulary("piece_bpe_32k.model"))
@@ -52,7 +60,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_source_mix, op5_language, op7_lm_score, op8_near_duplicates, op9_token_count, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_permutation_search, op2_url_filter, op3_source_mix, op5_language, op6_vector_duplicates, op7_lm_score, op8_near_duplicates, op9_token_count, op10_piece_codec)}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw_dedup, lang_centroid, lattice_lm, odd_sketch, permutation_index, piece_bpe, pivotal_mix, token_transducer, url_cascade
+from . import hnsw_dedup, html_wrapper, lang_centroid, lattice_lm, odd_sketch, permutation_index, piece_bpe, pivotal_mix, token_transducer, url_cascade
 from .common import fold_of, read
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -30,6 +30,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, ceiling=2.0)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = lang_centroid.fit(docs, fold_of("doc_id", 3) != 1)
@@ -60,7 +64,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_search, op2_url_filter, op3_source_mix, op5_language, op6_vector_duplicates, op7_lm_score, op8_near_duplicates, op9_token_count, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_permutation_search, op2_url_filter, op3_source_mix, op4_main_text, op5_language, op6_vector_duplicates, op7_lm_score, op8_near_duplicates, op9_token_count, op10_piece_codec)}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import plain_number
+from .text import let, plain_number
 
 EXACT, CORRECTED, AMBIGUOUS, ILLEGAL = "Exact", "Corrected", "Ambiguous", "NotARoll"
 
@@ -42,9 +42,12 @@ def confusion_candidates(value: Column, table: Column, pairs: Sequence[tuple[str
     """
     both = sorted({(a, b) for a, b in pairs} | {(b, a) for a, b in pairs})
     text = plain_number(value)
-    n = F.length(text)
-    swapped = [F.transform(F.sequence(F.lit(1), n), lambda i, a=a, b=b: F.when(F.substr(text, i, F.lit(1)) == a, F.concat(F.substr(text, F.lit(1), i - 1), F.lit(b), F.substr(text, i + 1, n)))) for a, b in both]
-    texts = F.concat(*swapped) if swapped else F.array().cast("array<string>")
+
+    def swapped(t: Column, a: str, b: str) -> Column:
+        swap = lambda i: F.when(F.substr(t, i, F.lit(1)) == a, F.concat(F.substr(t, F.lit(1), i - 1), F.lit(b), F.substr(t, i + 1, F.length(t))))
+        return F.transform(F.sequence(F.lit(1), F.length(t)), swap)
+
+    texts = let(text, lambda t: F.concat(*(swapped(t, a, b) for a, b in both))) if both else F.array().cast("array<string>")
     numbers = F.transform(texts, lambda t: t.try_cast("float"))
     shifted = F.when(percent, F.array(f32(f32(value) * f32(10)), f32(f32(value) / f32(10)))).otherwise(F.array().cast("array<float>"))
     legal = F.transform(F.concat(numbers, shifted), lambda v: exact_value(v, table))

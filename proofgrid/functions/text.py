@@ -6,7 +6,7 @@ All are built-in functions, so they stay in whole-stage code generation. Rule ta
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 NOTHING = F.lit(None)
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     """Null, empty or only white space."""
     return F.coalesce(F.regexp_replace(c, r"(?U)\s+", "") == "", F.lit(True))
@@ -72,7 +77,7 @@ def recover_percent(v: Column, most: float = 50.0, steps: int = 6) -> Column:
     """Percent values that lost their decimal point: divided by ten until they are not above most."""
     out = v
     for _ in range(steps):
-        out = F.when(out > most, (out / F.lit(10)).cast("float")).otherwise(out)
+        out = let(out, lambda x: F.when(x > most, (x / F.lit(10)).cast("float")).otherwise(x))
     return out
 
 
@@ -83,21 +88,26 @@ def parse_line(c: Column, aliases: Sequence[tuple[str, str]], percent_of: dict[s
     matches. percent_of maps a flat key to its percent twin, taken when the value has a
     percent sign; values of percent_keys above 50 are scaled down by tens.
     """
-    line = repair_artifacts(c)
     pattern = r"^(.+?)\s+([\d,]+\.?\d*)\s*(%?)$"
-    label, raw, sign = (F.regexp_extract(line, pattern, k) for k in (1, 2, 3))
-    value = F.regexp_replace(raw, ",", "").try_cast("float")
     drop = lambda t: F.regexp_replace(t, r"\s+\S+$", "")
-    labels = [F.trim(label)]
-    for _ in range(2):
-        labels.append(drop(labels[-1]))
-    key = F.coalesce(*(match_label(x, aliases) for x in labels))
-    twin = F.coalesce(*(F.when(key == a, F.lit(b)) for a, b in percent_of.items()), key) if percent_of else key
-    key = F.when(sign == "%", twin).otherwise(key)
-    is_percent = key.isin(list(percent_keys)) | (sign == "%")
-    value = F.when(is_percent, recover_percent(value)).otherwise(value)
-    ok = line.rlike(pattern) & key.isNotNull() & value.isNotNull()
-    return F.when(ok, F.struct(key.alias("key"), value.cast("float").alias("value"), label.alias("raw_label"), F.concat(raw, sign).alias("raw_value")))
+
+    def keyed(line: Column) -> Column:
+        label = F.regexp_extract(line, pattern, 1)
+        key = F.coalesce(let(F.trim(label), lambda t: match_label(t, aliases)), let(drop(F.trim(label)), lambda t: match_label(t, aliases)), let(drop(drop(F.trim(label))), lambda t: match_label(t, aliases)))
+        value = F.regexp_replace(F.regexp_extract(line, pattern, 2), ",", "").try_cast("float")
+        return F.struct(label.alias("label"), key.alias("key"), value.alias("value"), F.regexp_extract(line, pattern, 2).alias("raw"), F.regexp_extract(line, pattern, 3).alias("sign"), line.rlike(pattern).alias("ok"))
+
+    def finished(p: Column) -> Column:
+        twin = F.coalesce(*(F.when(p["key"] == a, F.lit(b)) for a, b in percent_of.items()), p["key"])
+        return let(F.when(p["sign"] == "%", twin).otherwise(p["key"]), lambda key: valued(p, key))
+
+    def valued(p: Column, key: Column) -> Column:
+        scaled = let(p["value"], lambda v: recover_percent(v))
+        value = F.when(key.isin(list(percent_keys)) | (p["sign"] == "%"), scaled).otherwise(p["value"])
+        ok = p["ok"] & key.isNotNull() & p["value"].isNotNull()
+        return F.when(ok, F.struct(key.alias("key"), value.cast("float").alias("value"), p["label"].alias("raw_label"), F.concat(p["raw"], p["sign"]).alias("raw_value")))
+
+    return let(repair_artifacts(c), lambda line: let(keyed(line), finished))
 
 
 def parse_columns(labels: Column, values: Column, aliases: Sequence[tuple[str, str]], skip: str = "echo skill") -> Column:
@@ -194,7 +204,7 @@ def to_number(c: Column, kind: str, default: float | int | None = None) -> Colum
 
 def plain_number(c: Column, places: int = 5) -> Column:
     """A number with up to places decimals and no trailing zeros (TX18)."""
-    return F.format_number(c.cast("double"), "0." + "#" * places)
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "#" * places))
 
 
 def same_text(a: Column, b: Column, ignore_case: bool = False) -> Column:

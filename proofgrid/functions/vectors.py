@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def mean(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
@@ -12,10 +14,10 @@ def mean(v: Column) -> Column:
 
 def standardize(v: Column, most: float = 2.0) -> Column:
     """Zero mean, unit population deviation (1 where it is 0), clipped to +-most (VS1)."""
-    v = F.transform(v, lambda x: x.cast("double"))
-    m = mean(v)
-    sd = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v))
-    return F.transform(v, lambda x: F.greatest(F.lit(-most), F.least(F.lit(most), (x - m) / F.when(sd == 0, 1.0).otherwise(sd))))
+    spread = lambda v, m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v))
+    clip = lambda z: F.greatest(F.lit(-most), F.least(F.lit(most), z))
+    scaled = lambda v, m, sd: F.transform(v, lambda x: clip((x - m) / F.when(sd == 0, 1.0).otherwise(sd)))
+    return let(v.cast("array<double>"), lambda v: let(mean(v), lambda m: let(spread(v, m), lambda sd: scaled(v, m, sd))))
 
 
 def l1_score(a: Column, b: Column) -> Column:

@@ -46,7 +46,7 @@ def match(queries: DataFrame, catalog: DataFrame, key: str, text: str, name: str
     """
     q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)).withColumn("query", normalize_identity(F.coalesce(F.col(f"q_{text}"), F.lit(""))))
     c = catalog.select(*(F.col(x).alias(f"c_{x}") for x in catalog.columns)).withColumn("norm", normalize_identity(F.col(f"c_{name}"))).where("norm <> ''")
-    c = small(c)
+    c = small(c if pool is not None else c.select(F.col(f"c_{name}"), "norm").distinct())
     k = f"q_{key}"
     within = F.lit(True) if pool is None else pool
     exact = q.join(c, (F.col("query") == F.col("norm")) & within).groupBy(k).agg(F.min(f"c_{name}").alias("entry"))

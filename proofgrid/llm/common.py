@@ -1,11 +1,7 @@
-"""Shared plumbing of the training-data operators: scratch tables, Arrow maps, words."""
+"""Shared plumbing of the training-data operators: Arrow maps, words, folds."""
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,24 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: A word is a maximal run of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..storage import scratch_root, stage
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "proofgrid-scratch")
-    return root.rstrip("/")
+__all__ = ["WORD", "fold_of", "map_arrow", "read", "scratch_root", "stage", "words_of"]
 
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{re.sub(r'[^a-z0-9]+', '-', label.lower())}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a maximal run of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict | pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:

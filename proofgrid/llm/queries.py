@@ -47,7 +47,7 @@ def op6_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return lattice_lm.score(docs, fold_of("doc_id", 7) != 2, vocabulary("piece_bpe_32k.model"))
+    return lattice_lm.score(docs, fold_of("doc_id", 7) != 2, vocabulary("piece_bpe_32k.model"), class_col="lang")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NOTHING = F.lit(None)
-
 
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
     """f(c) with c computed once, however often f uses it."""
@@ -70,7 +68,7 @@ def repair_artifacts(c: Column) -> Column:
 def match_label(c: Column, aliases: Sequence[tuple[str, str]]) -> Column:
     """The key of the first alias (key, pattern), in order, whose pattern is found ignoring case (TX2)."""
     found = [F.when(c.rlike(f"(?i){pattern}"), F.lit(key)) for key, pattern in aliases]
-    return F.coalesce(*found) if found else NOTHING.cast("string")
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 def recover_percent(v: Column, most: float = 50.0, steps: int = 6) -> Column:

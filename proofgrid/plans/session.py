@@ -68,7 +68,7 @@ def recognise(reads: DataFrame, lines: DataFrame, catalog: DataFrame, r: Rules)
         NameContradictsEvidence=F.col("widened"), LevelUnparsed=F.col("level").isNull(), CostNameMismatch=F.col("cost") != F.col("_c"), SlotCollision=F.col("collided"),
         AmbiguousRoll=state("Ambiguous"), NotARoll=state("NotARoll"), SubstatShort=count < wanted, SubstatExcess=count > wanted,
     )
-    out = out.withColumn("cost", F.coalesce("cost", "_c")).drop("_c").withColumn("flags", flags).withColumn("name", F.when(F.col("variant") & F.col("name").isNotNull(), F.concat(F.lit("Phantom: "), "name")).otherwise(F.col("name")))
+    out = out.withColumn("flags", flags).withColumn("cost", F.coalesce("cost", "_c")).drop("_c").withColumn("name", F.when(F.col("variant") & F.col("name").isNotNull(), F.concat(F.lit("Phantom: "), "name")).otherwise(F.col("name")))
     review = gate.needs_review(F.array().cast("array<string>"), [F.col("name"), F.col("main")], F.col("flags"), count, wanted, [F.col("name_score"), F.col("level_confidence")], F.transform("substats", lambda s: s["confidence"]))
     return out.withColumn("needs_review", review)
 

@@ -35,7 +35,7 @@ LINKS, BUILD_BEAM = 16, 48
 #: Shards at least; rows of a shard and queries of a task at most.
 SHARDS, SHARD_ROWS, TASK_QUERIES = 8, 65_536, 16_384
 #: First beam, queries audited in a task at least, recall that passes.
-BEAM, AUDIT, PASS = 32, 256, 0.999
+BEAM, AUDIT, PASS = 64, 256, 0.9995
 BATCH = 256
 
 
@@ -148,6 +148,23 @@ class Layer:
                 self.to[n[p]] = self._choose(np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1))
 
 
+    def reconnect(self, least: int = 3) -> None:
+        """Places for links to members that fewer than ``least`` others kept a link to, at their own nearest links."""
+        m = self.members
+        came = np.bincount(self.to[m][self.to[m] >= 0], minlength=len(self.x))
+        extra: dict[int, list[int]] = {}
+        for i in m[came[m] < least].tolist():
+            near = self.to[i][self.to[i] >= 0]
+            near = [t for t in near[np.argsort(-(self.x[near] @ self.x[i]), kind="stable")].tolist() if i not in self.to[t]]
+            for t in sorted(near, key=lambda t: len(extra.get(t, ())))[: least - int(came[i])]:
+                extra.setdefault(t, []).append(i)
+        if extra:
+            more = np.full((len(self.x), max(map(len, extra.values()))), -1, np.int32)
+            for t, new in extra.items():
+                more[t, : len(new)] = new
+            self.to = np.concatenate([self.to, more], axis=1)
+
+
 class Graph:
     """The layers over one shard's unit vectors."""
 
@@ -178,6 +195,8 @@ class Graph:
                 elif rise.any():
                     layer.insert(batch[rise], None, BUILD_BEAM)
             at += len(batch)
+        for layer in graph.layers:
+            layer.reconnect()
         return graph
 
     def range_search(self, q: np.ndarray, width: int, least: float) -> list[np.ndarray]:
@@ -227,7 +246,11 @@ def _load(table: pa.Table) -> tuple[np.ndarray, Graph]:
     graph.layers[0].to = matrix(table["base"]).astype(np.int32)
     for i, (lv, links) in enumerate(zip(graph.level, table["upper"])):
         for k in range(lv):
-            graph.layers[k + 1].to[i] = links[k].as_py()
+            to = links[k].as_py()
+            layer = graph.layers[k + 1]
+            if len(to) > layer.to.shape[1]:
+                layer.to = np.pad(layer.to, ((0, 0), (0, len(to) - layer.to.shape[1])), constant_values=-1)
+            layer.to[i, : len(to)] = to
     for k, layer in enumerate(graph.layers):
         layer.members = np.flatnonzero(graph.level >= k)
     return ints(table["id"]), graph

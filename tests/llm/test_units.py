@@ -1,0 +1,155 @@
+"""The operators' kernels against the libraries and brute force, without Spark."""
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from proofgrid.llm import hnsw_dedup, html_wrapper, lang_centroid, odd_sketch, permutation_index, piece_bpe, pivotal_mix, token_transducer, url_cascade
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+ALPHABET = "abeinrst  \n▁éß中🙂'.0123THEΣ<>x\t\x00​"
+
+
+def samples(seed, n, size=40, alphabet=ALPHABET):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, size))) for _ in range(n)]
+
+
+def test_piece_codec_is_exact():
+    own, library = piece_bpe.codec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["", " ", "▁a", "x" * 3000, "\n\n", *(" " * k + "the" + " " * k for k in range(40)), *samples(1, 3000), *samples(2, 500, 60, "abcdefghilmnoprstu")]
+    texts += [library.id_to_piece(i) for i in range(1, 32000, 61)]
+    for t in texts:
+        want = library.encode(t, add_bos=True, add_eos=True)
+        got = own.encode(t)
+        assert np.frombuffer(got, "<u4").tolist() == want, t
+        assert own.decode(got) == library.decode(want), t
+
+
+def test_decoding_of_broken_bytes():
+    own, library = piece_bpe.codec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(3)
+    for _ in range(300):
+        ids = [rng.choice([rng.randrange(3, 259), rng.randrange(259, 32000)]) for _ in range(6)]
+        first = [1, 262, *ids]
+        assert own.decode(np.array(first, "<u4").tobytes()) == library.decode(first)
+
+
+def test_token_counts_are_exact():
+    own, library = token_transducer.transducer(WORDS), Tokenizer.from_file(WORDS)
+    texts = [*samples(4, 3000), *(t + "<|endoftext|>" + t for t in samples(5, 200)), *samples(6, 500, 60, "abcdefghilmnoprstu"), "I'll don't we've he's", "ꟋꟜ"]
+    for t in texts:
+        want = len(library.encode(t, add_special_tokens=False).ids)
+        assert own.count(t) == want, t
+        assert own.count(t, chunk=5) == want, t
+    assert own.count(None) == 0
+
+
+def test_prefix_scan_gives_every_prefix():
+    own = token_transducer.transducer(WORDS)
+    text = "some words, and others; " * 20
+    maps = [own.chunk_map(text[i : i + 7]) for i in range(0, len(text), 7)]
+    for k, m in enumerate(token_transducer.prefix_scan(maps, own)):
+        assert m.close(own) == own.count(text[: 7 * (k + 1)])
+
+
+def test_shingles_and_sketches():
+    assert len(odd_sketch.shingles("a b a b a", 2)) == 2 and len(odd_sketch.shingles("one", 2)) == 1 and not len(odd_sketch.shingles(" \n", 2))
+    assert (odd_sketch.shingles("A b", 2) == odd_sketch.shingles("a\tB", 2)).all()
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    far = []
+    for _ in range(200):
+        other = base.copy()
+        other[:44] = rng.integers(0, 1 << 62, 44)  # similarity 356 / 444 = 0.80
+        a, b = (odd_sketch.sketch(odd_sketch.minhash(x, odd_sketch.BANDS * odd_sketch.ROWS)) for x in (base, other))
+        far.append(int(np.bitwise_count(a ^ b).sum()))
+    assert max(far) <= odd_sketch.sketch_limit(80)
+    a, b = (odd_sketch.sketch(odd_sketch.minhash(rng.integers(0, 1 << 62, 400).astype(np.uint64), 180)) for _ in range(2))
+    assert int(np.bitwise_count(a ^ b).sum()) > odd_sketch.sketch_limit(80)
+
+
+def test_settling_keeps_words_and_rounds():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        size, p = rng.integers(1, 500, n), rng.random(n)
+        mass = float((size * p).sum())
+        ids = np.arange(n)
+        held = pivotal_mix.settle(ids, size, p, 7)
+        assert ((p == 0) | (p == 1) | (np.arange(n) == held)).all() and abs(float((size * p).sum()) - mass) < 1e-3
+
+
+def test_settling_keeps_expectations():
+    total = np.zeros(6)
+    for seed in range(3000):
+        p = np.array([0.2, 0.7, 0.5, 0.4, 0.9, 0.3])
+        held = pivotal_mix.settle(np.arange(6), np.array([50, 40, 30, 20, 10, 5]), p, seed)
+        total += p
+        assert held < 0 or 0 < p[held] < 1
+    assert np.abs(total / 3000 - [0.2, 0.7, 0.5, 0.4, 0.9, 0.3]).max() < 0.05
+
+
+def test_cascade_levels_are_exact():
+    rng = np.random.default_rng(2)
+    listed = rng.integers(-(1 << 62), 1 << 62, 500)
+    level = url_cascade.Level.of(listed, 0.01, 0)
+    assert level.holds(listed, 0).all()
+    assert url_cascade.Level.of(listed, 0.01, 0).holds(rng.integers(-(1 << 62), 1 << 62, 5000), 0).mean() < 0.05
+    assert not url_cascade.Cascade().listed(listed).any()
+
+
+def test_wrappers():
+    page = lambda k, extra="": f"<html><head><title>t</title><script>var a='<p>';</script></head><body><nav><ul><li>a{k}</li><li>b</li></ul></nav>{extra}<article><h1>Title {k}</h1><p>One &amp; <b>two</b>\n three<p>four {k}<br>five<section class=comments><p>me too</p></section></article><footer>f</footer>"
+    whole = None
+    for k in range(5):
+        e = html_wrapper.fold(html_wrapper.read_page(page(k, "<div class='cookie-notice'><p>take care</p></div>" if k % 2 else "")))
+        whole = e if whole is None else html_wrapper.align(whole, e)
+    w = html_wrapper.Wrapper(whole)
+    for k in range(5):
+        assert w.texts(html_wrapper.read_page(page(k))) == [f"Title {k}", "One & two three", f"four {k} five"]
+    assert html_wrapper.Wrapper(html_wrapper.fold(html_wrapper.read_page(None))).texts(html_wrapper.read_page("")) == []
+    plain = html_wrapper.fold(html_wrapper.read_page("<div class=menu>x</div><p>some running text here</p><form>y</form>"))
+    assert html_wrapper.Wrapper(plain).texts(html_wrapper.read_page("<div class=menu>x</div><p>some running text here</p><form>y</form>")) == ["some running text here"]
+    deep = "<div>" * 5000 + "x"
+    assert html_wrapper.read_page(deep)
+
+
+def test_inverted_files_give_footrule():
+    rng = np.random.default_rng(3)
+    lists = np.array([rng.permutation(12)[:5] for _ in range(40)])
+    files = permutation_index.InvertedFiles(lists, 12)
+    for q in lists[:10]:
+        want = []
+        for x in lists:
+            place = lambda v, p: list(v).index(p) if p in v else 5
+            want.append(sum(abs(place(q, p) - place(x, p)) for p in range(12)))
+        assert files.footrule(q).tolist() == want
+
+
+def test_graphs_find_all_near_vectors():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x[700:1000] = x[0] + 0.05 * rng.normal(size=(300, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    order = rng.permutation(len(x))
+    graph = hnsw_dedup.Graph.build(x[order])
+    hits = hnsw_dedup.audited_search(graph, x, np.arange(0, 1500, 10), 0.9)
+    missed = wanted = 0
+    for h, s in zip(hits, x @ x[order].T):
+        truth = set(np.flatnonzero(s >= 0.9))
+        assert set(h) <= truth
+        missed, wanted = missed + len(truth - set(h)), wanted + len(truth)
+    assert missed <= 0.0005 * wanted
+
+
+def test_ngram_counts():
+    assert (lang_centroid.ngram_counts("ab, AB!") == lang_centroid.ngram_counts("ab ab")).all()
+    assert lang_centroid.ngram_counts(None).sum() == lang_centroid.ngram_counts("").sum()
+    with pytest.raises(ValueError):
+        token_transducer.CountingTransducer(public_tokenizers.path("byte_bpe_50k.json"))

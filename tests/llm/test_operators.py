@@ -1,0 +1,244 @@
+"""The operators on small hostile tables: nulls, empty and long texts, ties, repeats, no rows, clashing columns."""
+
+import hashlib
+import math
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from proofgrid.llm import hnsw_dedup, html_wrapper, lang_centroid, lattice_lm, odd_sketch, permutation_index, piece_bpe, pivotal_mix, token_transducer, url_cascade
+from proofgrid.llm.graph import connected_components
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, rank int"
+
+
+def docs(spark, texts, lang="en", source="s"):
+    return spark.createDataFrame([(i, t, lang, source, len(t or ""), "clash", "clash", 0) for i, t in enumerate(texts)], DOCS)
+
+
+HOSTILE = [None, "", "   ", "one", "same words here again and again", "same words here again and again", "é" * 50_000, "word " * 30_000, "a\nb\tc", "12 34 !!"]
+
+
+def test_piece_codec(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = piece_bpe.encode(docs(spark, HOSTILE), PIECES, decoded=True)
+    assert "lang" in got.columns and got.columns.count("ids") == 1
+    for r in got.collect():
+        want = library.encode(HOSTILE[r["doc_id"]] or "", add_bos=True, add_eos=True)
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["n_tokens"] == len(want) and r["decoded"] == library.decode(want)
+    again = piece_bpe.decode(got.drop("decoded"), PIECES)
+    assert {r["doc_id"]: r["decoded"] for r in again.collect()} == {r["doc_id"]: r["decoded"] for r in got.collect()}
+    assert piece_bpe.encode(docs(spark, []), PIECES).count() == 0
+
+
+def test_token_counts(spark):
+    library = Tokenizer.from_file(WORDS)
+    got = token_transducer.count_tokens(docs(spark, HOSTILE), WORDS, limit=2048).collect()
+    for r in got:
+        t = HOSTILE[r["doc_id"]] or ""
+        want = len(library.encode(t, add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), want, want > 2048)
+    assert len(got) == len(HOSTILE) and token_transducer.count_tokens(docs(spark, []), WORDS).count() == 0
+
+
+def brute_components(texts, width, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        k = min(width, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    part = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= percent * len(a | b):
+                    part[i] = part[j] = min(part[i], part[j])
+    return sets, part
+
+
+def test_near_duplicates(spark):
+    rng = np.random.default_rng(0)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocabulary, 120).tolist() for _ in range(6)]
+    texts = list(HOSTILE)
+    for b in base:
+        for k in range(14):
+            t = list(b)
+            for at in rng.integers(0, 120, k):
+                t[at] = f"x{rng.integers(0, 1000)}"
+            texts.append(" ".join(t))
+        texts.append(" ".join(b).upper())
+    for width in (2, 5):
+        sets, want = brute_components(texts, width, 80)
+        got = odd_sketch.near_duplicates(docs(spark, texts), width=width, percent=80).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(s), c, i == c) for i, (s, c) in enumerate(zip(sets, want))}
+        assert len(got) == len(texts)
+    assert odd_sketch.near_duplicates(docs(spark, [])).count() == 0
+    assert [r["component_id"] for r in odd_sketch.near_duplicates(docs(spark, [None])).collect()] == [0]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r["v"]: r["component"] for r in connected_components(df, "a", "b").collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {k: 100 for k in range(101, 140)}
+
+
+def test_mix(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 90)), None if i % 5 == 0 else f"s{i % 4}") for i in range(900)] + [(900, None, "s1"), (901, " ", "s9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(map(tuple, pivotal_mix.mix(df.repartition(n)).collect()), key=repr) for n in (1, 5))
+    assert a == b and len(a) == len(rows)
+    size = {s: sum(r[2] for r in a if r[1] == s) for s in {r[1] for r in a}}
+    goal = {r[1]: r[4] for r in a}
+    assert all(r[3] == size[r[1]] and r[6] in (r[2] * r[5],) and 0 <= r[6] <= 2 * r[2] for r in a)
+    assert sum(goal.values()) == pytest.approx(min(1.5 * sum(size.values()), 2 * sum(size.values())))
+    for s in size:
+        assert abs(sum(r[6] for r in a if r[1] == s) - goal[s]) <= 90 and goal[s] <= 2 * size[s] + 1e-6
+    assert pivotal_mix.mix(df.limit(0)).count() == 0
+    assert pivotal_mix.repeated(df, pivotal_mix.mix(df)).count() == sum(r[5] for r in a)
+
+
+def test_urls(spark):
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    urls = ["http://A.Example.NET/en/x?q", "https://x.net", "http://x.net/", "x.org/fr/", None, "", "ftp://org/fr/1", "http://notexample.com/de/", "http://example.com/de/#a", "http://b.example.com/de/"] + [f"http://h{i}.net/p{i}" for i in range(300)]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    got = {r["page_id"]: r for r in url_cascade.judge(df, rules).collect()}
+    assert [got[i]["rule"] for i in range(10)] == ["example.net/en/", None, "net/", None, None, None, "org/fr/", None, "example.com/de/", "example.com/de/"]
+    assert got[0]["host"] == "a.example.net" and got[0]["path"] == "/en/x" and got[4]["host"] == "" and got[1]["verdict"] == "allow"
+    assert all(got[i]["rule"] == "net/" and got[i]["verdict"] == "block" for i in range(10, 310))
+    assert url_cascade.judge(df.limit(0), rules).count() == 0 and {r["verdict"] for r in url_cascade.judge(df, {}).collect()} == {"allow"}
+
+
+def test_pages(spark):
+    page = "<body><nav>menu</nav><article><h1>T</h1><p>main {}</p></article><footer>f</footer>"
+    rows = [(i, f"http://h{i % 3}.org/{i}", page.format(i), "clash") for i in range(20)] + [(20, None, None, ""), (21, "x", "", ""), (22, "http://h0.org/z", "<p>" + "x " * 100_000, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r for r in html_wrapper.extract(df).collect()}
+    assert all(got[i]["text"] == f"T\n\nmain {i}" and got[i]["n_chars"] == len(got[i]["text"]) for i in range(20)) and got[20]["text"] == got[21]["text"] == "" and len(got) == 23
+    assert html_wrapper.extract(df.limit(0)).count() == 0
+
+
+def test_language(spark):
+    words = {"aa": "ab ba aba bab abab", "bb": "xy yx xyx yxy xyxy", "cc": "ño ñañ oñ ñoo"}
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(words[k].split(), 30)), k) for i in range(300) for k in [["aa", "bb", "cc"][i % 3]]] + [(300, None, "aa"), (301, "12 !", "bb"), (302, "", None), (303, "ab " * 40_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    got = {r["doc_id"]: r for r in lang_centroid.identify(df, lang_centroid.fit(df, F.col("doc_id") % 3 < 3)).collect()}
+    assert all(got[i]["lang_pred"] == k and 0 <= got[i]["score"] <= 1 and not got[i]["rejected"] for i, _, k in rows[:300])
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and got[i]["rejected"] for i in (300, 301, 302)) and got[303]["lang_pred"] == "aa"
+    assert lang_centroid.fit(df.limit(0), F.lit(True)) is None
+    assert {r["lang_pred"] for r in lang_centroid.identify(df, None).collect()} == {"und"}
+
+
+def brute_word(piece, first, stop, word):
+    """The sum over all segmentations, by plain recursion."""
+    text = "▁" + word
+    memo = {len(text): stop}
+    for i in range(len(text) - 1, -1, -1):
+        memo[i] = sum(p * memo[j] for j in range(i + 1, len(text) + 1) if (p := piece.get(text[i:j])) is not None)
+    return memo[0]
+
+
+def test_lattice_sums_all_segmentations():
+    lat = lattice_lm.lattice(PIECES)
+    w = lat.initial()[:, None]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    piece = {library.id_to_piece(i): math.exp(w[i, 0]) for i in range(259, 32000)}
+    for word in ("the", "theation", "xq", "straße", "a.b"):
+        assert lat.log_probs([word], w)[0, 0] == pytest.approx(math.log(brute_word(piece, None, math.exp(w[-1, 0]), word)), abs=1e-6)
+    assert np.isfinite(lat.log_probs(["\x01中🙂", "a" * 3000], w)).all()
+
+
+def test_scores(spark):
+    texts = ["the cat sat", "the dog sat", None, "", "The CAT", "zebra the", "x" * 20_000]
+    df = docs(spark, texts)
+    got = {r["doc_id"]: r for r in lattice_lm.score(df, F.col("doc_id") % 7 != 5, PIECES, class_col="lang", heavy=2).collect()}
+    train = [(t or "").lower().split() for i, t in enumerate(texts) if i != 5]
+    counts = {}
+    for t in train:
+        for x in [*t, None]:
+            counts[x] = counts.get(x, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    for i, t in enumerate(texts):
+        tokens = [*(t or "").lower().split(), None]
+        assert got[i]["n_tokens"] == len(tokens) and got[i]["n_known"] == sum(x in counts for x in tokens) and got[i]["train_tokens"] == n
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((counts.get(x, 0) + 1) / (n + v + 1)) for x in tokens)) and got[i]["score"] < 0 and math.isfinite(got[i]["score"])
+        assert got[i]["held_out"] == (i == 5)
+    plain = {r["doc_id"]: r["score"] for r in lattice_lm.score(df, F.col("doc_id") % 7 != 5, PIECES, class_col="lang", heavy=100).collect()}
+    assert all(plain[i] == pytest.approx(got[i]["score"]) for i in plain)
+    assert lattice_lm.score(df.limit(0), F.lit(True), PIECES).count() == 0
+    assert all(math.isfinite(r["score"]) for r in lattice_lm.score(df, F.lit(False), PIECES).collect())
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, score string"
+
+
+def vectors(spark, x, bad=True):
+    rows = [(i, [float(v) for v in r], 0, "clash") for i, r in enumerate(x)]
+    n = len(rows)
+    extra = [(n, None, 0, ""), (n + 1, [0.0] * x.shape[1], 0, ""), (n + 2, [float("nan")] * x.shape[1], 0, ""), (n + 3, [None] * x.shape[1], 0, ""), (n + 4, [], 0, "")]
+    return spark.createDataFrame(rows + extra * bad, VECTORS)
+
+
+def test_search(spark):
+    x = np.random.default_rng(6).normal(size=(900, 16)).astype(np.float32)
+    x[500:540] = x[40]  # ties
+    got = permutation_index.search(vectors(spark, x), F.col("id") % 20 == 0, k=20).collect()
+    s = x.astype(float) @ x.astype(float).T
+    hit = 0
+    for q in range(0, 900, 20):
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 21)) and q not in {r["vec_id"] for r in mine}
+        assert [(-r["score"], r["vec_id"]) for r in mine] == sorted((-r["score"], r["vec_id"]) for r in mine)
+        assert all(r["score"] == pytest.approx(s[q, r["vec_id"]], abs=1e-9) for r in mine)
+        best = [i for i in np.lexsort((np.arange(900), -s[q])) if i != q][:20]
+        hit += len({r["vec_id"] for r in mine} & set(best))
+    assert hit >= 0.9 * 45 * 20 and len(got) == 45 * 20
+    few = permutation_index.search(vectors(spark, x[:5]), F.col("id") % 20 == 0, k=20).collect()
+    assert len(few) == 4
+    assert permutation_index.search(vectors(spark, x[:0].reshape(0, 16), False), F.col("id") % 20 == 0).count() == 0
+
+
+def test_vector_duplicates(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[100:160] = x[3] + 0.02 * rng.normal(size=(60, 16))
+    x[200:204] = x[9] * 3
+    got = {r["vec_id"]: r for r in hnsw_dedup.near_duplicates(vectors(spark, x)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(600, dtype=bool)
+    part = np.arange(600)
+    for _ in range(20):
+        part = np.minimum(part, np.where(near, part[None, :], 600).min(axis=1))
+    assert [got[i]["n_links"] for i in range(600)] == near.sum(axis=1).tolist() and [got[i]["component_id"] for i in range(600)] == part.tolist()
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(600, 605)) and len(got) == 605
+    assert hnsw_dedup.near_duplicates(vectors(spark, x[:0].reshape(0, 16), False)).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([f"word{k}" for k in range(300)], 40)), "en", f"s{i % 3}", 0) for i in range(120)]
+    rows += [(120 + i, rows[i][1], "en", "s0", 0) for i in range(30)] + [(150, None, "en", "s1", 0), (151, "123", "en", None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in got}
+    assert ids and max(ids) < 120 and all(r["round_trip"] for r in got)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert all(r["n_tokens"] == len(library.encode(rows[r["doc_id"]][1], add_bos=True, add_eos=True)) for r in got)
+    size, taken = sum(len(r[1].split()) for r in rows[:120]), sum(len(rows[r["doc_id"]][1].split()) for r in got)
+    assert abs(taken - 1.5 * size) <= 3 * 40
+
+
+def test_digests(spark):
+    sha = hashlib.sha256(np.array([1, 2], "<u4").tobytes()).hexdigest()
+    row = piece_bpe.encode(docs(spark, [""]), PIECES).select(F.sha2("ids", 256).alias("x")).first()
+    assert row["x"] == sha

@@ -86,7 +86,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", centroids: int = 4, sample: int = 600, floor: float = 0.12) -> CentroidModel | None:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", centroids: int = 4, sample: int = 600, floor: float = 0.05) -> CentroidModel | None:
     """A model from the rows where train holds and the language isn't null; None if there are none.
 
     sample bounds the rows of each language that are expected to be used, centroids the

@@ -24,6 +24,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,6 +54,8 @@ LEFT_WORDS = set(
 REGIONS = ("article", "main")
 REGION_WORDS = (set("article articlebody".split()), set("main content post entry story".split()))
 MAX_DEPTH = 200
+#: Hosts with at least this part (one in HOT) of all pages are split.
+HOT = 1000
 
 # A node is [label, repeated, optional, kids, slot]; a slot is [filled, characters, link characters, least and greatest checksum].
 TEXT = "#"
@@ -271,8 +274,9 @@ class Wrapper:
 
 
 def infer(pages: DataFrame, html_col: str = "html", flush: int = 4000) -> DataFrame:
-    """(host, wrapper as JSON) from a table with columns host and html_col."""
-    pack = lambda found: {"host": list(found), "wrapper": [json.dumps(w, separators=(",", ":")) for w in found.values()], "salt": [None] * len(found)}
+    """(host, wrapper as JSON, pages) from a table with columns host and html_col."""
+    pack = lambda found: {"host": list(found), "wrapper": [json.dumps(w, separators=(",", ":")) for w in found.values()], "pages": [seen.pop(h) for h in found], "salt": [None] * len(found)}
+    seen: Counter[str] = Counter()
 
     def learn(batches: Iterator[pa.RecordBatch]):
         found: dict[str, list] = {}
@@ -280,6 +284,7 @@ def infer(pages: DataFrame, html_col: str = "html", flush: int = 4000) -> DataFr
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 new = fold(read_page(html.as_py()))
                 found[host] = align(found[host], new) if host in found else new
+                seen[host] += 1
                 if len(found) > flush:
                     yield pack(found)
                     found.clear()
@@ -291,14 +296,14 @@ def infer(pages: DataFrame, html_col: str = "html", flush: int = 4000) -> DataFr
         for text in table["wrapper"]:
             new = json.loads(text.as_py())
             whole = new if whole is None else align(whole, new)
-        return pa.table({"host": table["host"][:1], "wrapper": pa.array([json.dumps(whole, separators=(",", ":"))]), "salt": pa.array([None], pa.int32())})
+        return pa.table({"host": table["host"][:1], "wrapper": pa.array([json.dumps(whole, separators=(",", ":"))]), "pages": pa.array([sum(table["pages"].to_pylist())], pa.int64()), "salt": pa.array([None], pa.int32())})
 
-    schema = "host string, wrapper string, salt int"
+    schema = "host string, wrapper string, pages long, salt int"
     parts = map_arrow(pages.select("host", F.col(f"`{html_col}`").alias("html")), learn, schema)
     parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
     for keys in (("host", "salt"), ("host",)):
         parts = parts.groupBy(*keys).applyInArrow(unite, schema)
-    return parts.select("host", "wrapper")
+    return parts.select("host", "wrapper", "pages")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -306,7 +311,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     host = url_parts(F.col(f"`{url_col}`"))[0]
     rows = pages.select(*(F.col(f"`{k}`") for k in keep), host.alias("__host"), F.col(f"`{html_col}`").alias("__html"))
     wrappers = stage(infer(rows.select(F.col("__host").alias("host"), "__html"), "__html"), "wrappers")
-    both = rows.join(wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")).hint("shuffle_hash"), "__host", "left")
+    # hosts with a thousandth of all pages or more (a thousand at most) are dealt out in as many parts
+    total = wrappers.agg(F.sum("pages")).first()[0] or 1
+    hot = wrappers.where(F.col("pages") * HOT >= total).select(F.col("host").alias("__host"), F.ceil(F.col("pages") * HOT / total).cast("int").alias("__parts"))
+    hot = F.broadcast(hot)
+    rows = rows.join(hot, "__host", "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64("__html", *keep), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    wrappers = wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")).join(hot, "__host", "left")
+    wrappers = wrappers.withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    both = rows.join(wrappers.hint("shuffle_hash"), ["__host", "__part"], "left")
     kept = [f for f in rows.schema if not f.name.startswith("__")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["text string"])
 

@@ -31,17 +31,24 @@ def _forest(batches: Iterator[pa.RecordBatch]):
         yield {"v": pa.array(pairs[lo : lo + 100_000, 0]), "u": pa.array(pairs[lo : lo + 100_000, 1])}
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+#: Edges, thinned, that one task may finish by itself.
+LOCAL_EDGES = 500_000
+
+
+def connected_components(edges: DataFrame, a: str, b: str, local: int = LOCAL_EDGES) -> DataFrame:
     """(v, component) for every vertex that some edge joins to a smaller one; component is the smallest vertex reached.
 
     Alternates large-star and small-star steps (each vertex's neighbours are joined to the
     smallest among them) on edges first thinned to a forest within each partition, until a
     step changes nothing. Each step is a combinable minimum and one join, so a hub with a
-    third of all edges is summed map-side. Tables are written between steps.
+    third of all edges is summed map-side. Tables are written between steps. When the thinned
+    edges number at most ``local``, a single task (of bounded size, therefore) unites them.
     """
     e = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("u")).where("v is not null and u is not null and v <> u")
     thin = lambda df: map_arrow(df, _forest, "v long, u long")
     stars = stage(thin(e), "stars")
+    if stars.count() <= local:
+        return stage(thin(stars.coalesce(1)), "components").select("v", F.col("u").alias("component"))
     while True:
         # large star: every larger neighbour of v goes to the smallest of v and its neighbours
         both = stars.unionByName(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))

@@ -5,13 +5,15 @@ sets form one class, so copies never meet again below. For each class a vector o
 values is drawn; bands of it give buckets, and the values, each hashed with its place into
 one bit that it flips, give the odd sketch: the population count of two sketches' XOR
 estimates the similarity, most precisely where it is high. Candidates whose sketches lie
-far below the threshold are dropped (by over six standard errors), all others are confirmed
+far below the threshold are dropped (by six standard errors), all others are confirmed
 on the whole sets.
 
 No bucket is expanded into pairs: its classes are first compared with the bucket's smallest
-id. Buckets that the confirmed links leave in several components are then completed exactly:
-members of all but the largest component are compared with every member of another one.
-A third round is not needed, as every pair of a bucket has then been joined or compared.
+id only. Buckets that the confirmed links leave in several components are completed exactly:
+they are joined into groups, and pairs of blocks of a group, each of bounded size, compare
+sketches and, where those are near, whole sets of different components as matrix products,
+passing on nothing but links. So no pair that shares a bucket is left uncompared unless it
+is joined already.
 
 Defined results: documents without words have an empty set and link with nothing; documents
 with fewer words than a shingle have the whole sequence as their one shingle; a null text is
@@ -37,6 +39,8 @@ from .graph import connected_components
 BANDS, ROWS = 36, 5
 #: Bits of an odd sketch, as 64-bit words.
 SKETCH_WORDS = 16
+#: Shingles and classes of a block in the exact completion.
+BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 2048
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,12 +146,84 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int):
 
 
 def sketch_limit(percent: int) -> int:
-    """Differing bits beyond which a pair lies over six standard errors below the threshold."""
+    """Differing bits beyond which a pair lies six standard errors below the threshold."""
     k, bits = BANDS * ROWS, 64 * SKETCH_WORDS
     s = percent / 100
-    low = max(0.0, s - 6 * (s * (1 - s) / k) ** 0.5)
-    flips = 2 * k * (1 - low)
-    return int(bits * (1 - (1 - 2 / bits) ** flips) / 2 + 3 * (bits / 4) ** 0.5)
+    odd = lambda sim: bits / 2 * (1 - (1 - 2 / bits) ** (2 * k * (1 - sim)))
+    sampling = odd(s - (s * (1 - s) / k) ** 0.5) - odd(s)
+    collisions = 2 * odd(s) / (2 * bits) ** 0.5
+    return int(odd(s) + 6 * (sampling**2 + collisions**2) ** 0.5) + 1
+
+
+def _block_links(rows: pa.Table, percent: int) -> pa.Table:
+    """Links between the rows of side 0 and those of side 1 (or within side 0 alone) of different components."""
+    ids, comp, n, side = (rows[c].to_numpy() for c in ("id", "c", "n_shingles", "side"))
+    sketches = np.stack([np.frombuffer(x.as_buffer(), np.uint64) for x in rows["sketch"]])
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    found: list[tuple[int, int]] = []
+    limit, step = sketch_limit(percent), max(1, 4_000_000 // (SKETCH_WORDS * max(1, len(right))))
+    for lo in range(0, len(left), step):
+        a = left[lo : lo + step]
+        ok = (comp[a][:, None] != comp[right]) & (100 * np.minimum(n[a][:, None], n[right]) >= percent * np.maximum(n[a][:, None], n[right]))
+        if right is left:
+            ok &= a[:, None] < right[None, :]
+        i, j = np.nonzero(ok)
+        for part in range(0, len(i), 500_000):
+            x, y = a[i[part : part + 500_000]], right[j[part : part + 500_000]]
+            near = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64) <= limit
+            x, y = x[near], y[near]
+            common = _common(sets, x, y)
+            hit = 100 * common >= percent * (n[x] + n[y] - common)
+            found += zip(ids[x[hit]].tolist(), ids[y[hit]].tolist())
+    return pa.table({"a": pa.array([max(p) for p in found], pa.int64()), "b": pa.array([min(p) for p in found], pa.int64())})
+
+
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (x, y), exactly."""
+    if len(x) < 2000:
+        return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist())], np.int64)
+    rows, cols = np.unique(x), np.unique(y)
+    members = np.unique(np.concatenate([rows, cols]))
+    keys = np.concatenate([sets[m] for m in members])
+    owner = np.repeat(np.arange(len(members)), [len(sets[m]) for m in members])
+    unique, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+    keep = count[place] > 1
+    number = np.cumsum(count > 1) - 1
+    place, owner = number[place[keep]], owner[keep]
+    r, c = np.searchsorted(members, rows), np.searchsorted(members, cols)
+    total = np.zeros((len(rows), len(cols)), np.float32)
+    width = 4096
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, width):  # matrix products over slices of the shared shingles
+        s, e = np.searchsorted(place, (lo, lo + width))
+        m = np.zeros((len(members), width), np.float32)
+        m[owner[s:e], place[s:e] - lo] = 1
+        total += m[r] @ m[c].T
+    return total[np.searchsorted(rows, x), np.searchsorted(cols, y)].astype(np.int64)
+
+
+def _rest(docs: DataFrame, id_col: str, text_col: str, width: int, inside: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components within a group, each pair of blocks of a group being a task of bounded size.
+
+    inside has id, c (component) and grp; nothing but links is passed on.
+    """
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(inside.select("id"), "id", "left_semi")
+    rows = stage(inside.join(facts.select("id", "n_shingles", F.col("sketch").alias("words")), "id").join(_sets(texts, width), "id"), "open-sets")
+    blocks = rows.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"), F.countDistinct("c").alias("parts")).where("parts > 1")
+    rows = rows.join(blocks.select("grp", "blocks"), "grp").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "c", "n_shingles", "words", "shingles")
+
+    def pack(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            words = [w.values.to_numpy().tobytes() for w in batch.column("words")]
+            yield {f: batch.column(f) for f in ("grp", "i", "j", "side", "id", "c", "n_shingles", "shingles")} | {"sketch": words}
+
+    packed = map_arrow(rows, pack, "grp long, i int, j int, side int, id long, c long, n_shingles long, shingles binary, sketch binary")
+    return packed.groupBy("grp", "i", "j").applyInArrow(lambda table: _block_links(table, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -181,15 +257,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(confirmed(pairs), "links")
     part = connected_components(links, "a", "b")
 
-    # what the heads didn't join: other components of a bucket against all its members
-    tagged = shared.select("slot", "id").join(part.withColumnRenamed("v", "id"), "id", "left").select("slot", "id", F.coalesce("component", "id").alias("c"))
-    sizes = tagged.groupBy("slot", "c").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("slot").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = stage(tagged.join(split.select("slot", "main"), "slot").join(facts, "id"), "open-buckets")
-    x, y = open_.where("c <> main").alias("x"), open_.alias("y")
-    on = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.c") != F.col("y.c")) & likely(F.col("x.n_shingles"), F.col("y.n_shingles"), F.col("x.sketch"), F.col("y.sketch"))
-    rest = x.join(y, on).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    more = stage(confirmed(rest), "links")
+    # buckets that are still in several components (a bucket's only pair has been compared), joined into groups
+    tagged = shared.join(part.withColumnRenamed("v", "id"), "id", "left").select("slot", "id", "head", F.coalesce("component", "id").alias("c"))
+    sizes = tagged.groupBy("slot").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 <> c2 and n > 2")
+    open_ = stage(tagged.join(sizes.select("slot"), "slot").select("id", "head", "c").distinct(), "open-buckets")
+    grouped = connected_components(open_, "id", "head")
+    inside = open_.select("id", "c").distinct().join(grouped.withColumnRenamed("v", "id"), "id", "left").select("id", "c", F.coalesce("component", "id").alias("grp"))
+    more = stage(_rest(docs, id_col, text_col, width, inside, facts, percent), "links")
     if not more.isEmpty():
         part = connected_components(part.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     return (

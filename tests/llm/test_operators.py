@@ -86,8 +86,9 @@ def test_near_duplicates(spark):
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
-    got = {r["v"]: r["component"] for r in connected_components(df, "a", "b").collect()}
-    assert got == {i: 0 for i in range(1, 61)} | {k: 100 for k in range(101, 140)}
+    for local in (0, 1000):
+        got = {r["v"]: r["component"] for r in connected_components(df, "a", "b", local).collect()}
+        assert got == {i: 0 for i in range(1, 61)} | {k: 100 for k in range(101, 140)}
 
 
 def test_mix(spark):

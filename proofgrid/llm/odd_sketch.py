@@ -41,6 +41,8 @@ BANDS, ROWS = 36, 5
 SKETCH_WORDS = 16
 #: Shingles and classes of a block in the exact completion.
 BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 2048
+#: Ids that may be broadcast to pick their texts.
+BROADCAST_IDS = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -205,12 +207,19 @@ def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total[np.searchsorted(rows, x), np.searchsorted(cols, y)].astype(np.int64)
 
 
+def _texts_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """(id, text) of the rows with one of ids (distinct); so few ids that they fit a broadcast spare a shuffle of all texts."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi")
+
+
 def _rest(docs: DataFrame, id_col: str, text_col: str, width: int, inside: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components within a group, each pair of blocks of a group being a task of bounded size.
 
     inside has id, c (component) and grp; nothing but links is passed on.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(inside.select("id"), "id", "left_semi")
+    inside = stage(inside, "open-members")
+    texts = _texts_of(docs, id_col, text_col, inside.select("id"))
     rows = stage(inside.join(facts.select("id", "n_shingles", F.col("sketch").alias("words")), "id").join(_sets(texts, width), "id"), "open-sets")
     blocks = rows.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"), F.countDistinct("c").alias("parts")).where("parts > 1")
     rows = rows.join(blocks.select("grp", "blocks"), "grp").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -247,8 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Of distinct pairs (a, b), those that the whole sets confirm."""
         pairs = stage(pairs, "candidates")
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "id", "left_semi")
-        sets = stage(_sets(texts, width), "sets")
+        sets = stage(_sets(_texts_of(docs, id_col, text_col, wanted), width), "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         return map_arrow(both, lambda it: _confirm(it, percent), "a long, b long")
 

@@ -178,6 +178,16 @@ def test_scores(spark):
     assert all(math.isfinite(r["score"]) for r in lattice_lm.score(df, F.lit(False), PIECES).collect())
 
 
+def test_weights_are_refitted_three_times(spark):
+    words = ["the", "theation", "straße", "x" * 40]
+    counts = spark.createDataFrame([(w, 1, [1]) for w in words], "word string, c long, k array<long>")
+    lat = lattice_lm.lattice(PIECES)
+    w = lat.initial()[:, None]
+    for _ in range(3):
+        w = lat.normalise(sum(lat.expected(codes, w, np.ones((len(at), 1))) for at, codes in lat.batches(words))[:, 0])[:, None]
+    assert np.allclose(lattice_lm.fit_weights(counts, PIECES, 1), w, atol=1e-9)
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, score string"
 
 

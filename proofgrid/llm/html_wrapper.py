@@ -9,9 +9,12 @@ link text they held and whether it always was the same. The result is the host's
 Within a task wrappers of a host are aligned as pages come, then across tasks in a tree.
 
 Each page is read again with its host's wrapper: its tags are matched to the wrapper's and
-each text is kept or left by its slot. If the wrapper has an article or main region, slots
-in it are kept, otherwise slots with running text that isn't the same on every page; slots
-in menus, headers, footers, sidebars, notices, adverts, forms and reader comments never are.
+each text is kept or left by its slot. If the wrapper has an article or main region (the first
+of article, main, words that name them), its headings and those slots in it are kept that
+are neither mostly links nor the same on half of the host's pages or more; otherwise slots
+with running text that isn't the same on every page are; slots in menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments never are. Paragraphs folded into one
+repeated group share a slot, so a fixed one among varying ones is kept.
 
 Defined results: null or empty html gives an empty text; pages without a host share a
 wrapper; a page without any kept slot gives an empty text. Whole pages are read; extra
@@ -53,11 +56,12 @@ LEFT_WORDS = set(
 )
 REGIONS = ("article", "main")
 REGION_WORDS = (set("article articlebody".split()), set("main content post entry story".split()))
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 MAX_DEPTH = 200
 #: Hosts with at least this part (one in HOT) of all pages are split.
 HOT = 1000
 
-# A node is [label, repeated, optional, kids, slot]; a slot is [filled, characters, link characters, least and greatest checksum].
+# A node is [label, repeated, optional, kids, slot]; a slot is [filled, characters, link characters, least and greatest checksum], the root's counts pages.
 TEXT = "#"
 
 
@@ -140,7 +144,7 @@ def fold(page: list) -> list:
     if page[0] == TEXT:
         sum_ = zlib.crc32(page[1].encode("utf-8", "surrogatepass"))
         return [TEXT, 0, 0, [], [1, len(page[1]), page[2], sum_, sum_]]
-    return [page[0], 0, 0, _fold_repeats([fold(k) for k in page[1]]), None]
+    return [page[0], 0, 0, _fold_repeats([fold(k) for k in page[1]]), None if page[0] else [1, 0, 0, 0, 0]]
 
 
 def _fold_repeats(kids: list) -> list:
@@ -204,15 +208,7 @@ class Wrapper:
     def __init__(self, root: list):
         self.root = root
         self.region = self._find_region()
-        self.pages = max([k[4][0] for k in self._slots(root)], default=0)
-
-    def _slots(self, node: list) -> Iterator[list]:
-        todo = [node]
-        while todo:
-            n = todo.pop()
-            if n[0] == TEXT:
-                yield n
-            todo += n[3]
+        self.pages = root[4][0] if root[4] else 0
 
     def _find_region(self) -> str | set | None:
         labels, todo = [], [self.root]
@@ -228,18 +224,22 @@ class Wrapper:
                 return words
         return None
 
-    def _opens(self, parts: list[str]) -> bool:
-        if isinstance(self.region, str):
-            return parts[0] == self.region or self.region == "main" and "main" in parts[1:]
-        return bool(self.region and self.region & set(parts[1:]) and not LEFT_WORDS & set(parts[1:]))
+    @staticmethod
+    def _opens(region: str | set | None, parts: list[str]) -> bool:
+        if isinstance(region, str):
+            return parts[0] == region or region == "main" and "main" in parts[1:]
+        return bool(region and region & set(parts[1:]) and not LEFT_WORDS & set(parts[1:]))
 
     def texts(self, page: list) -> list[str]:
         """The page's kept texts in order."""
-        out: list[str] = []
-        self._walk(page, self.root, self.region is None, False, out)
-        return out
-
-    def _walk(self, page: list, node: list | None, inside: bool, left: bool, out: list[str]) -> None:
+        out: list[tuple[str, bool | None]] = []
+        region = self.region
+        self._walk(page, self.root, region, region is None, False, out)
+        # a page of which nothing but headings varies is one of copies, not all boilerplate
+        varied = any(fixed is False for _, fixed in out)
+        return [text for text, fixed in out if not (fixed and varied)]
+
+    def _walk(self, page: list, node: list | None, region: str | set | None, inside: bool, left: bool, out: list[tuple[str, bool | None]]) -> None:
         kids = []
         for k in node[3] if node else []:
             kids += k[3] if k[0] == "()" else [k]
@@ -249,19 +249,32 @@ class Wrapper:
             match = None if where is None else kids[where]
             at = at if where is None else where
             if child[0] == TEXT:
-                if inside and not left and (self.region is not None or self._running(match, page[0])):
-                    out.append(child[1])
+                if inside and not left:
+                    heading = page[0].split(".")[0] in HEADINGS
+                    if region is None:
+                        if self._running(match, page[0]):
+                            out.append((child[1], False))
+                    elif heading or not self._links(match):
+                        out.append((child[1], None if heading else self._fixed(match)))
                 continue
             parts = child[0].split(".")
-            opens = not inside and self._opens(parts)
+            opens = not inside and self._opens(region, parts)
             gone = left
             if inside and not opens:
                 words = set(parts[1:])
-                if self.region is not None:
+                if region is not None:
                     words -= {"header", "side"}
-                tags = LEFT_TAGS - {"header"} if self.region is not None else LEFT_TAGS
+                tags = LEFT_TAGS - {"header"} if region is not None else LEFT_TAGS
                 gone = left or parts[0] in tags or bool(LEFT_WORDS & words)
-            self._walk(child, match, inside or opens, gone, out)
+            self._walk(child, match, region, inside or opens, gone, out)
+
+    def _links(self, slot: list | None) -> bool:
+        """Whether a slot held mostly links."""
+        return bool(slot and slot[4]) and slot[4][2] > slot[4][1] / 2
+
+    def _fixed(self, slot: list | None) -> bool:
+        """Whether a slot held one text only, on half of the pages or more."""
+        return bool(slot and slot[4]) and slot[4][0] > 2 and 2 * slot[4][0] >= self.pages and slot[4][3] == slot[4][4]
 
     def _running(self, slot: list | None, label: str) -> bool:
         """Without a region: text that isn't mostly links, nor short outside headings, nor the same on every page."""

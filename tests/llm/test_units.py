@@ -120,6 +120,22 @@ def test_wrappers():
     assert html_wrapper.read_page(deep)
 
 
+def wrapper_of(pages):
+    whole = None
+    for page in pages:
+        e = html_wrapper.fold(html_wrapper.read_page(page))
+        whole = e if whole is None else html_wrapper.align(whole, e)
+    return html_wrapper.Wrapper(whole)
+
+
+def test_slots_decide_inside_a_region():
+    pages = [f"<article><h1>Same</h1><div>Read our terms, they are the same everywhere</div><p>text {k}<ul><li><a>more {k}</a></ul></article>" for k in range(5)]
+    w = wrapper_of(pages)
+    assert [w.texts(html_wrapper.read_page(p)) for p in pages] == [["Same", f"text {k}"] for k in range(5)]
+    copies = ["<article><h1>Same</h1><p>nothing differs here</article>"] * 5
+    assert wrapper_of(copies).texts(html_wrapper.read_page(copies[0])) == ["Same", "nothing differs here"]
+
+
 def test_inverted_files_give_footrule():
     rng = np.random.default_rng(3)
     lists = np.array([rng.permutation(12)[:5] for _ in range(40)])

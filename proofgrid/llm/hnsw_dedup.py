@@ -5,8 +5,8 @@ random top layer, and on each of its layers links to diverse near vectors. Every
 then queries every shard: a greedy descent, a beam search on the lowest layer, and from
 each hit along the links of hits for as long as new ones turn up, so that large groups
 are listed whole whatever the beam. In each task a hashed part of the queries is first
-compared with the whole shard; until the graph finds what that audit finds, beams are
-doubled, and once the beam spans the shard the search is exhaustive. Every hit is verified
+compared with the whole shard; until the graph finds what that audit finds, for queries
+with few links as for those with many, beams are doubled, and once the beam spans the shard the search is exhaustive. Every hit is verified
 by the cosine in double precision.
 
 Counts are summed over shards; of the links of a task only a spanning forest is passed on,
@@ -257,12 +257,17 @@ def _load(table: pa.Table) -> tuple[np.ndarray, Graph]:
 
 
 def audited_search(graph: Graph, q: np.ndarray, audit: np.ndarray, least: float) -> list[np.ndarray]:
-    """range_search with the first beam whose recall on the audited queries passes."""
+    """range_search with the first beam whose recall on the audited queries passes.
+
+    Queries are weighed by the size of their true answer (by powers of two), and each size
+    has to pass, so that a hot group's many links don't stand in for small groups' few.
+    """
     truth = [np.flatnonzero(s >= least) for s in (q[audit] @ graph.unit.T)]
-    wanted, width = sum(map(len, truth)), BEAM
+    size = np.array([len(t).bit_length() for t in truth], np.int64)
+    wanted, width = np.bincount(size, [len(t) for t in truth]), BEAM
     while width < len(graph.x):
-        found = sum(len(np.intersect1d(a, b)) for a, b in zip(truth, graph.range_search(q[audit], width, least)))
-        if found >= PASS * wanted:
+        found = np.bincount(size, [len(np.intersect1d(a, b)) for a, b in zip(truth, graph.range_search(q[audit], width, least))])
+        if (found >= PASS * wanted).all():
             break
         width *= 2
     return [hits for lo in range(0, len(q), BATCH) for hits in graph.range_search(q[lo : lo + BATCH], width, least)]

@@ -164,6 +164,23 @@ def test_graphs_find_all_near_vectors():
     assert missed <= 0.0005 * wanted
 
 
+def test_audit_weighs_small_groups():
+    unit = np.repeat(np.eye(40), [1000] + [2] * 39, axis=0)
+
+    class Blind:
+        """A graph that finds small groups only with a wide beam."""
+
+        x = unit
+
+        def range_search(self, q, width, least):
+            hits = [np.flatnonzero(s >= least) for s in q @ self.x.T]
+            return [h if len(h) > 100 or width >= 256 else h[:1] for h in hits]
+
+    Blind.unit = unit
+    hits = hnsw_dedup.audited_search(Blind(), unit, np.arange(0, len(unit), 2), 0.9)
+    assert [len(h) for h in hits] == [1000] * 1000 + [2] * 78
+
+
 def test_ngram_counts():
     assert (lang_centroid.ngram_counts("ab, AB!") == lang_centroid.ngram_counts("ab ab")).all()
     assert lang_centroid.ngram_counts(None).sum() == lang_centroid.ngram_counts("").sum()

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -148,6 +149,23 @@ def test_inverted_files_give_footrule():
         assert files.footrule(q).tolist() == want
 
 
+def test_copies_do_not_crowd_the_rerank():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 16))
+    x[rng.permutation(2000)[:900]] = x[0]
+    pivots = x[np.unique(x, axis=0, return_index=True)[1][:64]]
+    lists = permutation_index.permutations(x, pivots, 16)
+    table = pa.table({"id": pa.array(range(2000)), "vector": pa.array(list(x), pa.list_(pa.float64())), "pivots": pa.array(list(lists), pa.list_(pa.int16()))})
+    copies = np.flatnonzero((x == x[0]).all(axis=1))
+    q = copies[[0, 5, 25, -1]]
+    got = permutation_index._search(table, table.take(q), 20, 64, 0.2, 256)
+    for i in q:
+        at = got["query_id"] == i
+        s = x @ x[i]
+        s[copies], s[i] = s[copies[0]], -np.inf
+        assert got["vec_id"][at].tolist() == np.lexsort((np.arange(2000), -s))[:20].tolist()
+
+
 def test_graphs_find_all_near_vectors():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 32))

@@ -9,7 +9,7 @@ link text they held and whether it always was the same. The result is the host's
 Within a task wrappers of a host are aligned as pages come, then across tasks in a tree.
 
 Each page is read again with its host's wrapper: its tags are matched to the wrapper's and
-each text is kept or left by its slot. If the wrapper has an article or main region (the first
+each text is kept or left by its slot. If the page has an article or main region (the first
 of article, main, words that name them), its headings and those slots in it are kept that
 are neither mostly links nor the same on half of the host's pages or more; otherwise slots
 with running text that isn't the same on every page are; slots in menus, headers, footers,
@@ -207,15 +207,16 @@ class Wrapper:
 
     def __init__(self, root: list):
         self.root = root
-        self.region = self._find_region()
         self.pages = root[4][0] if root[4] else 0
 
-    def _find_region(self) -> str | set | None:
-        labels, todo = [], [self.root]
+    @staticmethod
+    def _find_region(page: list) -> str | set | None:
+        labels, todo = [], [page]
         while todo:
             n = todo.pop()
-            labels.append(n[0].split("."))
-            todo += n[3]
+            if n[0] != TEXT:
+                labels.append(n[0].split("."))
+                todo += n[1]
         for tag in REGIONS:
             if any(x[0] == tag or tag in x[1:] and tag == "main" for x in labels):
                 return tag
@@ -233,7 +234,7 @@ class Wrapper:
     def texts(self, page: list) -> list[str]:
         """The page's kept texts in order."""
         out: list[tuple[str, bool | None]] = []
-        region = self.region
+        region = self._find_region(page)
         self._walk(page, self.root, region, region is None, False, out)
         # a page of which nothing but headings varies is one of copies, not all boilerplate
         varied = any(fixed is False for _, fixed in out)

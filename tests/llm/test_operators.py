@@ -126,6 +126,12 @@ def test_pages(spark):
     assert html_wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_pages_of_other_templates(spark):
+    rows = [(i, "http://h0.org/%d" % i, f"<article><p>main {i}</p></article>") for i in range(5)] + [(5, "http://h0.org/z", "<p>" + "x " * 100_000), (6, None, "<article>a</article>"), (7, None, "<p>some running text of a page without host</p>")]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"main {i}" for i in range(5)} | {5: ("x " * 100_000).strip(), 6: "a", 7: "some running text of a page without host"}
+
+
 def test_language(spark):
     words = {"aa": "ab ba aba bab abab", "bb": "xy yx xyx yxy xyxy", "cc": "ño ñañ oñ ñoo"}
     rng = np.random.default_rng(5)

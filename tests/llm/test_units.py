@@ -137,6 +137,13 @@ def test_slots_decide_inside_a_region():
     assert wrapper_of(copies).texts(html_wrapper.read_page(copies[0])) == ["Same", "nothing differs here"]
 
 
+def test_each_page_has_a_region_of_its_own():
+    pages = [f"<article><p>text {k}</article>" for k in range(5)] + ["<main><p>in main</main><div>out</div>", "<div class=content><p>in content</div><div>out</div>", "<nav>menu</nav><p>running text without any region</p>"]
+    w = wrapper_of(pages)
+    assert [w.texts(html_wrapper.read_page(p)) for p in pages[5:]] == [["in main"], ["in content"], ["running text without any region"]]
+    assert w.texts(html_wrapper.read_page(pages[0])) == ["text 0"]
+
+
 def test_inverted_files_give_footrule():
     rng = np.random.default_rng(3)
     lists = np.array([rng.permutation(12)[:5] for _ in range(40)])

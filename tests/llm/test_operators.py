@@ -194,6 +194,16 @@ def test_weights_are_refitted_three_times(spark):
     assert np.allclose(lattice_lm.fit_weights(counts, PIECES, 1), w, atol=1e-9)
 
 
+def test_rows_beyond_the_top_classes_share_one(spark, monkeypatch):
+    texts = ["the cat sat", "the dog sat", "die katze sass", "der hund", "die maus", "the mouse"]
+    scores = []
+    for rare, classes in (("de", 8), (None, 8), ("de", 1)):
+        monkeypatch.setattr(lattice_lm, "CLASSES", classes)
+        df = spark.createDataFrame([(i, t, rare if t[0] == "d" else "en") for i, t in enumerate(texts * 2 + ["the sat"])], "doc_id long, text string, lang string").coalesce(1)
+        scores.append([r["score"] for r in lattice_lm.score(df, F.lit(True), PIECES, class_col="lang").orderBy("doc_id").collect()])
+    assert scores[1] == pytest.approx(scores[0]) and scores[2] == pytest.approx(scores[0])
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, score string"
 
 

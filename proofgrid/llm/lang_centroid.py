@@ -4,8 +4,10 @@ A text becomes counts of byte n-grams (one to three bytes of its lower-cased let
 other characters folded into one blank), hashed into a fixed number of features, damped
 by a logarithm, weighted by inverse document frequency and normalised. Each language has
 several centroids (spherical k-means of its training vectors); a text gets the language
-of the centroid with the largest cosine. Texts farther from every centroid than the
-rejection distance are marked as rejected.
+of the centroid with the largest cosine. Texts farther from it than the rejection distance
+are marked as rejected. As short texts share few n-grams with any centroid, each language
+has a distance for each size of text (distinct n-grams, by powers of two), set from the
+cosines of its fitted rows of that size and above.
 
 The classifier is fitted on a bounded sample: of each language, the training rows whose
 hashed id falls under a bound that lets about ``sample`` (a parameter) rows through.
@@ -31,6 +33,8 @@ from pyspark.sql import types as T
 from .common import map_arrow
 
 FEATURES = 4096
+#: Sizes of texts by the power of two of their distinct n-grams.
+SIZES = FEATURES.bit_length()
 UNKNOWN = "und"
 #: Bytes that count as the blank between words: all ASCII but a-z.
 _FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
@@ -55,7 +59,7 @@ class CentroidModel:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    floor: float
+    floors: np.ndarray
 
     def vectors(self, texts: list[str | None]) -> np.ndarray:
         x = np.empty((len(texts), FEATURES), np.float32)
@@ -65,11 +69,39 @@ class CentroidModel:
         x *= self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the index of its language and the cosine."""
-        cosines = self.vectors(texts) @ self.centroids.T
+    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the index of its language, the cosine and whether it is rejected."""
+        x = self.vectors(texts)
+        cosines = x @ self.centroids.T
         best = cosines.argmax(axis=1)  # the first among equals; centroids are in the languages' order
-        return self.owner[best], np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0.0, 1.0)
+        at, score = self.owner[best], np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0.0, 1.0)
+        return at, score, score < self.floors[at, _sizes(x)]
+
+
+def _sizes(x: np.ndarray) -> np.ndarray:
+    """The power of two of each row's distinct n-grams."""
+    return np.log2(np.maximum((x > 0).sum(axis=1), 1)).astype(int)
+
+
+def _floors(cosines: np.ndarray, sizes: np.ndarray, owner: np.ndarray, languages: int, quantile: float, margin: float, least: float) -> np.ndarray:
+    """The smallest cosine that isn't rejected, by language and size of text.
+
+    It is margin times a low quantile of the language's rows of that size, and no more than
+    that of larger ones. Where it has too few rows for the quantile, all languages' rows
+    count as well; sizes below all rows fall with the root of the size.
+    """
+    low = lambda c: float(np.quantile(c, quantile, method="lower")) if len(c) else np.inf
+    out = np.full((languages, SIZES), np.inf)
+    for n in range(languages):
+        for k in range(SIZES):
+            own = cosines[(owner == n) & (sizes == k)]
+            out[n, k] = low(own) if len(own) * quantile >= 1 else min(low(own), low(cosines[sizes == k]))
+        out[n] = np.minimum.accumulate(out[n, ::-1])[::-1]
+        known = np.flatnonzero(np.isfinite(out[n]))
+        out[n, known[-1] :] = out[n, known[-1]]
+        first = int(sizes.min())
+        out[n, :first] = out[n, first] * 2.0 ** (-(first - np.arange(first)) / 2)
+    return np.maximum(margin * out, least)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -86,11 +118,12 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", centroids: int = 4, sample: int = 600, floor: float = 0.05) -> CentroidModel | None:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", centroids: int = 4, sample: int = 600, floor: float = 0.05, quantile: float = 0.005, margin: float = 0.45) -> CentroidModel | None:
     """A model from the rows where train holds and the language isn't null; None if there are none.
 
     sample bounds the rows of each language that are expected to be used, centroids the
-    centroids of each language; floor is the smallest cosine that isn't rejected.
+    centroids of each language. The smallest cosine that isn't rejected is margin times the
+    quantile of the rows used, by language and size, and floor at least.
     """
     rows = docs.where(train & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
     rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
@@ -123,7 +156,12 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     groups = [_kmeans(x[langs == n], centroids) for n in names]
-    return CentroidModel(names, idf, np.concatenate(groups).astype(np.float32), np.repeat(np.arange(len(names)), [len(g) for g in groups]), floor)
+    owner = np.searchsorted(names, langs)
+    own = np.empty(len(x))
+    for k, g in enumerate(groups):
+        own[owner == k] = (x[owner == k] @ g.T).max(axis=1)
+    floors = _floors(own, _sizes(x), owner, len(names), quantile, margin, floor)
+    return CentroidModel(names, idf, np.concatenate(groups).astype(np.float32), np.repeat(np.arange(len(names)), [len(g) for g in groups]), floors)
 
 
 def identify(docs: DataFrame, model: CentroidModel | None, text_col: str = "text") -> DataFrame:
@@ -140,12 +178,12 @@ def identify(docs: DataFrame, model: CentroidModel | None, text_col: str = "text
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 letters = part.column("__letters").to_pylist()
-                at, score = m.predict(part.column(text_col).to_pylist()) if m else (np.zeros(len(letters), int), np.zeros(len(letters)))
+                at, score, far = m.predict(part.column(text_col).to_pylist()) if m else (np.zeros(len(letters), int), np.zeros(len(letters)), np.ones(len(letters), bool))
                 ok = [bool(m) and x for x in letters]
                 yield {n: part.column(n) for n in names} | {
                     "lang_pred": [m.languages[a] if x else UNKNOWN for a, x in zip(at, ok)],
                     "score": [float(s) if x else 0.0 for s, x in zip(score, ok)],
-                    "rejected": [not x or s < m.floor for s, x in zip(score, ok)],
+                    "rejected": [not x or bool(f) for f, x in zip(far, ok)],
                 }
 
     return map_arrow(rows, run, T.StructType(keep + added))

@@ -144,6 +144,17 @@ def test_language(spark):
     assert {r["lang_pred"] for r in lang_centroid.identify(df, None).collect()} == {"und"}
 
 
+def test_language_rejects_other_texts(spark):
+    rng = np.random.default_rng(10)
+    words = {k: ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(150)] for k, letters in (("aa", "abdeilmnost"), ("bb", "aeghikorsuz"))}
+    clean = [" ".join(rng.choice(words[k], n)) for n in (4, 12, 40, 150) for _ in range(60) for k in words]
+    other = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), n)) for n in (100, 400, 1500)] + ["我们在这里讨论语言识别的问题" * n for n in (1, 20)] + ["все люди рождаются свободными и равными " * n for n in (1, 20)]
+    rows = [(i, t, ["aa", "bb"][i % 2]) for i, t in enumerate(clean)] + [(1000 + i, t, None) for i, t in enumerate(other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["rejected"] for r in lang_centroid.identify(df, lang_centroid.fit(df, F.col("doc_id") % 3 != 1)).collect()}
+    assert not any(got[i] for i in range(len(clean))) and all(got[1000 + i] for i in range(len(other)))
+
+
 def brute_word(piece, first, stop, word):
     """The sum over all segmentations, by plain recursion."""
     text = "▁" + word

@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where none is set a folder of this machine serves if the master runs in one process
+    (``local[n]``, as in tests); on a cluster, where rows would be lost, that is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "proofgrid-scratch")
     return root.rstrip("/")
 

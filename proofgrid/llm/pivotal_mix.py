@@ -15,8 +15,9 @@ reduction tree of fixed fan-in. Groups, order and randomness depend only on ids
 seed, so reruns agree under any partitioning.
 
 Defined results: null texts and texts without words have size 0 and take 0; a null source
-is a source of its own, sorted last; repeated rows are documents of their own; an empty
-table gives an empty result.
+is a source of its own, sorted last; repeated rows and ids are documents of their own; an
+empty table gives an empty result; texts are read whole; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -39,9 +40,17 @@ EPS = 1e-9
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, ceiling: float) -> DataFrame:
     """sizes (source, source_size, n) with ``target``; one aggregate over sources a round."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # a source's place is its place within its range of sources and the number of those in ranges before
+    order = F.col("source").asc_nulls_last()
+    ranged = stage(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    first, before = [], 0
+    for r in sorted(ranged.groupBy("part").count().collect()):
+        first += [F.lit(r["part"]), F.lit(before)]
+        before += r["count"]
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    place = place + F.create_map(*first)[F.col("part")] if first else place
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (place % len(weights) + 1).cast("int"))
-    rows = stage(sizes.select("source", "source_size", "n", w.alias("w")), "mix-sources")
+    rows = stage(ranged.select("source", "source_size", "n", w.alias("w")), "mix-sources")
     total = share * float(rows.agg(F.sum("source_size")).first()[0] or 0)
     level = 0.0
     while True:  # level is the words a unit of weight; it only rises, as sources stop
@@ -88,7 +97,7 @@ def _round_groups(groups: DataFrame, seed: int, last: bool) -> DataFrame:
     """Settle each (source key, grp); the p of the one left over stays fractional unless last."""
 
     def run(key, table):
-        table = table.sort_by([("size", "descending"), ("id", "ascending")])
+        table = table.sort_by([("size", "descending"), ("id", "ascending"), *((c, "ascending") for c in table.column_names if c.startswith("__"))])
         ids, size = table["id"].to_pylist(), table["size"].to_numpy()
         p = table["p"].to_numpy().copy()
         held = settle(ids, size, p, seed)
@@ -100,11 +109,24 @@ def _round_groups(groups: DataFrame, seed: int, last: bool) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    ceiling: float = 2.0,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """id, source, size, source_size, target, copies, taken for every row of docs (``id`` as id_col)."""
+    """id_col, size, source_size, target, taken, then copies and source, for every row of docs.
+
+    row_col, a column that tells rows of one id apart, comes last if it is given.
+    """
+    carried = [F.col(f"`{row_col}`").alias("__row")] * (row_col is not None)
+    names = ["__row"] * len(carried)
     words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    base = stage(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), words.alias("size")), "mix-sizes")
+    base = stage(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), words.alias("size"), *carried), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = stage(targets(sizes, weights, share, ceiling), "mix-targets")
     plan = plan.select(F.col("source").alias("s"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF)).alias("leaves"), F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).alias("skey"))
@@ -112,7 +134,7 @@ def mix(
     rate = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = joined.withColumn("whole", F.floor(rate + EPS).cast("long")).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("leaves")))
-    rows = stage(rows.select("skey", "grp", "leaves", "id", "source", "size", "source_size", "target", "whole", "p"), "mix-rates")
+    rows = stage(rows.select("skey", "grp", "leaves", "id", "source", "size", "source_size", "target", "whole", "p", *names), "mix-rates")
 
     fractional = F.col("p") > EPS
     left, finished = rows.where(fractional), [rows.where(~fractional).withColumn("p", F.lit(0.0))]
@@ -128,10 +150,14 @@ def mix(
     for part in finished[1:]:
         whole = whole.unionByName(part)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return whole.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    taken = (copies * F.col("size")).alias("taken")
+    return whole.select(F.col("id").alias(id_col), "size", "source_size", "target", taken, copies.alias("copies"), "source", *(F.col(n).alias(row_col) for n in names))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs, each row as often as the mix takes it; ids must be unique."""
-    taken = mixed.where("copies > 0").select(id_col, F.col("copies").alias("__copies"))
-    return docs.join(taken, id_col).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def repeat(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, **options) -> DataFrame:
+    """docs, each row as often as the mix takes it; rows are told apart by number, so ids may repeat."""
+    numbered = stage(docs.withColumn("__number", F.monotonically_increasing_id()), "mix-rows")
+    mixed = mix(numbered, weights, share, ceiling, row_col="__number", **options)
+    taken = mixed.where("copies > 0").select("__number", F.col("copies").alias("__copies"))
+    rows = numbered.join(taken, "__number").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -90,19 +90,47 @@ def test_components(spark):
         assert got == {i: 0 for i in range(1, 61)} | {k: 100 for k in range(101, 140)}
 
 
+def water_filling(size, weights, share, ceiling):
+    """Targets by weight, those above their ceiling stopped and the rest shared again, round after round."""
+    names = sorted((s for s in size if s is not None), key=lambda s: [*map(ord, s)]) + [None] * (None in size)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, goal, free = share * sum(size.values()), {}, set(names)
+    while free:
+        part = {s: (total - sum(goal.values())) * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if part[s] >= ceiling * size[s]}
+        if not over:
+            return goal | part
+        goal |= {s: ceiling * size[s] for s in over}
+        free -= over
+    return goal
+
+
 def test_mix(spark):
-    rows = [(i, " ".join(["w"] * (1 + i * 7 % 90)), None if i % 5 == 0 else f"s{i % 4}") for i in range(900)] + [(900, None, "s1"), (901, " ", "s9")]
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 90)), None if i % 5 == 0 else f"s{i % 4}") for i in range(900)] + [(900, None, "s1"), (901, " ", "s9"), (902, "w " * 30_000, "é"), (903, "x y", "Z"), (903, "x y", "Z"), (903, "x", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    a, b = (sorted(map(tuple, pivotal_mix.mix(df.repartition(n)).collect()), key=repr) for n in (1, 5))
-    assert a == b and len(a) == len(rows)
-    size = {s: sum(r[2] for r in a if r[1] == s) for s in {r[1] for r in a}}
-    goal = {r[1]: r[4] for r in a}
-    assert all(r[3] == size[r[1]] and r[6] in (r[2] * r[5],) and 0 <= r[6] <= 2 * r[2] for r in a)
-    assert sum(goal.values()) == pytest.approx(min(1.5 * sum(size.values()), 2 * sum(size.values())))
-    for s in size:
-        assert abs(sum(r[6] for r in a if r[1] == s) - goal[s]) <= 90 and goal[s] <= 2 * size[s] + 1e-6
-    assert pivotal_mix.mix(df.limit(0)).count() == 0
-    assert pivotal_mix.repeated(df, pivotal_mix.mix(df)).count() == sum(r[5] for r in a)
+    for clash in ("copies", "source_size", "target", "size", "taken", "p", "grp"):
+        df = df.withColumn(clash, F.lit("clash"))
+    for weights, share in (((3, 1, 2), 1.5), ((1, 50), 1.2)):
+        a, b = (sorted(map(tuple, pivotal_mix.mix(df.repartition(n), weights, share).collect()), key=repr) for n in (1, 5))
+        assert a == b and len(a) == len(rows)
+        size = {s: sum(r[1] for r in a if r[6] == s) for s in {r[6] for r in a}}
+        goal = water_filling(size, weights, share, 2.0)
+        assert all(r[2] == size[r[6]] and r[3] == pytest.approx(goal[r[6]]) and r[4] == r[1] * r[5] <= 2 * r[1] for r in a)
+        most = {s: max(r[1] for r in a if r[6] == s) for s in size}
+        for s in size:
+            assert abs(sum(r[4] for r in a if r[6] == s) - goal[s]) <= most[s] / 2 + 1e-6
+    assert pivotal_mix.mix(df).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    assert pivotal_mix.mix(df.limit(0)).count() == 0 and pivotal_mix.repeat(df.limit(0)).count() == 0
+
+
+def test_mix_repeats_rows_of_one_id(spark):
+    rows = [(7, "a b", "s"), (7, "a b", "s"), (7, "c d e f", "s"), (8, None, "s"), (9, "g", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("clash"))
+    got = pivotal_mix.repeat(df)
+    assert got.columns == df.columns
+    taken = {c: sum(r[5] for r in pivotal_mix.mix(df).collect() if r[0] == c) for c in (7, 8, 9)}
+    have = [r["doc_id"] for r in got.collect()]
+    assert {c: have.count(c) for c in (7, 8, 9)} == taken and 0 < taken[7] <= 6
 
 
 def test_urls(spark):

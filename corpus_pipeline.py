@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: 0, 1 or 2 times."""
-    return pivotal_mix.repeated(docs, pivotal_mix.mix(docs, weights=(3, 1, 2), share=1.5, ceiling=2.0))
+    return pivotal_mix.repeat(docs, weights=(3, 1, 2), share=1.5, ceiling=2.0)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,6 +85,14 @@ def max_level(rarity: Column) -> Column:
     return F.when(rarity.between(1, 4), rarity * 5).otherwise(25).cast("int")
 
 
+def main_allowed(cost: Column, key: Column, legal: Mapping[int, Sequence[str]]) -> Column:
+    """Whether a cost may have the key as its main value (CS1); legal lists the keys of each cost."""
+    fits = F.lit(False)
+    for c, keys in legal.items():
+        fits = fits | ((cost == c) & key.isin(list(keys)))
+    return F.coalesce(fits, F.lit(False))
+
+
 def scaled_value(start: Column, end: Column, level: Column, most: Column, flat: Column) -> Column:
     """A value that grows linearly with level, cut down to a tenth, or to a whole number if flat (CS3)."""
     at = F.greatest(F.lit(0), F.least(level, most))
@@ -92,9 +100,9 @@ def scaled_value(start: Column, end: Column, level: Column, most: Column, flat:
     return F.when(flat, F.floor(raw + 1e-9).cast("double")).otherwise(F.floor(raw * 10 + 1e-9) / 10)
 
 
-def consistent_level(value: Column, start: Column, end: Column, most: Column, flat: Column, tolerance: float = 0.051) -> Column:
-    """The only level that gives the value within tolerance, or null (CS6)."""
-    fits = F.filter(F.sequence(F.lit(0), most), lambda lv: F.abs(scaled_value(start, end, lv, most, flat) - value.cast("double")) <= tolerance)
+def consistent_level(value: Column, start: Column, end: Column, most: Column, flat: Column, tolerance: float = 0.051, levels: int = 25) -> Column:
+    """The only level from 0 to ``levels`` that gives the value within tolerance, or null (CS6)."""
+    fits = F.filter(F.sequence(F.lit(0), F.lit(levels)), lambda lv: f32(F.abs(f32(f32(scaled_value(start, end, lv, most, flat)) - f32(value)))) <= f32(tolerance))
     return F.when(F.size(fits) == 1, F.get(fits, F.lit(0)))
 
 

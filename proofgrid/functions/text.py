@@ -6,12 +6,23 @@ All are built-in functions, so they stay in whole-stage code generation. Rule ta
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The grammars that reads are held against.
+LEADING_JUNK = r"^[\(\[\{<\|+*~✦\-•\s]+"
+TRAILING_JUNK = r"[^0-9a-zA-Z%\.\s]+$"
+BROKEN_PERCENT = r"(\d+)\s*(?:0/0|/0|o/o|O/O)"
+STAT_LINE = r"^(.+?)\s+([\d,]+\.?\d*)\s*(%?)$"
+VALUE_LINE = r"^[-+]?\s*(\d+(?:[.,]\d+)?)\s*(%)?$"
+OWNER_LINE = r"(?i)Equipped\s+by\s+(.+)"
+CAPTURE_NAME = r"_p(\d+)_r(\d+)_c(\d+)_idx(\d+)\.png$"
+PERCENT_TOP = 50.0
+
+
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
     """f(c) with c computed once, however often f uses it."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
@@ -59,24 +70,28 @@ def similarity(a: Column, b: Column) -> Column:
 
 def repair_artifacts(c: Column) -> Column:
     """Blank to empty; leading bullets and brackets and trailing symbols go; a percent sign read as 0/0 comes back (TX1)."""
-    s = F.regexp_replace(c, r"^[\(\[\{<\|+*~✦\-•\s]+", "")
-    s = F.regexp_replace(s, r"[^0-9a-zA-Z%\.\s]+$", "")
-    s = F.regexp_replace(s, r"(\d+)\s*(?:0/0|/0|o/o|O/O)", "$1%")
+    s = F.regexp_replace(c, LEADING_JUNK, "")
+    s = F.regexp_replace(s, TRAILING_JUNK, "")
+    s = F.regexp_replace(s, BROKEN_PERCENT, "$1%")
     return F.when(blank(c), F.lit("")).otherwise(F.trim(s))
 
 
 def match_label(c: Column, aliases: Sequence[tuple[str, str]]) -> Column:
-    """The key of the first alias (key, pattern), in order, whose pattern is found ignoring case (TX2)."""
-    found = [F.when(c.rlike(f"(?i){pattern}"), F.lit(key)) for key, pattern in aliases]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+    """The key of the first alias (key, pattern), in order, whose pattern is found in the repaired label, ignoring case (TX2)."""
+    if not aliases:
+        return F.lit(None).cast("string")
+    return let(repair_artifacts(c), lambda label: F.coalesce(*(F.when(label.rlike(f"(?i){pattern}"), F.lit(key)) for key, pattern in aliases)))
+
+
+def recover_percent(v: Column, most: float = PERCENT_TOP) -> Column:
+    """Percent values that lost their decimal point: divided by ten, in single precision, until they are not above most."""
 
+    def scaled(x: Column) -> Column:
+        steps = F.coalesce(F.ceil(F.least(F.log10(x.cast("double") / most), F.lit(40.0))), F.lit(0)) + 1
+        ladder = F.sequence(F.lit(1), F.greatest(steps, F.lit(1)).cast("int"))
+        return F.when(x > most, F.aggregate(ladder, x, lambda a, _: F.when(a > most, (a / F.lit(10)).cast("float")).otherwise(a))).otherwise(x)
 
-def recover_percent(v: Column, most: float = 50.0, steps: int = 6) -> Column:
-    """Percent values that lost their decimal point: divided by ten until they are not above most."""
-    out = v
-    for _ in range(steps):
-        out = let(out, lambda x: F.when(x > most, (x / F.lit(10)).cast("float")).otherwise(x))
-    return out
+    return let(v, scaled)
 
 
 def parse_line(c: Column, aliases: Sequence[tuple[str, str]], percent_of: dict[str, str], percent_keys: Sequence[str]) -> Column:
@@ -84,14 +99,17 @@ def parse_line(c: Column, aliases: Sequence[tuple[str, str]], percent_of: dict[s
 
     aliases as in match_label; up to two trailing tokens of the label are dropped until one
     matches. percent_of maps a flat key to its percent twin, taken when the value has a
-    percent sign; values of percent_keys above 50 are scaled down by tens.
+    percent sign; values with a percent sign above 50 are scaled down by tens. raw_label is the
+    label that matched. Keys that are percents by themselves (percent_keys) need nothing else.
     """
-    pattern = r"^(.+?)\s+([\d,]+\.?\d*)\s*(%?)$"
+    pattern = STAT_LINE
     drop = lambda t: F.regexp_replace(t, r"\s+\S+$", "")
 
     def keyed(line: Column) -> Column:
-        label = F.regexp_extract(line, pattern, 1)
-        key = F.coalesce(let(F.trim(label), lambda t: match_label(t, aliases)), let(drop(F.trim(label)), lambda t: match_label(t, aliases)), let(drop(drop(F.trim(label))), lambda t: match_label(t, aliases)))
+        whole = F.trim(F.regexp_extract(line, pattern, 1))
+        tried = F.transform(F.array_distinct(F.array(whole, drop(whole), drop(drop(whole)))), lambda t: F.struct(match_label(t, aliases).alias("key"), t.alias("label")))
+        hit = F.get(F.filter(tried, lambda t: t["key"].isNotNull()), F.lit(0))
+        label, key = hit["label"], hit["key"]
         value = F.regexp_replace(F.regexp_extract(line, pattern, 2), ",", "").try_cast("float")
         return F.struct(label.alias("label"), key.alias("key"), value.alias("value"), F.regexp_extract(line, pattern, 2).alias("raw"), F.regexp_extract(line, pattern, 3).alias("sign"), line.rlike(pattern).alias("ok"))
 
@@ -101,7 +119,7 @@ def parse_line(c: Column, aliases: Sequence[tuple[str, str]], percent_of: dict[s
 
     def valued(p: Column, key: Column) -> Column:
         scaled = let(p["value"], lambda v: recover_percent(v))
-        value = F.when(key.isin(list(percent_keys)) | (p["sign"] == "%"), scaled).otherwise(p["value"])
+        value = F.when(p["sign"] == "%", scaled).otherwise(p["value"])
         ok = p["ok"] & key.isNotNull() & p["value"].isNotNull()
         return F.when(ok, F.struct(key.alias("key"), value.cast("float").alias("value"), p["label"].alias("raw_label"), F.concat(p["raw"], p["sign"]).alias("raw_value")))
 
@@ -135,7 +153,7 @@ def clean_text(c: Column) -> Column:
 
 def value_line(c: Column) -> Column:
     """A line that holds only a value: struct(value float, percent boolean), or null (TX9)."""
-    pattern = r"^[-+]?\s*(\d+(?:[.,]\d+)?)\s*(%)?$"
+    pattern = VALUE_LINE
     line = F.trim(c)
     value = F.replace(F.regexp_extract(line, pattern, 1), F.lit(","), F.lit(".")).try_cast("float")
     return F.when(line.rlike(pattern), F.struct(value.alias("value"), (F.regexp_extract(line, pattern, 2) == "%").alias("percent")))
@@ -158,7 +176,7 @@ def capture_name(page: Column, row: Column, col: Column, index: Column, prefix:
 
 def parse_capture_name(c: Column) -> Column:
     """page, row, col, index (as written) of a capture's file name or path, or null."""
-    pattern = r"_p(\d+)_r(\d+)_c(\d+)_idx(\d+)\.png$"
+    pattern = CAPTURE_NAME
     part = lambda k: F.regexp_extract(c, pattern, k).try_cast("int")
     return F.when(c.rlike(pattern), F.struct(part(1).alias("page"), part(2).alias("row"), part(3).alias("col"), part(4).alias("index")))
 
@@ -186,7 +204,7 @@ def is_header(c: Column, patterns: Sequence[str]) -> Column:
 
 def extract_owner(c: Column) -> Column:
     """What follows the words equipped by (ER14)."""
-    return nullif_empty(F.trim(F.regexp_extract(c, r"(?i)Equipped\s+by\s+(.+)", 1)))
+    return nullif_empty(F.trim(F.regexp_extract(c, OWNER_LINE, 1)))
 
 
 def strip_variant(c: Column, word: str = "phantom") -> Column:
@@ -205,6 +223,37 @@ def plain_number(c: Column, places: int = 5) -> Column:
     return F.call_function("format_number", c.cast("double"), F.lit("0." + "#" * places))
 
 
+def two_places(c: Column) -> Column:
+    """A number with at least one decimal and two at most (TX18)."""
+    return F.call_function("format_number", c.cast("double"), F.lit("0.0#"))
+
+
+def fixed_places(c: Column, places: int = 2) -> Column:
+    """A number with exactly so many decimals (TX18)."""
+    return F.format_string(f"%.{places}f", c.cast("double"))
+
+
+def as_percent(c: Column, places: int = 1) -> Column:
+    """A share as a percentage (TX18)."""
+    return F.concat(fixed_places(c.cast("double") * 100, places), F.lit("%"))
+
+
+def padded_number(c: Column, digits: int = 2) -> Column:
+    """A whole number with leading zeros (TX18)."""
+    return F.format_string(f"%0{digits}d", c.cast("long"))
+
+
+def to_display(c: Column, names: Mapping[str, str]) -> Column:
+    """The display name of a key, or the key itself (TX19)."""
+    return F.coalesce(*(F.when(c == k, F.lit(v)) for k, v in names.items()), c)
+
+
+def from_display(c: Column, names: Mapping[str, str]) -> Column:
+    """The key of a display name or of a key, ignoring case, the first that fits; else null (TX19, J13)."""
+    fits = [F.when((F.lower(c) == v.lower()) | (F.lower(c) == k.lower()), F.lit(k)) for k, v in names.items()]
+    return F.coalesce(*fits) if fits else F.lit(None).cast("string")
+
+
 def same_text(a: Column, b: Column, ignore_case: bool = False) -> Column:
     """Null-safe equality in which empty and null are one (AC1)."""
     a, b = (nullif_empty(x) for x in (a, b))

@@ -1,8 +1,8 @@
 """Entity resolution against a catalog: exact first, then fuzzy with an ambiguity report.
 
-Catalogs are dimensions: their size is counted and checked before they are broadcast, and
-beyond the bound the fuzzy step runs as a shuffle join on blocks of equal length bands and
-shared trigrams is refused rather than planned as a cartesian product.
+Catalogs are dimensions: their size is counted and checked before they are broadcast. A
+larger one is dealt into blocks that queries meet by a shuffle join, a block at a time, so
+that results stay exact at any size. Only distinct queries are compared.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import boundary_aligned, normalize_identity, similarity
+from ..functions.text import boundary_aligned, header_index, line_windows, lines_of, normalize_identity, similarity
 
 #: Catalog entries that may be broadcast.
 MOST_ENTRIES = 200_000
@@ -25,6 +25,20 @@ def small(df: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
     return F.broadcast(df)
 
 
+def paired(left: DataFrame, right: DataFrame, on: Column, most: int = MOST_ENTRIES) -> DataFrame:
+    """left joined with right on a condition that needn't be an equality.
+
+    Up to ``most`` rows of right are broadcast; more are dealt by hash into blocks of about
+    that size, and each row of left is sent to every block.
+    """
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), on)
+    blocks = -(-right.count() // most)
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int"))
+    sent = left.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return sent.join(dealt, (F.col("_to") == F.col("_block")) & on).drop("_to", "_block")
+
+
 def _pick(scored: DataFrame, key: str, threshold: float) -> DataFrame:
     """Best and runner-up of each key by score, boundary, longer name, name (SRT3, WIN1)."""
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("edge"), F.desc(F.length("norm")), "name")
@@ -36,7 +50,7 @@ def _pick(scored: DataFrame, key: str, threshold: float) -> DataFrame:
     return best.select(key, F.when(F.col("score") >= f(threshold), F.col("first")).alias("entry"), "score", ambiguous.alias("ambiguous"), "runner_up", "runner_up_score")
 
 
-def match(queries: DataFrame, catalog: DataFrame, key: str, text: str, name: str, threshold: float = THRESHOLD, pool: Column | None = None) -> DataFrame:
+def match(queries: DataFrame, catalog: DataFrame, key: str, text: str, name: str, threshold: float = THRESHOLD, pool: Column | None = None, most: int = MOST_ENTRIES) -> DataFrame:
     """(key, entry, score, ambiguous, runner_up, runner_up_score) for every query (ER3, J4, J7).
 
     An equal normalised name wins at once; queries of fewer than four characters only get
@@ -45,27 +59,31 @@ def match(queries: DataFrame, catalog: DataFrame, key: str, text: str, name: str
     catalog a query is compared with.
     """
     q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)).withColumn("query", normalize_identity(F.coalesce(F.col(f"q_{text}"), F.lit(""))))
+    alike = [c for c in q.columns if c not in (f"q_{key}", f"q_{text}")] if pool is not None else ["query"]
+    q = q.withColumn("_alike", F.to_json(F.struct(*alike)))
+    asked = q.select(F.col(f"q_{key}").alias(key), "_alike")
+    q = q.select("_alike", *alike).distinct()  # every other column follows from _alike
     c = catalog.select(*(F.col(x).alias(f"c_{x}") for x in catalog.columns)).withColumn("norm", normalize_identity(F.col(f"c_{name}"))).where("norm <> ''")
-    c = small(c if pool is not None else c.select(F.col(f"c_{name}"), "norm").distinct())
-    k = f"q_{key}"
+    c = c if pool is not None else c.select(F.col(f"c_{name}"), "norm").distinct()
+    k = "_alike"
     within = F.lit(True) if pool is None else pool
     exact = q.join(c, (F.col("query") == F.col("norm")) & within).groupBy(k).agg(F.min(f"c_{name}").alias("entry"))
     exact = exact.select(k, "entry", F.lit(1).cast("float").alias("score"), F.lit(False).alias("ambiguous"), F.lit(None).cast("string").alias("runner_up"), F.lit(None).cast("float").alias("runner_up_score"))
     rest = q.join(exact.select(k), k, "left_anti").where("query <> ''")
-    scored = rest.join(c, within).select(k, "query", F.col(f"c_{name}").alias("name"), "norm", similarity(F.col("query"), F.col("norm")).alias("score"), boundary_aligned(F.col("query"), F.col("norm")).alias("edge"))
+    scored = paired(rest, c, within, most).select(k, "query", F.col(f"c_{name}").alias("name"), "norm", similarity(F.col("query"), F.col("norm")).alias("score"), boundary_aligned(F.col("query"), F.col("norm")).alias("edge"))
     short = scored.where(F.length("query") < SHORTEST).groupBy(k).agg(F.max("score").alias("score"))
     short = short.select(k, F.lit(None).cast("string").alias("entry"), "score", F.lit(False).alias("ambiguous"), F.lit(None).cast("string").alias("runner_up"), F.lit(None).cast("float").alias("runner_up_score"))
     fuzzy = _pick(scored.where(F.length("query") >= SHORTEST), k, threshold)
-    found = exact.unionByName(short).unionByName(fuzzy).withColumnRenamed(k, key)
+    found = exact.unionByName(short).unionByName(fuzzy)
     blank = F.lit(0).cast("float")
-    return queries.select(key).join(found, key, "left").withColumn("score", F.coalesce("score", blank)).withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
+    return asked.join(found, k, "left").drop(k).withColumn("score", F.coalesce("score", blank)).withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
 
 
 def match_constrained(queries: DataFrame, catalog: DataFrame, key: str, text: str, name: str, pool: Column, threshold: float = THRESHOLD) -> DataFrame:
     """match within the pool; a query whose pool is empty is matched against all, with widened set (J7, ER9)."""
     q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
     c = catalog.select(*(F.col(x).alias(f"c_{x}") for x in catalog.columns))
-    has = q.join(small(c), pool, "left_semi").select(F.col(f"q_{key}").alias(key))
+    has = q.join(c, pool, "left_semi").select(F.col(f"q_{key}").alias(key))
     narrow = match(queries.join(has, key, "left_semi"), catalog, key, text, name, threshold, pool).withColumn("widened", F.lit(False))
     wide = match(queries.join(has, key, "left_anti"), catalog, key, text, name, threshold).withColumn("widened", F.lit(True))
     return narrow.unionByName(wide)
@@ -93,37 +111,161 @@ def zone_text(lines: Column) -> Column:
     return F.filter(F.transform(lines, strip), lambda x: F.length(x) >= 4)
 
 
+def member(values: Column, v: Column) -> Column:
+    """Whether an array holds a text, ignoring case (FLT2)."""
+    return F.coalesce(F.exists(values, lambda x: F.lower(x) == F.lower(v)), F.lit(False))
+
+
+def _choice(value: Column, confidence: Column, source: str, settles: Column) -> Column:
+    return F.struct(value.alias("value"), confidence.cast("float").alias("confidence"), F.lit(source).alias("source"), settles.alias("settles"))
+
+
 def arbitrate(icon: Column, icon_confidence: Column, text: Column, text_confidence: Column, legal: Column) -> Column:
-    """struct(value, confidence, source): text if it is legal, else a legal icon, else the icon (ER12, ER13)."""
-    ok = lambda v: F.coalesce(F.array_contains(legal, v), F.lit(False))
-    pick = lambda v, c, s: F.struct(v.alias("value"), c.cast("float").alias("confidence"), F.lit(s).alias("source"))
-    default = F.get(legal, F.lit(0))
+    """struct(value, confidence, source, settles) of an icon's and a text's reading, null without an icon (ER12).
+
+    A text that differs from the icon wins if it is legal for the entity; then, if the icon
+    isn't, the contradiction between entity and evidence is settled. Without an entity
+    (legal is null) everything is legal.
+    """
+    ok = lambda v: legal.isNull() | member(legal, v)
+    other = text.isNotNull() & (F.lower(text) != F.lower(icon))
+    return F.when(icon.isNotNull(), F.when(F.coalesce(other & ok(text), F.lit(False)), _choice(text, text_confidence, "text", ~ok(icon))).otherwise(_choice(icon, icon_confidence, "icon", F.lit(False))))
+
+
+def without_icon(header: Column, line: Column, matched: Column, score: Column, legal: Column) -> Column:
+    """struct(value, confidence, source, settles) where there is no icon, or null (ER13).
+
+    header: the heading's place among the lines, 0 without one; line: the cleaned line after
+    it; matched and score: the line's best entry at 0.55. The line as it is has 0.30; without
+    a heading the entity's first legal value has 0.50.
+    """
+    has, default = F.length(line) > 0, F.get(legal, F.lit(0))
+    no = F.lit(False)
     return (
-        F.when(text.isNotNull() & ok(text), pick(text, text_confidence, "text"))
-        .when(icon.isNotNull(), pick(icon, icon_confidence, "icon"))
-        .when(text.isNotNull(), pick(text, F.lit(0.30), "raw"))
-        .when(default.isNotNull(), pick(default, F.lit(0.50), "catalog"))
+        F.when((header > 0) & has & matched.isNotNull(), _choice(matched, score, "text", no))
+        .when((header > 0) & has, _choice(line, F.lit(0.30), "raw", no))
+        .when((header == 0) & default.isNotNull(), _choice(default, F.lit(0.50), "catalog", no))
     )
 
 
+def after_header(lines: Column, *words: str) -> Column:
+    """The line after the heading, from its first @ or bracket on cut off, blanks squeezed (ER13)."""
+    at = header_index(F.transform(lines, F.lower), *(w.lower() for w in words))
+    line = F.when(at > 0, F.get(lines, at))
+    return F.trim(F.regexp_replace(F.regexp_replace(line, r"[@\(].*$", ""), r"\s+", " "))
+
+
+def zone_set(df: DataFrame, key: str, text: str, sets: DataFrame, name: str, threshold: float = 0.70) -> DataFrame:
+    """(key, value, confidence): the best set that a line of a text zone names, the earliest line among equals (ER11)."""
+    lines = df.select(key, F.posexplode(zone_text(lines_of(F.coalesce(F.col(text), F.lit(""))))).alias("_pos", "_line"))
+    lines = lines.withColumn("_id", F.struct(key, "_pos"))
+    found = match(lines.select("_id", "_line"), sets, "_id", "_line", name, threshold).where("entry is not null")
+    best = F.max_by(F.struct("entry", "score"), F.struct("score", -F.col("_id._pos")))
+    return found.groupBy(F.col(f"_id.{key}").alias(key)).agg(best.alias("b")).select(key, F.col("b.entry").alias("value"), F.col("b.score").alias("confidence"))
+
+
+def contradicted(score: Column, cost: Column, entry_cost: Column, share: float = 0.8) -> Column:
+    """A name's score, cut where the cost that was read isn't its entry's (ER10)."""
+    f = lambda c: c.cast("float")
+    return F.when(cost != entry_cost, f(f(score) * f(F.lit(share)))).otherwise(f(score))
+
+
+def candidate_texts(df: DataFrame, key: str, text: str, alternate: str | None = None) -> DataFrame:
+    """(key, stage, pos, text): the whole text (0), its two-line windows (1), and of an alternate read the whole (2) and its lines (3) (ER7)."""
+    whole = lambda c, s: F.array(F.struct(F.lit(s).alias("stage"), F.lit(0).alias("pos"), c.alias("text")))
+    each = lambda c, s: F.transform(c, lambda x, i: F.struct(F.lit(s).alias("stage"), i.alias("pos"), x.alias("text")))
+    parts = [whole(F.col(text), 0), each(line_windows(lines_of(F.coalesce(F.col(text), F.lit("")))), 1)]
+    if alternate is not None:
+        parts += [whole(F.col(alternate), 2), each(lines_of(F.coalesce(F.col(alternate), F.lit(""))), 3)]
+    return df.select(key, F.inline(F.concat(*parts)))
+
+
+def name_cascade(df: DataFrame, catalog: DataFrame, key: str, text: str, name: str, alternate: str | None = None, pool: Column | None = None, accept: float = 0.75, stop: float = 0.90, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, entry, score, stage) by the name cascade (ER7, steps a to c).
+
+    The whole text counts first. Below accept its windows are tried while the score is below
+    stop; a window that is strictly better counts even if it is below the threshold and so
+    has no entry. Below accept still, the alternate read counts, then its lines while the
+    score is below stop; these only with an entry. All candidates are matched at once and
+    folded in order.
+    """
+    cand = candidate_texts(df, key, text, alternate).withColumn("_id", F.struct(key, "stage", "pos"))
+    others = df.drop(text, *([alternate] if alternate else []))
+    asked = cand.select(key, "_id", "text").join(others, key) if pool is not None else cand.select("_id", "text")
+    found = match(asked, catalog, "_id", "text", name, threshold, pool)
+    f = lambda x: F.lit(x).cast("float")
+    row = F.struct(F.col("_id.stage").alias("stage"), F.col("_id.pos").alias("pos"), "entry", "score")
+    grouped = found.groupBy(F.col(f"_id.{key}").alias(key)).agg(F.array_sort(F.collect_list(row)).alias("c"))
+    start = F.struct(F.lit(None).cast("string").alias("entry"), f(-1.0).alias("score"), F.lit(-1).alias("stage"), F.lit(-1).alias("part"), f(-1.0).alias("gate"))
+
+    def step(acc: Column, c: Column) -> Column:
+        part = F.least(c["stage"], F.lit(2))
+        gate = F.when(part != acc["part"], acc["score"]).otherwise(acc["gate"])
+        open_ = (part == 0) | ((gate < f(accept)) & ((c["stage"] == 2) | (acc["score"] < f(stop))))
+        better = open_ & (c["score"] > acc["score"]) & ((c["stage"] <= 1) | c["entry"].isNotNull())
+        keep = lambda x: F.when(better, c[x]).otherwise(acc[x]).alias(x)
+        return F.struct(keep("entry"), keep("score"), keep("stage"), part.alias("part"), gate.alias("gate"))
+
+    out = grouped.select(key, F.aggregate("c", start, step).alias("r"))
+    return df.select(key).join(out, key, "left").select(key, "r.entry", F.coalesce("r.score", f(0.0)).alias("score"), F.when(F.col("r.entry").isNotNull(), F.col("r.stage")).alias("stage"))
+
+
+def name_in_pool(df: DataFrame, catalog: DataFrame, key: str, text: str, name: str, pool: Column, alternate: str | None = None, reread: str | None = None) -> DataFrame:
+    """(key, entry, score, stage, contradicts): the cascade within the pool, else within the whole catalog, else over a second read (ER7, steps d and e).
+
+    contradicts says that no entry of the pool fits, or the pool is empty; a second read that
+    hits within the pool clears it.
+    """
+    found = name_cascade(df, catalog, key, text, name, alternate, pool).withColumn("contradicts", F.lit(False))
+    for column, within in ((text, None), *(((reread, pool), (reread, None)) if reread else ())):
+        none = found.where("entry is null").select(key)
+        again = name_cascade(df.join(none, key, "left_semi"), catalog, key, column, name, alternate if column == text else None, within).where("entry is not null")
+        again = again.withColumn("contradicts", F.lit(within is None))
+        found = found.join(again.select(key), key, "left_anti").unionByName(again)
+    return found.withColumn("contradicts", F.col("contradicts") | F.col("entry").isNull())
+
+
 def collisions(catalog: DataFrame, name: str, least: int = 5) -> DataFrame:
     """(inner, outer): names of which one's normal form contains another's of at least five characters."""
     names = catalog.select(F.col(name).alias("name")).distinct().withColumn("norm", normalize_identity(F.col("name")))
     a, b = names.toDF("inner", "a").where(F.length("a") >= least), names.toDF("outer", "b")
-    return small(a).join(b, (F.col("a") != F.col("b")) & F.col("b").contains(F.col("a"))).select("inner", "outer")
+    return paired(b, a, (F.col("a") != F.col("b")) & F.col("b").contains(F.col("a"))).select("inner", "outer")
 
 
-def rank_templates(samples: DataFrame, templates: DataFrame, key: str, vector: str, name: str, template: str, floor: float = 0.48) -> DataFrame:
+def template_scores(samples: DataFrame, templates: DataFrame, key: str, vector: str, name: str, template: str) -> DataFrame:
+    """(key, t_name, s): of each template the best L1 score of a key's samples (VS3)."""
+    from ..functions.vectors import l1_score
+
+    t = templates.select(F.col(name).alias("t_name"), F.col(template).alias("t_vector"))
+    scored = paired(samples.where(F.size(vector) > 0), t, F.lit(True)).select(key, "t_name", l1_score(F.col(vector), F.col("t_vector")).alias("s"))
+    return scored.groupBy(key, "t_name").agg(F.max("s").alias("s"))
+
+
+def rank_all(samples: DataFrame, templates: DataFrame, key: str, vector: str, name: str, template: str, k: int | None = None) -> DataFrame:
+    """(key, rank, name, score): all templates of each key, or the k best, best first (VS5, TOP2)."""
+    w = Window.partitionBy(key).orderBy(F.desc("s"), "t_name")
+    ranked = template_scores(samples, templates, key, vector, name, template).withColumn("rank", F.row_number().over(w))
+    ranked = ranked.where(F.col("rank") <= k) if k is not None else ranked
+    return ranked.select(key, "rank", F.col("t_name").alias("name"), F.col("s").alias("score"))
+
+
+def icon_warnings(samples: DataFrame, templates: DataFrame, key: str, vector: str, name: str, template: str, margin: float = 0.003, top: int = 3) -> DataFrame:
+    """(key, best, runner_up, margin, candidates) of keys whose best template leads by less than margin (VS6)."""
+    near = rank_templates(samples, templates, key, vector, name, template).where(F.col("best").isNotNull() & (F.col("margin") < margin))
+    names = rank_all(samples, templates, key, vector, name, template, top).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("r"))
+    return near.join(names, key).select(key, "best", "runner_up", "margin", F.transform("r", lambda x: x["name"]).alias("candidates"))
+
+
+def rank_templates(samples: DataFrame, templates: DataFrame, key: str, vector: str, name: str, template: str, floor: float = 0.48, single: float = 0.42) -> DataFrame:
     """(key, best, score, runner_up, margin, confidence): nearest template by L1 score (VS3-VS6, TOP2).
 
-    margin is 1 without a runner-up; best is null below floor; confidence min(.96, .55 + .4 score).
+    margin is 1 without a runner-up; best is null and confidence 0 below floor (single, where
+    there is but one template); confidence min(.96, .55 + .4 score).
     """
-    from ..functions.vectors import l1_score
-
-    t = small(templates.select(F.col(name).alias("t_name"), F.col(template).alias("t_vector")))
-    scored = samples.join(t).select(key, "t_name", l1_score(F.col(vector), F.col("t_vector")).alias("s")).groupBy(key, "t_name").agg(F.max("s").alias("s"))
+    floor = single if templates.limit(2).count() == 1 else floor
+    scored = template_scores(samples, templates, key, vector, name, template)
     w = Window.partitionBy(key).orderBy(F.desc("s"), "t_name")
     ranked = scored.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("t_name").over(w)).withColumn("next_s", F.lead("s").over(w)).where("k = 1")
     return ranked.select(
-        key, F.when(F.col("s") >= floor, F.col("t_name")).alias("best"), F.col("s").alias("score"), F.col("next").alias("runner_up"), F.coalesce(F.col("s") - F.col("next_s"), F.lit(1.0)).alias("margin"), F.least(F.lit(0.96), 0.55 + 0.4 * F.col("s")).alias("confidence")
+        key, F.when(F.col("s") >= floor, F.col("t_name")).alias("best"), F.col("s").alias("score"), F.col("next").alias("runner_up"), F.coalesce(F.col("s") - F.col("next_s"), F.lit(1.0)).alias("margin"), F.when(F.col("s") >= floor, F.least(F.lit(0.96), 0.55 + 0.4 * F.col("s"))).otherwise(0.0).alias("confidence")
     )

@@ -53,4 +53,10 @@ def repeated_keys(df: DataFrame, group: str, key: str) -> DataFrame:
 
 def padded(df: DataFrame, column: str, size: int) -> DataFrame:
     """An array column padded with nulls to size and cut there."""
-    return df.withColumn(column, F.slice(F.concat(F.col(column), F.array_repeat(F.element_at(F.col(column), 1) * F.lit(None), size)), 1, size))
+    kind = df.schema[column].dataType.elementType
+    return df.withColumn(column, F.slice(F.concat(F.col(column), F.array_repeat(F.lit(None).cast(kind), size)), 1, size))
+
+
+def overlay_array(base: DataFrame, edits: DataFrame, key: str, column: str, order: Sequence[str], size: int = 5) -> DataFrame:
+    """base with an array column replaced whole by its latest edit's, padded to size."""
+    return padded(overlay(base, edits, key, [column], order), column, size)

@@ -81,6 +81,53 @@ def hue(r: Column, g: Column, b: Column) -> Column:
     return F.when(d > 0, F.pmod(raw, F.lit(360.0)))
 
 
+#: Half-open bands of hue (rarity, from, to); a pixel votes above this opacity and brightness, gray ones for rarity 1.
+RARITY_HUES = ((2, 75, 175), (3, 175, 250), (4, 250, 335), (5, 32, 75))
+OPAQUE, BRIGHT, GRAY = 180, 0.58, 0.20
+
+
+def lightness(r: Column, g: Column, b: Column) -> Column:
+    """The mean of the strongest and the weakest channel, 0 to 1."""
+    return (F.greatest(r, g, b).cast("double") + F.least(r, g, b)) / 510
+
+
+def saturation(r: Column, g: Column, b: Column) -> Column:
+    """The share of the strongest and weakest channels' difference that their lightness allows."""
+    hi, lo = F.greatest(r, g, b).cast("double"), F.least(r, g, b).cast("double")
+    room = F.when(hi + lo <= 255, hi + lo).otherwise(510 - hi - lo)
+    return F.when(hi == lo, F.lit(0.0)).otherwise((hi - lo) / room)
+
+
+def rarity_of_pixel(r: Column, g: Column, b: Column, a: Column) -> Column:
+    """The rarity that a pixel votes for, or null."""
+    h = hue(r, g, b)
+    banded = F.coalesce(*(F.when((h >= lo) & (h < hi), F.lit(k)) for k, lo, hi in RARITY_HUES))
+    votes = (a > OPAQUE) & (lightness(r, g, b) >= BRIGHT)
+    return F.when(votes, F.when(saturation(r, g, b) < GRAY, F.lit(1)).otherwise(banded))
+
+
+def rarity_vote(pixels: Column) -> Column:
+    """The rarity that most struct(r, g, b, a) pixels vote for, the lowest among equals; 0 without votes (R16, AGG14)."""
+    votes = F.transform(pixels, lambda p: rarity_of_pixel(p["r"], p["g"], p["b"], p["a"]))
+    ranked = F.array_max(F.array(*(F.struct(F.size(F.filter(votes, lambda v, k=k: v == k)).alias("n"), F.lit(-k).alias("k")) for k in range(1, 6))))
+    return F.when(ranked["n"] > 0, -ranked["k"]).otherwise(0)
+
+
+def union_rect(rects: Column) -> Column:
+    """The rectangle around an array of struct(x, y, w, h), cut to 0..1; null without any (SET2, R18)."""
+    low = lambda c: F.greatest(F.lit(0.0), F.array_min(F.transform(rects, lambda r: r[c].cast("double"))))
+    high = lambda c, s: F.least(F.lit(1.0), F.array_max(F.transform(rects, lambda r: r[c].cast("double") + r[s])))
+    x, y = low("x"), low("y")
+    return F.when(F.size(rects) > 0, F.struct(x.alias("x"), y.alias("y"), (high("x", "w") - x).alias("w"), (high("y", "h") - y).alias("h")))
+
+
+def intersect_rect(a: Column, b: Column) -> Column:
+    """The common part of two rectangles struct(x, y, w, h), null without one (SET2)."""
+    x, y = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"])
+    w, h = F.least(a["x"] + a["w"], b["x"] + b["w"]) - x, F.least(a["y"] + a["h"], b["y"] + b["h"]) - y
+    return F.when((w > 0) & (h > 0), F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")))
+
+
 def rect_pixels(x: Column, y: Column, rw: Column, rh: Column, w: Column, h: Column) -> Column:
     """A normalised rectangle in whole pixels, cut to the image."""
     left, top = (F.greatest(F.lit(0), F.least((a * n).cast("int"), n - 1)) for a, n in ((x, w), (y, h)))
@@ -208,9 +255,39 @@ def sample_windows(scales: tuple[float, ...] = (0.8, 0.9, 1.0, 1.1, 1.2), xs: in
     return [(s, (i - xs // 2) * step, (j - ys // 2) * step) for s in scales for i in range(xs) for j in range(ys)]
 
 
+def resize(a: np.ndarray, factor: int = 2) -> np.ndarray:
+    """Enlarged by a whole factor with bicubic weights (a = -0.5) from clamped neighbours (R15); close to, not bit for bit, other libraries'."""
+
+    def weights(n: int) -> tuple[np.ndarray, np.ndarray]:
+        at = (np.arange(n * factor) + 0.5) / factor - 0.5
+        base = np.floor(at).astype(int)
+        t = np.abs(at[:, None] - (base[:, None] + np.arange(-1, 3)))
+        w = np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0))
+        return np.clip(base[:, None] + np.arange(-1, 3), 0, n - 1), w
+
+    rows, wr = weights(a.shape[0])
+    cols, wc = weights(a.shape[1])
+    tall = (a[rows].astype(float) * wr[:, :, None]).sum(axis=1)
+    wide = (tall[:, cols] * wc[None, :, :]).sum(axis=2)
+    return np.clip(np.rint(wide), 0, 255).astype(a.dtype)
+
+
+def sample_crops(a: np.ndarray, size: int = 16, **options) -> list[np.ndarray]:
+    """The crops of sample_windows, each brought to size x size by its nearest pixels (VS2)."""
+    h, w = a.shape[:2]
+    out = []
+    for scale, dx, dy in sample_windows(**options):
+        side = max(2, int(min(h, w) * min(scale, 1.0) / max(scale, 1.0) if scale > 1 else min(h, w) * scale))
+        left = int(np.clip((w - side) / 2 + dx * w, 0, w - side))
+        top = int(np.clip((h - side) / 2 + dy * h, 0, h - side))
+        at = ((np.arange(size) + 0.5) * side / size).astype(int)
+        out.append(a[top + at][:, left + at])
+    return out
+
+
 #: Named steps for pipelines over binarised rasters.
 STEPS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "adaptive": adaptive_mean, "artwork": drop_large, "specks": drop_specks, "highlight": drop_highlight_rows, "footer": trim_footer, "border": quiet_border,
+    "double": resize, "adaptive": adaptive_mean, "artwork": drop_large, "specks": drop_specks, "highlight": drop_highlight_rows, "footer": trim_footer, "border": quiet_border,
 }
 
 

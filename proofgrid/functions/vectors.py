@@ -20,6 +20,26 @@ def standardize(v: Column, most: float = 2.0) -> Column:
     return let(v.cast("array<double>"), lambda v: let(mean(v), lambda m: let(spread(v, m), lambda sd: scaled(v, m, sd))))
 
 
+def luma_signature(pixels: Column, opaque: int = 40) -> Column:
+    """The standardised luma of struct(r, g, b, a) pixels; those under the opacity count as black (VS1)."""
+    luma = lambda p: F.when(p["a"] < opaque, F.lit(0.0)).otherwise((p["r"] * 0.2126 + p["g"] * 0.7152 + p["b"] * 0.0722) / 255.0)
+    return standardize(F.transform(pixels, luma))
+
+
+def mean_colour(pixels: Column, opaque: int = 40) -> Column:
+    """struct(r, g, b): the mean of the opaque pixels, null without any (VS9)."""
+    seen = F.filter(pixels, lambda p: p["a"] >= opaque)
+    part = lambda c: F.try_divide(F.aggregate(seen, F.lit(0.0), lambda s, p: s + p[c]), F.size(seen))
+    return F.when(F.size(seen) > 0, F.struct(part("r").alias("r"), part("g").alias("g"), part("b").alias("b")))
+
+
+def mean_of_slice(samples: Column, first: int = 60, last: int = 74) -> Column:
+    """The element-wise mean of the samples from first to last (from 0), those of one scale (AGG8); null without any."""
+    part = F.slice(samples, first + 1, last - first + 1)
+    total = F.aggregate(part, F.transform(F.get(part, F.lit(0)), lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.transform(total, lambda x: x / F.size(part))
+
+
 def l1_score(a: Column, b: Column) -> Column:
     """1 - L1 / (4 n): 1 for equal vectors (VS3)."""
     return 1 - F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / (4 * F.size(a))

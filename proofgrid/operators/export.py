@@ -87,6 +87,27 @@ def quarantine(rejected: DataFrame, key: str) -> DataFrame:
     return rejected.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(key, "reasons")
 
 
+def quarantine_documents(rejected: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, json): the number of quarantined keys and their reasons, one document a group (SNK4)."""
+    rows = rejected.groupBy(group, key).agg(F.min_by("reasons", F.col("reasons").cast("string")).alias("reasons"))
+    packed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("image"), "reasons"))).alias("entries"))
+    return packed.select(group, F.to_json(F.struct(F.size("entries").alias("count"), F.col("entries"))).alias("json"))
+
+
+def edit_documents(df: DataFrame, group: str, order: str, fields: Sequence[str], exported_at: str) -> DataFrame:
+    """(group, json): reviewed rows with how many are verified and edited (SNK6); df has verified and edited."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields, "verified", "edited").alias("row"))))
+    packed = df.groupBy(group).agg(rows.alias("rows"), F.count("*").alias("total"), F.count_if("verified").alias("v"), F.count_if("edited").alias("e"))
+    head = F.struct(F.lit(exported_at).alias("ExportedAt"), F.col("total").alias("TotalEchoes"), F.col("v").alias("VerifiedCount"), F.col("e").alias("EditedCount"), F.transform("rows", lambda r: r["row"]).alias("Echoes"))
+    return packed.select(group, F.to_json(head).alias("json"))
+
+
+def raw_values(df: DataFrame, main_key: str = "main_key", substats: str = "substats") -> DataFrame:
+    """Rows with a main key, entries with the values as read, past the export policy (EXP9; never the default)."""
+    plain = F.transform(substats, lambda s: F.struct(s["key"].alias("key"), s["value"].alias("value")))
+    return df.where(F.coalesce(F.trim(main_key) != "", F.lit(False))).withColumn(substats, plain)
+
+
 def accounting(df: DataFrame, exported: Column, quarantined: Column) -> DataFrame:
     """One row: total, exported, quarantined, skipped, balanced (AGG17)."""
     c = df.agg(F.count("*").alias("total"), F.count_if(exported).alias("exported"), F.count_if(quarantined & ~exported).alias("quarantined"), F.count_if(~exported & ~quarantined).alias("skipped"))

@@ -62,6 +62,69 @@ def rates(df: DataFrame, matched: Column, expected: Column, actual: Column) -> D
     return s.withColumn("recall", part("expected")).withColumn("precision", part("actual"))
 
 
+def substat_counts(scores: DataFrame, key: str, prefix: str = "substat", extra: str = "substat-extra") -> DataFrame:
+    """(key, matched, expected, extra) of the entry fields among a key's scored fields (AGG11)."""
+    is_extra = F.col("field").startswith(extra)
+    mine = F.col("field").startswith(prefix) & ~is_extra
+    return scores.groupBy(key).agg(F.count_if(mine & F.col("match")).alias("matched"), F.count_if(mine).alias("expected"), F.count_if(is_extra).alias("extra"))
+
+
+def substat_fields(expected: Column, actual: Column, tolerance: float = 0.051) -> Column:
+    """array of struct(field, expected, actual, match): substatN for each expected entry, substat-extraN for what is left over (AC2).
+
+    Entries are struct(key, value); each expected one takes the first left with its key and value.
+    """
+    entry = "array<struct<key:string,value:float>>"
+    none = F.array().cast(entry)
+    show = lambda e: F.when(e.isNotNull(), F.concat_ws("=", e["key"], e["value"].cast("string")))
+    start = F.struct(F.coalesce(actual.cast(entry), none).alias("left"), F.array().cast("array<struct<field:string,expected:string,actual:string,match:boolean>>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        hit = lambda a: F.coalesce((F.lower(a["key"]) == F.lower(e["key"])) & (F.abs((a["value"] - e["value"]).cast("float")) <= F.lit(tolerance).cast("float")), F.lit(False))
+        at = F.coalesce(F.array_position(F.transform(acc["left"], hit), True), F.lit(0)).cast("int")
+        got = F.when(at > 0, F.get(acc["left"], at - 1))
+        row = F.struct(F.concat(F.lit("substat"), (F.size(acc["out"]) + 1).cast("string")).alias("field"), show(e).alias("expected"), show(got).alias("actual"), (at > 0).alias("match"))
+        return F.struct(F.filter(acc["left"], lambda a, i: i != at - 1).alias("left"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    def rest(acc: Column) -> Column:
+        more = F.transform(acc["left"], lambda a, i: F.struct(F.concat(F.lit("substat-extra"), (i + 1).cast("string")).alias("field"), F.lit(None).cast("string").alias("expected"), show(a).alias("actual"), F.lit(False).alias("match")))
+        return F.concat(acc["out"], more)
+
+    return F.aggregate(F.coalesce(expected.cast(entry), none), start, step, rest)
+
+
+def with_evidence(scores: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """scores with raw, confidence and provenance of each field (AC3).
+
+    evidence has key, field, raw, confidence, provenance, one row a field, the first recorded; a
+    field without any is not-recorded. substatN takes the confidence of the N-th entry read,
+    wherever it was matched; what is left over has none.
+    """
+    found = scores.join(evidence, [key, "field"], "left")
+    confidence = F.when(~F.col("field").startswith("substat-extra"), F.col("confidence"))
+    return found.withColumn("confidence", confidence).withColumn("provenance", F.coalesce("provenance", F.lit("not-recorded")))
+
+
+def retry_totals(df: DataFrame, key: str, retries: str, recovered: str) -> DataFrame:
+    """One row: keys with retries, retries and recovered in all (AC7)."""
+    return df.agg(F.count_if(F.col(retries) > 0).alias("retried"), F.coalesce(F.sum(retries), F.lit(0)).alias("retries"), F.coalesce(F.sum(recovered), F.lit(0)).alias("recovered"))
+
+
+def accuracy_report(entries: DataFrame, key: str, note: str, retries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The parts of an accuracy report (SNK5): head (one JSON row with totals and calibration), failed and fields (rows).
+
+    entries are scored fields with evidence; retries has key, retries, recovered. Failed and
+    scored fields stay tables, as they grow with the data; only sums go into the head.
+    """
+    c = calibration(entries, "confidence", "match")
+    buckets = c.agg(F.array_sort(F.collect_list(F.struct("bucket", "lower", "upper", "count", "matched", "rate"))).alias("calibration"))
+    total = entries.agg(F.count("*").alias("total_fields"), F.count_if(~F.col("match")).alias("failed_fields"))
+    again = retry_totals(retries, key, "retries", "recovered") if retries is not None else entries.sparkSession.range(1).select(*(F.lit(0).cast("long").alias(n) for n in ("retried", "retries", "recovered")))
+    head = total.join(buckets).join(again)
+    head = head.select(F.to_json(F.struct(F.lit(note).alias("note"), "total_fields", "failed_fields", F.transform("calibration", lambda b: b.dropFields("bucket")).alias("calibration"), "retried", "retries", "recovered")).alias("json"))
+    return {"head": head, "failed": entries.where(~F.col("match")), "fields": entries}
+
+
 def exact_matches(scores: DataFrame, key: str) -> DataFrame:
     """(key, exact): all of a key's fields match (AGG12)."""
     return scores.groupBy(key).agg(F.bool_and("match").alias("exact"))

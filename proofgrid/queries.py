@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import raster, rules, text, vectors
-from .operators import export, gate, resolve, review, score, slots
+from .operators import consistency, export, gate, payload, resolve, review, score, slots
 from .streaming import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -558,3 +558,154 @@ def q_latest_file(spark: SparkSession, d: str) -> DataFrame:
 def q_windowed_events(spark: SparkSession, d: str) -> DataFrame:
     w = folder.windowed(table(spark, d, "events"), "ts", "10 minutes", "1 hour", None, "event_type")
     return w.withColumn("total", F.round("total", 4))
+
+
+# Consistency of cost, level, main and second value
+RANGES = [(1, "A", 5, 3.6, 18.0), (1, "N", 5, 4.5, 22.8), (3, "A", 5, 6.0, 30.0), (3, "R", 5, 6.4, 32.0), (4, "A", 5, 6.6, 33.0), (4, "R", 5, 4.4, 22.0), (4, "R", 2, 2.7, 7.1), (3, "A", 2, 3.7, 9.6)]
+SECONDS = [(1, "hp", 5, 456.0, 2280.0), (3, "atk", 5, 20.0, 100.0), (4, "atk", 5, 30.0, 150.0), (3, "atk", 2, 12.0, 31.0), (4, "atk", 2, 18.0, 46.0), (1, "hp", 2, 114.0, 296.0)]
+TENTH = "(CASE WHEN {l} IS NOT NULL THEN floor(({s} + ({e} - {s}) * least(greatest({l}, 0), {m}) / {m}::DOUBLE) * 10 + 1e-9) / 10 END)::FLOAT"
+WHOLE = "(CASE WHEN {l} IS NOT NULL THEN floor({s} + ({e} - {s}) * least(greatest({l}, 0), {m}) / {m}::DOUBLE + 1e-9) END)::FLOAT"
+AT = lambda form, level: form.format(s="start_", e="end_", l=level, m="most")
+VALUES = lambda rows: ", ".join(str(tuple(r)) for r in rows)
+
+
+@query(f"""
+    WITH m(rc, rk, rr, start_, end_) AS (VALUES {VALUES(RANGES)}), s(sc, wanted, sr, s_start, s_end) AS (VALUES {VALUES(SECONDS)}),
+    i AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE [1, 3, 4][(l_suppkey % 3 + 1)::INT] END AS cost, CASE WHEN l_partkey % 9 = 0 THEN 2 ELSE 5 END AS rarity,
+        CASE WHEN l_partkey % 9 = 0 THEN 10 ELSE 25 END AS most, CASE WHEN l_partkey % 61 = 0 THEN NULL ELSE (l_orderkey % 26)::INT END AS level, l_returnflag AS main_key,
+        round(l_extendedprice)::BIGINT % 400 / 10.0 AS odd, (l_orderkey + l_partkey % 2 * 3) % 26 AS true_level, CASE WHEN l_suppkey % 5 = 0 THEN 'hp' ELSE 'atk' END AS second_key, l_quantity AS second_value FROM lineitem),
+    j AS (SELECT *, CASE WHEN l_partkey % 7 = 0 OR start_ IS NULL THEN odd::FLOAT ELSE {AT(TENTH, 'true_level')} END AS main_value, cost IS NOT NULL AND level IS NOT NULL AS known,
+        EXISTS (SELECT 1 FROM m b WHERE b.rc = cost AND b.rk = main_key) AS allowed FROM i LEFT JOIN m ON rc = cost AND rk = main_key AND rr = rarity),
+    k AS (SELECT *, coalesce(known AND allowed AND abs(main_value - {AT(TENTH, 'level')})::FLOAT > 0.051::FLOAT, FALSE) AS wrong,
+        list_filter(range(0, 26), lambda x: abs({AT(TENTH, 'x')} - main_value)::FLOAT <= 0.051::FLOAT) AS fits FROM j),
+    f AS (SELECT *, CASE WHEN wrong AND len(fits) = 1 THEN fits[1] ELSE level END AS new_level, wrong AND len(fits) = 1 AND fits[1] <> level AS fixed FROM k)
+    SELECT l_orderkey, l_linenumber, new_level::INT AS level, round({AT(TENTH, 'new_level')}::DOUBLE, 4) AS "primary",
+        round(({WHOLE.format(s='s_start', e='s_end', l='new_level', m='most')})::DOUBLE, 4) AS secondary,
+        array_to_string(list_filter([CASE WHEN known AND NOT allowed THEN 'MainStatInvalidForCost' END, CASE WHEN fixed THEN 'LevelCorrectedByStats' END, CASE WHEN wrong AND len(fits) <> 1 THEN 'MainValueImpossible' END,
+            CASE WHEN known AND second_key IS DISTINCT FROM wanted THEN 'SecondMainStatInvalid' END], lambda x: x IS NOT NULL), ',') AS flags,
+        coalesce(known AND second_key = wanted AND abs(second_value - {WHOLE.format(s='s_start', e='s_end', l='new_level', m='most')}) > 0.51, FALSE) AS second_off
+    FROM f LEFT JOIN s ON sc = cost AND sr = rarity""")
+def q_consistency_solver(spark: SparkSession, d: str) -> DataFrame:
+    """CS1, CS4, CS5, CS6, CS7 over lines whose level, value or keys are wrong by key."""
+    shape = "cost int, key string, rarity int, start double, end double"
+    mains, seconds = spark.createDataFrame(RANGES, shape), spark.createDataFrame(SECONDS, shape)
+    li = table(spark, d, "lineitem")
+    cost = F.when(F.col("l_partkey") % 50 != 0, F.get(F.array(F.lit(1), F.lit(3), F.lit(4)), (F.col("l_suppkey") % 3).cast("int")))
+    li = li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", cost.alias("cost"), F.when(F.col("l_partkey") % 9 == 0, 2).otherwise(5).alias("rarity"), F.when(F.col("l_partkey") % 61 != 0, (F.col("l_orderkey") % 26).cast("int")).alias("level"),
+        F.col("l_returnflag").alias("main_key"), (F.round("l_extendedprice").cast("long") % 400 / 10.0).alias("odd"), ((F.col("l_orderkey") + F.col("l_partkey") % 2 * 3) % 26).cast("int").alias("true_level"),
+        F.when(F.col("l_suppkey") % 5 == 0, "hp").otherwise("atk").alias("second_key"), F.col("l_quantity").cast("double").alias("second_value"),
+    )
+    true = consistency.primary_value(li, mains, level="true_level")
+    value = F.when((F.col("l_partkey") % 7 == 0) | F.col("primary").isNull(), F.col("odd").cast("float")).otherwise(F.col("primary"))
+    out = consistency.solve(true.withColumn("main_value", value).drop("primary", "allowed", "range_start", "range_end"), mains, seconds)
+    r = lambda c: F.round(F.col(c).cast("double"), 4).alias(c)
+    return out.select("l_orderkey", "l_linenumber", "level", r("primary"), r("secondary"), F.array_join("consistency", ",").alias("flags"), "second_off")
+
+
+# Export documents
+STAT_KEYS = ["A", "N", "R"]
+
+
+def export_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as items, their lines as entries; some of each kind that a layout can't hold."""
+    li = table(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.when(F.col("l_suppkey") % 6 == 0, "Unknown").otherwise(F.col("l_returnflag")).alias("key"), F.col("l_extendedprice").cast("float").alias("value")).alias("e"))
+    subs = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("e")).alias("e")).select("l_orderkey", F.transform("e", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))).alias("substats"))
+    o = table(spark, d, "orders").join(subs, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("id"), F.col("o_orderstatus").alias("grp"), F.when(k % 13 == 0, "?!").otherwise(F.concat(F.lit("Item "), k.cast("string"))).alias("name"), F.get(F.array(F.lit(1), F.lit(3), F.lit(4), F.lit(2)), (k % 4).cast("int")).alias("cost"),
+        F.lit(5).alias("rarity"), (k % 28).cast("int").alias("level"), F.when(k % 11 == 0, " ").otherwise(F.col("o_orderpriority")).alias("sonata"), F.when(k % 7 == 0, F.lit(None)).otherwise("A").cast("string").alias("main_key"),
+        F.col("o_totalprice").cast("float").alias("main_value"), "substats", F.when(k % 3 == 0, F.concat(F.lit(" c"), F.col("o_custkey").cast("string"), F.lit(" "))).alias("equipped_by"),
+    )
+
+
+ITEMS = """
+    WITH li AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_suppkey % 6 = 0 THEN 'Unknown' ELSE l_returnflag END AS key, l_extendedprice::FLOAT AS value FROM lineitem),
+    it AS (SELECT o_orderkey AS id, o_orderstatus AS grp, CASE WHEN o_orderkey % 13 = 0 THEN '?!' ELSE 'Item ' || o_orderkey END AS name, [1, 3, 4, 2][(o_orderkey % 4 + 1)::INT] AS cost, (o_orderkey % 28)::INT AS level,
+        CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderpriority END AS sonata, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'A' END AS main_key, o_totalprice::FLOAT AS main_value,
+        CASE WHEN o_orderkey % 3 = 0 THEN ' c' || o_custkey || ' ' END AS who FROM orders),
+    ok AS (SELECT *, cost IN (1, 3, 4) AND level BETWEEN 0 AND 25 AND trim(sonata) <> '' AND main_key IS NOT NULL AS fits FROM it)"""
+
+
+@query(ITEMS + """,
+    fst AS (SELECT k, value, row_number() OVER (PARTITION BY k, key ORDER BY n, value) AS r FROM li WHERE key <> 'Unknown'), subs AS (SELECT k, count(*) AS n_subs, round(sum(round_even(value::DOUBLE * 100, 0) / 100), 2) AS sum_subs FROM fst WHERE r = 1 GROUP BY ALL),
+    kept AS (SELECT id, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS idx FROM ok WHERE fits AND name <> '?!')
+    SELECT ok.id, idx IS NULL AS skipped, CASE WHEN idx IS NOT NULL THEN 'item_1000_' || CASE WHEN idx < 1000 THEN lpad(idx::VARCHAR, 3, '0') ELSE idx::VARCHAR END || '_' || replace(name, ' ', '') END AS item_id,
+        CASE WHEN idx IS NOT NULL THEN coalesce(n_subs, 0) END AS n_subs, CASE WHEN idx IS NOT NULL THEN coalesce(sum_subs, 0) END AS sum_subs, CASE WHEN idx IS NOT NULL THEN trim(who) END AS worn_by, 1000 + idx AS created_at
+    FROM ok LEFT JOIN kept USING (id) LEFT JOIN subs ON subs.k = ok.id""")
+def q_backup_items(spark: SparkSession, d: str) -> DataFrame:
+    """EXP3: ids, entries and skips of the backup layout."""
+    it = payload.backup_items(export_rows(spark, d), STAT_KEYS, 1000, ["id"], "grp")
+    total = F.aggregate("item.subStats", F.lit(0.0), lambda s, e: s + e["value"])
+    return it.select("id", "skipped", F.col("item.id").alias("item_id"), F.when(~F.col("skipped"), F.size("item.subStats")).cast("long").alias("n_subs"), F.round(total, 2).alias("sum_subs"), F.col("item.equippedByName").alias("worn_by"), F.col("item.createdAt").alias("created_at"))
+
+
+@query(ITEMS + r""",
+    subs AS (SELECT k, least(count(*), 9) AS n_subs FROM li WHERE key <> 'Unknown' GROUP BY ALL)
+    SELECT id, NOT fits AS skipped, CASE WHEN fits THEN regexp_replace(sonata, '[^\p{L}\p{Nd}]', '', 'g') END AS set_key, CASE WHEN fits THEN CASE cost WHEN 1 THEN 'flower' WHEN 3 THEN 'sands' ELSE 'circlet' END END AS slot,
+        CASE WHEN fits THEN least(level, 20) END AS level, CASE WHEN fits THEN level END AS true_level, CASE WHEN fits THEN 'eleMas' END AS main_key, CASE WHEN fits THEN coalesce(n_subs, 0) END AS n_subs, CASE WHEN fits THEN coalesce(who, '') END AS location
+    FROM ok LEFT JOIN subs ON k = id""")
+def q_artifact_items(spark: SparkSession, d: str) -> DataFrame:
+    """EXP4, EXP10: items of the artifact layout."""
+    it = payload.artifact_items(export_rows(spark, d))
+    i = lambda f: F.col(f"item.{f}")
+    return it.select("id", "skipped", i("setKey").alias("set_key"), i("slotKey").alias("slot"), i("level").alias("level"), i("wuwaLevel").alias("true_level"), i("mainStatKey").alias("main_key"), F.when(~F.col("skipped"), F.size("item.substats")).cast("long").alias("n_subs"), i("location").alias("location"))
+
+
+BROKEN = [
+    "{}", '{"schemaVersion":9}', '"x', "[]", '{"echoes":[1]}', '{"settings":{"scanIntervalMs":5,"scoreWeights":{"a":{"zz":1},"b":2}}}',
+    '{"echoes":[{"id":"i","name":" ","cost":2,"rarity":5,"level":26,"sonata":null,"mainStat":{"key":"a","value":"1"},"subStats":{},"locked":1,"excluded":true,"createdAt":1,"source":"x","equippedBy":null}]}',
+    '{"echoes":[{"id":"i","name":"n","cost":3,"rarity":0,"level":5,"sonata":"s","mainStat":{"key":"a","value":1},"subStats":[{"key":"a","value":1},{"value":2}],"locked":false,"excluded":true,"createdAt":1,"source":"scan"}]}',
+]
+
+
+@query(f"""
+    WITH d AS (SELECT o_orderkey AS k, [{", ".join("'" + b + "'" for b in BROKEN)}][(o_orderkey % {len(BROKEN)} + 1)::INT] AS j FROM orders),
+    v AS (SELECT k, CASE WHEN json_valid(j) THEN j::JSON END AS j FROM d), o AS (SELECT k, j FROM v WHERE json_type(j) = 'OBJECT'),
+    e AS (SELECT k, i - 1 AS i, json_extract(j, '$.echoes[' || (i - 1) || ']') AS e FROM (SELECT k, j, unnest(range(1, json_array_length(j, '$.echoes')::BIGINT + 1)) AS i FROM o WHERE json_type(j, '$.echoes') = 'ARRAY')),
+    eo AS (SELECT * FROM e WHERE json_type(e) = 'OBJECT'),
+    s AS (SELECT k, i, n - 1 AS n, json_extract(e, '$.subStats[' || (n - 1) || ']') AS s FROM (SELECT k, i, e, unnest(range(1, json_array_length(e, '$.subStats')::BIGINT + 1)) AS n FROM eo WHERE json_type(e, '$.subStats') = 'ARRAY')),
+    p AS (
+        SELECT k, 'envelope: not valid JSON' AS problem FROM v WHERE j IS NULL
+        UNION ALL SELECT k, 'envelope: root is not an object' FROM v WHERE json_type(j) <> 'OBJECT'
+        UNION ALL SELECT k, 'envelope: schemaVersion must be 1..7' FROM o WHERE NOT coalesce(json_type(j, '$.schemaVersion') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND (j->>'$.schemaVersion')::DOUBLE BETWEEN 1 AND 7, FALSE)
+        UNION ALL SELECT k, 'envelope: ' || f || ' must be a non-empty string' FROM o, unnest(['gameDataVersion', 'exportedAt']) t(f) WHERE NOT coalesce(json_type(j, '$.' || f) = 'VARCHAR' AND trim(j->>('$.' || f)) <> '', FALSE)
+        UNION ALL SELECT k, 'envelope: ' || f || ' must be an array' FROM o, unnest(['characters', 'weapons', 'builds', 'teams', 'equippedLoadouts', 'theorycraftBuilds', 'optimizerProfiles', 'optimizerRuns', 'echoes']) t(f) WHERE coalesce(json_type(j, '$.' || f), '') <> 'ARRAY'
+        UNION ALL SELECT k, 'envelope: settings must be an object' FROM o WHERE coalesce(json_type(j, '$.settings'), '') <> 'OBJECT'
+        UNION ALL SELECT k, 'settings: ' || m FROM o, unnest(['displayName must be a non-empty string', 'privacyMode must be a boolean', 'background must be signal/tacet/plain', 'scanIntervalMs must be a number 250..10000', 'scoreWeights.a.zz must be a known stat key with a numeric weight', 'scoreWeights.b must be an object']) t(m) WHERE json_type(j, '$.settings') = 'OBJECT'
+        UNION ALL SELECT k, 'echoes[' || i || ']: not an object' FROM e WHERE json_type(e) <> 'OBJECT'
+        UNION ALL SELECT k, 'echoes[' || i || ']: ' || f || ' must be a non-empty string' FROM eo, unnest(['id', 'name', 'sonata']) t(f) WHERE NOT coalesce(json_type(e, '$.' || f) = 'VARCHAR' AND trim(e->>('$.' || f)) <> '', FALSE)
+        UNION ALL SELECT k, 'echoes[' || i || ']: cost must be 1, 3 or 4' FROM eo WHERE (e->>'$.cost')::INT NOT IN (1, 3, 4)
+        UNION ALL SELECT k, 'echoes[' || i || ']: rarity must be 1..5' FROM eo WHERE (e->>'$.rarity')::INT NOT BETWEEN 1 AND 5
+        UNION ALL SELECT k, 'echoes[' || i || ']: level must be 0..25' FROM eo WHERE (e->>'$.level')::INT NOT BETWEEN 0 AND 25
+        UNION ALL SELECT k, 'echoes[' || i || ']: value must be a finite number' FROM eo WHERE json_type(e, '$.mainStat.value') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE')
+        UNION ALL SELECT k, 'echoes[' || i || ']: subStats must be an array' FROM eo WHERE json_type(e, '$.subStats') <> 'ARRAY'
+        UNION ALL SELECT k, 'echoes[' || i || ']: subStats exceed what the level allows' FROM eo WHERE json_type(e, '$.subStats') = 'ARRAY' AND json_array_length(e, '$.subStats') > (e->>'$.level')::INT // 5
+        UNION ALL SELECT k, 'echoes[' || i || ']: locked must be a boolean' FROM eo WHERE json_type(e, '$.locked') <> 'BOOLEAN'
+        UNION ALL SELECT k, 'echoes[' || i || ']: source must be one of scan/screenshot/manual/import' FROM eo WHERE e->>'$.source' NOT IN ('scan', 'screenshot', 'manual', 'import')
+        UNION ALL SELECT k, 'echoes[' || i || ']: equippedBy must be a string when present' FROM eo WHERE json_type(e, '$.equippedBy') <> 'VARCHAR'
+        UNION ALL SELECT k, 'echoes[' || i || '].subStats[' || n || ']: key must be a non-empty string' FROM s WHERE json_type(s, '$.key') IS DISTINCT FROM 'VARCHAR'
+    ) SELECT k, problem FROM p""")
+def q_backup_rules(spark: SparkSession, d: str) -> DataFrame:
+    """EXP5, EXP7 over broken documents."""
+    j = F.get(F.array(*(F.lit(b) for b in BROKEN)), (F.col("o_orderkey") % len(BROKEN)).cast("int"))
+    return payload.backup_problems(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), j.alias("j")), "k", "j", ["a", "n"])
+
+
+BROKEN_ARTIFACTS = ["{}", '{"format":"GOOD","source":"s","version":2,"artifacts":[]}', '{"format":"GOOD","source":"s","version":3,"artifacts":[{"setKey":"s","slotKey":"","mainStatKey":"m","level":30,"rarity":5,"lock":null,"substats":[{"key":"k","value":1}]}]}']
+
+
+@query(f"""
+    WITH d AS (SELECT o_orderkey AS k, [{", ".join("'" + b + "'" for b in BROKEN_ARTIFACTS)}][(o_orderkey % {len(BROKEN_ARTIFACTS)} + 1)::INT]::JSON AS j FROM orders),
+    a AS (SELECT k, json_extract(j, '$.artifacts[0]') AS a FROM d WHERE json_array_length(j, '$.artifacts') > 0)
+    SELECT k, 'envelope: ' || f || ' must be a non-empty string' AS problem FROM d, unnest(['format', 'source']) t(f) WHERE json_type(j, '$.' || f) IS DISTINCT FROM 'VARCHAR'
+    UNION ALL SELECT k, 'envelope: version must be 3' FROM d WHERE (j->>'$.version') IS DISTINCT FROM '3'
+    UNION ALL SELECT k, 'envelope: artifacts must be an array' FROM d WHERE json_type(j, '$.artifacts') IS DISTINCT FROM 'ARRAY'
+    UNION ALL SELECT k, 'artifacts[0]: slotKey must be a non-empty string' FROM a WHERE trim(a->>'$.slotKey') = ''
+    UNION ALL SELECT k, 'artifacts[0]: level must be 0..25' FROM a WHERE (a->>'$.level')::INT > 25
+    UNION ALL SELECT k, 'artifacts[0]: lock must be a boolean' FROM a WHERE json_type(a, '$.lock') <> 'BOOLEAN'""")
+def q_artifact_rules(spark: SparkSession, d: str) -> DataFrame:
+    """EXP6, EXP7 over broken documents."""
+    j = F.get(F.array(*(F.lit(b) for b in BROKEN_ARTIFACTS)), (F.col("o_orderkey") % len(BROKEN_ARTIFACTS)).cast("int"))
+    return payload.artifact_problems(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), j.alias("j")), "k", "j")

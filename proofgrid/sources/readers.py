@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,68 @@ def confusions(texts: DataFrame, fallback: Sequence[tuple[str, str]] = ()) -> Da
     return read.unionByName(read.select(F.col("to_ch").alias("from_ch"), F.col("from_ch").alias("to_ch"))).distinct()
 
 
+def decimal_shift(texts: DataFrame) -> bool:
+    """Whether confusion documents let a decimal point shift; they do where none says no (SRC8)."""
+    doc = F.from_json("text", "struct<decimalShift:boolean>")
+    return texts.where(~F.coalesce(doc["decimalShift"], F.lit(True))).isEmpty()
+
+
+def cached_catalog(spark: SparkSession, cache: str, source: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """The catalog from its cache, or from source, which then is written there (SRC5).
+
+    A cache that is missing, empty or broken counts as none. What was read stays in memory for
+    the session under the cache's path, so that later calls share it.
+    """
+    key = (spark.sparkContext.applicationId, cache)
+    if not refresh and key in _CATALOGS:
+        return _CATALOGS[key]
+    rows = None
+    if not refresh:
+        try:
+            rows = spark.read.schema(CATALOG_ROWS).json(cache)
+            rows = None if rows.isEmpty() else rows
+        except AnalysisException:
+            rows = None
+    if rows is None:
+        source().write.mode("overwrite").json(cache)
+        rows = spark.read.schema(CATALOG_ROWS).json(cache)
+    _CATALOGS[key] = rows
+    return rows
+
+
+CATALOG_ROWS = "name string, cost int, rarities array<int>, sets array<string>"
+_CATALOGS: dict[tuple[str, str], DataFrame] = {}
+
+
+@dataclass(frozen=True)
+class Options:
+    """Knobs of a session (SRC15)."""
+
+    name_engine: str = "windows"
+    engine_fallback: bool = True
+    name_threshold: float = 0.68
+    accept_score: float = 0.75
+    rescue_score: float = 0.90
+    set_threshold: float = 0.70
+    icon_margin: float = 0.003
+    review_confidence: float = 0.80
+
+    @classmethod
+    def read(cls, spark: SparkSession, environment: Mapping[str, str] = {}, prefix: str = "proofgrid.") -> Options:
+        """Defaults, overridden by the session's settings, overridden by environment variables (PROOFGRID_...); what can't be read is left out."""
+        found = {}
+        for f in fields(cls):
+            for text in (spark.conf.get(prefix + f.name, None), environment.get((prefix + f.name).upper().replace(".", "_"))):
+                if text is None:
+                    continue
+                kind = type(f.default)
+                try:
+                    found[f.name] = text.strip().lower() in ("1", "true", "yes") if kind is bool else kind(text)
+                except ValueError:
+                    continue
+        return cls(**found)
+
+
 def region_overrides(texts: DataFrame, known: DataFrame) -> DataFrame:
     """known (name, x, y, w, h) with the rectangles of a document that are whole and inside 0..1 (SRC9, J3)."""
     rects = texts.select(F.explode(F.from_json("text", "map<string,struct<x:float,y:float,w:float,h:float>>")).alias("name", "r")).select("name", "r.*")
@@ -86,10 +151,25 @@ def region_overrides(texts: DataFrame, known: DataFrame) -> DataFrame:
 
 def truth(spark: SparkSession, path: str) -> DataFrame:
     """Hand-truth sidecars, keys in any case; files that aren't JSON are left out (SRC10)."""
-    rows = documents(spark, path).select("path", F.from_json("text", f"struct<{_struct(TRUTH)}>", {"mode": "PERMISSIVE"}).alias("d"))
+    rows = documents(spark, path).select("path", F.from_json(any_case("text", _names(TRUTH)), f"struct<{_struct(TRUTH)}>", {"mode": "PERMISSIVE"}).alias("d"))
     return rows.where("d.name is not null or d.sourceImage is not null").select("path", "d.*")
 
 
+def any_case(text: str, names: Sequence[str]) -> Column:
+    """A JSON text whose keys are written as in names, whatever their case was."""
+    out = F.col(text)
+    for n in names:
+        out = F.regexp_replace(out, rf'(?i)"{n}"(\\s*:)', rf'"{n}"$1')
+    return out
+
+
+def with_images(rows: DataFrame, files: DataFrame, image: str = "sourceImage", file_path: str = "path") -> DataFrame:
+    """rows whose image is among files, by base name (SRC10, J12)."""
+    base = lambda c: F.lower(F.element_at(F.split(c, r"[/\\\\]"), -1))
+    known = files.select(base(F.col(file_path)).alias("_file")).distinct()
+    return rows.join(known, base(rows[image]) == F.col("_file"), "left_semi")
+
+
 def edits(texts: DataFrame) -> DataFrame:
     """One row for each edited entry of verified-edit documents, with its place (SRC13)."""
     doc = F.from_json("text", f"struct<{_struct(EDITS)}>")
@@ -109,6 +189,11 @@ def json_value(text: Column, path: str, kind: str) -> Column:
     return F.get_json_object(text, path).try_cast(kind)
 
 
+def _names(ddl: str) -> list[str]:
+    """All field names of a schema."""
+    return list(dict.fromkeys(re.findall(r"(\w+)[ :](?:int|string|boolean|float|double|map|struct|array|timestamp)", ddl)))
+
+
 def _struct(ddl: str) -> str:
     depth, out, at_name = 0, [], True
     for ch in ddl:

@@ -109,8 +109,9 @@ def rarity_of_pixel(r: Column, g: Column, b: Column, a: Column) -> Column:
 def rarity_vote(pixels: Column) -> Column:
     """The rarity that most struct(r, g, b, a) pixels vote for, the lowest among equals; 0 without votes (R16, AGG14)."""
     votes = F.transform(pixels, lambda p: rarity_of_pixel(p["r"], p["g"], p["b"], p["a"]))
-    ranked = F.array_max(F.array(*(F.struct(F.size(F.filter(votes, lambda v, k=k: v == k)).alias("n"), F.lit(-k).alias("k")) for k in range(1, 6))))
-    return F.when(ranked["n"] > 0, -ranked["k"]).otherwise(0)
+    count = lambda k: F.size(F.filter(votes, lambda v: v == k))
+    ranked = F.array_max(F.array(*(F.struct(count(k).alias("n"), F.lit(-k).alias("k")) for k in range(1, 6))))
+    return F.when(ranked["n"] > 0, -ranked["k"]).otherwise(0).cast("int")
 
 
 def union_rect(rects: Column) -> Column:

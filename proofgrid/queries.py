@@ -359,7 +359,14 @@ def q_adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.size(F.filter("px", lambda v: v > 0)).cast("long").alias("white"))
 
 
-@query()
+@query("WITH RECURSIVE " + PX[5:] + """, cum AS (SELECT vec_id, v AS t, count(*) AS n, sum(v) AS s FROM p GROUP BY ALL),
+    k AS (SELECT vec_id, t, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER (PARTITION BY vec_id) AS nn, sum(s) OVER (PARTITION BY vec_id) AS ss FROM cum WINDOW w AS (PARTITION BY vec_id ORDER BY t)),
+    b AS (SELECT vec_id, arg_max(t, {'b': CASE WHEN n > 0 AND n < nn THEN n::DOUBLE * (nn - n) * pow(s::DOUBLE / n - (ss - s)::DOUBLE / (nn - n), 2) ELSE -1.0 END, 't': -t}) AS t FROM k GROUP BY 1),
+    ink AS (SELECT vec_id, i FROM p JOIN b USING (vec_id) WHERE v <= t),
+    g AS MATERIALIZED (SELECT x.vec_id, x.i AS a, y.i AS b FROM ink x JOIN ink y ON x.vec_id = y.vec_id AND (abs(x.i - y.i) = 8 OR (abs(x.i - y.i) = 1 AND x.i // 8 = y.i // 8))),
+    r(vec_id, i, c) AS (SELECT vec_id, i, i FROM ink UNION SELECT g.vec_id, g.b, r.c FROM r JOIN g ON g.vec_id = r.vec_id AND g.a = r.i),
+    m AS (SELECT vec_id, i, min(c) AS c FROM r GROUP BY ALL), z AS (SELECT vec_id, c, count(*) AS pixels, min(i % 8) AS min_x, max(i % 8) AS max_x, min(i // 8) AS min_y, max(i // 8) AS max_y FROM m GROUP BY ALL)
+    SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY c))::INT AS id, pixels::INT AS pixels, min_x::INT AS min_x, max_x::INT AS max_x, min_y::INT AS min_y, max_y::INT AS max_y FROM z""")
 def q_components(spark: SparkSession, d: str) -> DataFrame:
     p = pixels(spark, d).withColumn("px", raster.threshold(F.col("px"), raster.otsu(F.col("px"))))
     return raster.component_table(p, "vec_id")
@@ -472,7 +479,8 @@ def q_payload_validate(spark: SparkSession, d: str) -> DataFrame:
     return export.validate(e, "event_id", "json", "k int", {"k: over 50": F.col("doc.k") > 50, "k: odd": F.col("doc.k") % 2 == 1})
 
 
-@query()
+@query("""SELECT l_orderkey, '{"schemaVersion":7,"order":' || l_orderkey || ',"count":' || count(*) || ',"rows":[' ||
+    string_agg('{"l_partkey":' || l_partkey || ',"l_quantity":' || l_quantity || '}', ',' ORDER BY l_linenumber, l_partkey, l_quantity) || ']}' AS json FROM lineitem GROUP BY l_orderkey""")
 def q_envelope_json(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     return export.documents(li, "l_orderkey", "l_linenumber", ["l_partkey", "l_quantity"], {"schemaVersion": F.lit(7), "order": F.col("l_orderkey")})
@@ -709,3 +717,122 @@ def q_artifact_rules(spark: SparkSession, d: str) -> DataFrame:
     """EXP6, EXP7 over broken documents."""
     j = F.get(F.array(*(F.lit(b) for b in BROKEN_ARTIFACTS)), (F.col("o_orderkey") % len(BROKEN_ARTIFACTS)).cast("int"))
     return payload.artifact_problems(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), j.alias("j")), "k", "j")
+
+
+# Names and sets in text zones
+SEGMENTS = "SELECT DISTINCT c_mktsegment AS name FROM customer"
+ZONE = "(CASE WHEN c_custkey % 4 = 0 THEN 'Set Effect' || chr(10) ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '* AB ' ELSE '12 ' END || CASE WHEN c_custkey % 5 = 0 THEN 'zq' || substr(c_mktsegment, 3) WHEN c_custkey % 7 = 0 THEN 'vvvvvvvv' ELSE c_mktsegment END || ' (2/5)')"
+
+
+def zones(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.expr(ZONE.replace("chr(10)", "char(10)")).alias("zone"))
+
+
+@query(f"""WITH s AS ({SEGMENTS}), l AS (SELECT c_custkey, pos, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^[^A-Za-z]*', ''), '^[A-Z]{{1,3}}\\s+', ''), '[&@(].*$', ''), '\\s+', ' ', 'g')) AS t
+        FROM (SELECT c_custkey, unnest(string_split({ZONE}, chr(10))) AS line, unnest(range(0, 2))::INT AS pos FROM customer) WHERE line IS NOT NULL),
+    n AS (SELECT c_custkey, pos, {NORM.format('t')} AS q FROM l WHERE length(t) >= 4), m AS (SELECT c_custkey, pos, name, {SIM.format(a='q', b=NORM.format('name'))} AS score FROM n, s),
+    best AS (SELECT c_custkey, pos, max(score) AS score, arg_max(name, {{'s': score, 'n': length({NORM.format('name')})}}) AS name FROM m GROUP BY ALL)
+    SELECT c_custkey, arg_max(name, {{'s': score, 'p': -pos}}) AS value, round(max(score)::DOUBLE, 6) AS confidence FROM best WHERE score >= 0.70::FLOAT GROUP BY 1""")
+def q_zone_set(spark: SparkSession, d: str) -> DataFrame:
+    """ER11: the set that a text zone names."""
+    z = zones(spark, d)
+    found = resolve.zone_set(z, "c_custkey", "zone", z.select(F.col("c_mktsegment").alias("name")).distinct(), "name")
+    return found.select("c_custkey", "value", F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE ['Aa', 'Bb', 'Cc'][(o_orderkey % 3 + 1)::INT] END AS icon, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE ['aa', 'BB', 'Dd'][(o_custkey % 3 + 1)::INT] END AS txt,
+        CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 = 1 THEN ['AA', 'dd'] WHEN o_orderkey % 7 = 2 THEN [] ELSE ['bb', 'cc'] END AS legal, (o_orderkey % 3)::INT AS header,
+        CASE WHEN o_custkey % 2 = 0 THEN 'some line' ELSE '' END AS line, CASE WHEN o_custkey % 6 = 0 THEN 'Some' END AS hit FROM orders),
+    y AS (SELECT *, legal IS NULL OR list_contains(list_transform(legal, lambda v: lower(v)), lower(txt)) AS t_ok, legal IS NULL OR list_contains(list_transform(legal, lambda v: lower(v)), lower(icon)) AS i_ok FROM x)
+    SELECT k, CASE WHEN icon IS NOT NULL AND lower(txt) <> lower(icon) AND t_ok THEN txt WHEN icon IS NOT NULL THEN icon WHEN header > 0 AND line <> '' THEN coalesce(hit, line) WHEN header = 0 THEN legal[1] END AS value,
+        round((CASE WHEN icon IS NOT NULL AND lower(txt) <> lower(icon) AND t_ok THEN 0.7 WHEN icon IS NOT NULL THEN 0.9 WHEN header > 0 AND line <> '' THEN CASE WHEN hit IS NOT NULL THEN 0.6 ELSE 0.3 END WHEN header = 0 AND legal[1] IS NOT NULL THEN 0.5 END)::DOUBLE, 3) AS confidence,
+        coalesce(icon IS NOT NULL AND lower(txt) <> lower(icon) AND t_ok AND NOT i_ok, FALSE) AS settles FROM y""")
+def q_set_arbitration(spark: SparkSession, d: str) -> DataFrame:
+    """ER12, ER13, FLT2: icon against text, and the ladder without an icon."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda at, *some: F.get(F.array(*(F.lit(s) for s in some)), at.cast("int"))
+    icon, txt = F.when(k % 4 != 0, pick(k % 3, "Aa", "Bb", "Cc")), F.when(k % 5 != 0, pick(c % 3, "aa", "BB", "Dd"))
+    legal = F.when(k % 7 == 0, F.lit(None).cast("array<string>")).when(k % 7 == 1, F.array(F.lit("AA"), F.lit("dd"))).when(k % 7 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("bb"), F.lit("cc")))
+    ladder = resolve.without_icon(k % 3, F.when(c % 2 == 0, "some line").otherwise(""), F.when(c % 6 == 0, "Some"), F.lit(0.6), legal)
+    r = F.coalesce(resolve.arbitrate(icon, F.lit(0.9), txt, F.lit(0.7), legal), ladder)
+    return table(spark, d, "orders").select(k.alias("k"), r.alias("r")).select("k", "r.value", F.round(F.col("r.confidence").cast("double"), 3).alias("confidence"), F.coalesce("r.settles", F.lit(False)).alias("settles"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_suppkey % 4 <> l_partkey % 4 THEN ((l_linenumber / 10.0)::FLOAT * 0.8::FLOAT)::FLOAT ELSE (l_linenumber / 10.0)::FLOAT END::DOUBLE, 5) AS score FROM lineitem")
+def q_cost_contradiction(spark: SparkSession, d: str) -> DataFrame:
+    """ER10."""
+    s = resolve.contradicted(F.col("l_linenumber") / 10.0, F.col("l_suppkey") % 4, F.col("l_partkey") % 4)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(s.cast("double"), 5).alias("score"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber * 100000 + l_partkey AS o, CASE WHEN l_suppkey % 6 = 0 THEN 'Zz' ELSE l_returnflag END AS key FROM lineitem)
+    SELECT l_orderkey, o, CASE WHEN key = 'Zz' THEN 'InvalidSubstatKey' WHEN row_number() OVER (PARTITION BY l_orderkey, key ORDER BY o) > 1 THEN 'SubstatDuplicate' END AS flag FROM x""")
+def q_accepted_keys(spark: SparkSession, d: str) -> DataFrame:
+    """SL8."""
+    li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("o"), F.when(F.col("l_suppkey") % 6 == 0, "Zz").otherwise(F.col("l_returnflag")).alias("key"))
+    return slots.accepted(li, "l_orderkey", "key", "o", STAT_KEYS).select("l_orderkey", "o", "flag")
+
+
+@query("""WITH t AS (SELECT label, list_transform(range(1, 65), lambda i: avg_[i]) AS v FROM (SELECT label, list(m ORDER BY i) AS avg_ FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1)),
+    s AS (SELECT vec_id, t.label, 1 - list_sum(list_transform(range(1, 65), lambda i: abs(embedding[i]::DOUBLE - t.v[i]))) / 256 AS s FROM embeddings, t)
+    SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label)::INT AS rank, round(s, 9) AS score FROM s QUALIFY rank <= 3""")
+def q_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    """VS3, VS5, TOP2: the three best templates of each vector."""
+    e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    ranked = resolve.rank_all(e, vectors.mean_vectors(e, "label", "v", 1), "vec_id", "v", "label", "vector", 3)
+    return ranked.select("vec_id", "rank", F.round("score", 9).alias("score"))
+
+
+RGBA = "SELECT vec_id, i // 4 AS k, max(v) FILTER (i % 4 = 0) AS r, max(v) FILTER (i % 4 = 1) AS g, max(v) FILTER (i % 4 = 2) AS b, max(v) FILTER (i % 4 = 3) AS a FROM p GROUP BY ALL"
+
+
+def colours(spark: SparkSession, d: str) -> DataFrame:
+    """Each raster's 64 values as 16 pixels of four channels."""
+    at = lambda i, k: F.get("px", i * 4 + k)
+    one = lambda i: F.struct(*(at(i, k).alias(n) for k, n in enumerate("rgba")))
+    return pixels(spark, d).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), one).alias("rgba"))
+
+
+@query(PX + f""", c AS ({RGBA}), s AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM c),
+    h AS (SELECT *, (hi + lo) / 510.0 AS l, CASE WHEN hi = lo THEN 0.0 ELSE (hi - lo)::DOUBLE / CASE WHEN hi + lo <= 255 THEN hi + lo ELSE 510 - hi - lo END END AS sat,
+        CASE WHEN hi > lo THEN ((CASE WHEN hi = r THEN (g - b)::DOUBLE / (hi - lo) WHEN hi = g THEN (b - r)::DOUBLE / (hi - lo) + 2 ELSE (r - g)::DOUBLE / (hi - lo) + 4 END * 60) % 360 + 360) % 360 END AS hue FROM s),
+    v AS (SELECT vec_id, CASE WHEN a > 180 AND l >= 0.58 THEN CASE WHEN sat < 0.20 THEN 1 WHEN hue >= 75 AND hue < 175 THEN 2 WHEN hue >= 175 AND hue < 250 THEN 3 WHEN hue >= 250 AND hue < 335 THEN 4 WHEN hue >= 32 AND hue < 75 THEN 5 END END AS k FROM h),
+    n AS (SELECT vec_id, k, count(*) AS n FROM v WHERE k IS NOT NULL GROUP BY ALL)
+    SELECT vec_id, coalesce((SELECT arg_max(k, {{'n': n, 'k': -k}}) FROM n WHERE n.vec_id = e.vec_id), 0)::INT AS rarity FROM embeddings e""")
+def q_rarity_vote(spark: SparkSession, d: str) -> DataFrame:
+    """R16, AGG14."""
+    return colours(spark, d).select("vec_id", raster.rarity_vote(F.col("rgba")).alias("rarity"))
+
+
+@query(PX + f""", c AS ({RGBA}), l AS (SELECT vec_id, k, CASE WHEN a < 40 THEN 0.0 ELSE (r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE) / 255.0::DOUBLE END AS y FROM c),
+    m AS (SELECT vec_id, avg(y) AS m, CASE WHEN stddev_pop(y) = 0 THEN 1 ELSE stddev_pop(y) END AS sd FROM l GROUP BY 1),
+    z AS (SELECT vec_id, sum(abs(least(2, greatest(-2, (y - m) / sd)))) AS spread FROM l JOIN m USING (vec_id) GROUP BY 1), o AS (SELECT vec_id, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM c WHERE a >= 40 GROUP BY 1)
+    SELECT vec_id, round(spread, 6) AS spread, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM z LEFT JOIN o USING (vec_id)""")
+def q_luma_signature(spark: SparkSession, d: str) -> DataFrame:
+    """VS1, VS9."""
+    c = colours(spark, d).select("vec_id", vectors.luma_signature(F.col("rgba")).alias("s"), vectors.mean_colour(F.col("rgba")).alias("m"))
+    return c.select("vec_id", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("spread"), *(F.round(f"m.{n}", 6).alias(n) for n in "rgb"))
+
+
+DISPLAY = {"MachineTool": "MACHINERY", "Building": "BUILDING", "Car": "AUTOMOBILE"}
+
+
+@query("""SELECT c_custkey, CASE lower(c_mktsegment) WHEN 'machinery' THEN 'MachineTool' WHEN 'building' THEN 'Building' WHEN 'automobile' THEN 'Car' END AS key, coalesce(CASE WHEN c_mktsegment = 'MACHINERY' THEN 'MACHINERY' END, c_mktsegment) AS shown,
+    printf('%.2f', c_acctbal::DOUBLE) AS f2, printf('%03d', c_nationkey) AS d3, printf('%.1f', c_nationkey / 25.0::DOUBLE * 100) || '%' AS share FROM customer""")
+def q_display_names(spark: SparkSession, d: str) -> DataFrame:
+    """TX18, TX19, J13."""
+    c = table(spark, d, "customer")
+    key = text.from_display(F.lower("c_mktsegment"), DISPLAY)
+    return c.select("c_custkey", key.alias("key"), text.to_display(F.coalesce(key, F.col("c_mktsegment")), DISPLAY).alias("shown"), text.fixed_places(F.col("c_acctbal")).alias("f2"), text.padded_number(F.col("c_nationkey"), 3).alias("d3"), text.as_percent(F.col("c_nationkey") / F.lit(25.0)).alias("share"))
+
+
+BOXES = "l_linenumber / 10.0 AS x, l_discount::DOUBLE AS y, l_quantity / 60.0 AS w, l_tax::DOUBLE + 0.1 AS h"
+
+
+@query(f"WITH b AS (SELECT l_orderkey AS k, {BOXES} FROM lineitem) SELECT k, round(greatest(0, min(x)), 6) AS x, round(greatest(0, min(y)), 6) AS y, round(least(1, max(x + w)) - greatest(0, min(x)), 6) AS w, round(least(1, max(y + h)) - greatest(0, min(y)), 6) AS h FROM b GROUP BY 1")
+def q_union_rect(spark: SparkSession, d: str) -> DataFrame:
+    """SET2, R18."""
+    li = table(spark, d, "lineitem")
+    box = F.struct((F.col("l_linenumber") / 10.0).alias("x"), F.col("l_discount").cast("double").alias("y"), (F.col("l_quantity") / 60.0).alias("w"), (F.col("l_tax").cast("double") + 0.1).alias("h"))
+    u = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(box).alias("b")).select("k", raster.union_rect(F.col("b")).alias("u"))
+    return u.select("k", *(F.round(f"u.{c}", 6).alias(c) for c in "xywh"))

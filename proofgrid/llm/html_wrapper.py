@@ -3,22 +3,26 @@
 A page's token stream (tags and texts, with scripts, styles and comments left out and
 unclosed tags closed) is folded into a union-free regular expression: neighbours of one
 label, and sequences of labels that repeat, become repeated groups, texts become slots.
-The expressions of a host's pages are aligned one after the other; tags that only one side
-has become optional groups, and slots gather how often they were filled, how much text and
-link text they held and whether it always was the same. The result is the host's wrapper.
-Within a task wrappers of a host are aligned as pages come, then across tasks in a tree.
-
-Each page is read again with its host's wrapper: its tags are matched to the wrapper's and
-each text is kept or left by its slot. If the page has an article or main region (the first
-of article, main, words that name them), its headings and those slots in it are kept that
-are neither mostly links nor the same on half of the host's pages or more; otherwise slots
-with running text that isn't the same on every page are; slots in menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments never are. Paragraphs folded into one
-repeated group share a slot, so a fixed one among varying ones is kept.
+The expressions of a host's pages are aligned one after the other, in an order set by
+their content; tags that only one side has become optional groups, and slots gather how
+often they were filled, how much text and link text they held, and the texts that they
+held most often. The result is the host's wrapper. Wrappers of a host are aligned within
+tasks, then across tasks in a tree.
+
+Each page is read again with its host's wrapper, its tags matched to the wrapper's. A text
+counts if its slot isn't mostly links and doesn't hold the very same text on half of the
+host's pages or more. That goes for a notice, too, that stands among paragraphs which share
+its slot, unless such texts are a third of the page: then it is a near copy of others. The
+page's region is where its counting text lies: its article or main
+elements if a fifth of it is there, else the lowest block with the most of it, headings
+beside it included. The region's counting texts and its headings are kept, but for those in
+menus, asides, forms and footers and in blocks whose every class name says as much.
 
 Defined results: null or empty html gives an empty text; pages without a host share a
-wrapper; a page without any kept slot gives an empty text. Whole pages are read; extra
-columns are ignored; repeated rows give repeated results.
+wrapper; a page of which no text counts is one of copies, and all its texts do; a page
+without any text gives an empty one. Whole pages are read, however deep or long (beyond 200
+levels, deeper blocks count as parts of the last one); other columns are ignored, whatever
+their names; repeated rows give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +41,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stage
 from .url_cascade import url_parts
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
-NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A comment; a tag with attributes, their values quoted or (then with quotes inside) not; a declaration.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]+|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|$)|'[^']*+(?:'|$)|[^\s>"'][^\s>]*+)?)?|=)*+)(?:>|$)|<[!?][^>]*(?:>|$)""", re.S
+)
+NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WHITE = re.compile(r"\s+")
 
 # HTML's elements by how they are read.
@@ -54,23 +61,35 @@ LEFT_TAGS = set("nav aside form footer header menu dialog button select fieldset
 LEFT_WORDS = set(
     "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert menu nav navbar navigation breadcrumb breadcrumbs sidebar side footer header masthead comment comments respond reply replies discussion disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay toolbar widget skip pagination pager copyright".split()
 )
+#: Words that say nothing beside those.
+PLAIN_WORDS = set("area bar block body bottom box col column container content group inner item items left list main module outer panel pane right row section site slot top unit wrap wrapper zone".split())
 REGIONS = ("article", "main")
-REGION_WORDS = (set("article articlebody".split()), set("main content post entry story".split()))
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-MAX_DEPTH = 200
+#: Blocks that are texts themselves or rows of such.
+ROWS = HEADINGS | set("p ul ol li dl dt dd table tbody thead tr td th pre blockquote".split())
+#: Levels of blocks that are told apart; texts that a slot counts.
+MAX_DEPTH, TEXTS = 200, 48
 #: Hosts with at least this part (one in HOT) of all pages are split.
 HOT = 1000
 
-# A node is [label, repeated, optional, kids, slot]; a slot is [filled, characters, link characters, least and greatest checksum], the root's counts pages.
+# A node is [label, repeated, optional, kids, slot]; a slot is [filled, characters, link characters, {checksum: times} of the most frequent texts], the root's counts pages.
 TEXT = "#"
+SOLE, SHARED = 1, 2
 
 
 def _label(tag: str, attrs: str) -> str:
-    words = set()
+    """The tag and its class, id and role names, without digits."""
+    names = set()
     for m in NAMED.finditer(attrs):
         value = next(g for g in m.groups()[1:] if g is not None).lower()
-        words |= {w for w in re.split(r"[^a-z]+", value) if w}
-    return ".".join([tag, *sorted(words)])
+        names |= {n for n in (re.sub(r"[^a-z]+", "-", v).strip("-") for v in value.split()) if n}
+    return ".".join([tag, *sorted(names)])
+
+
+def _left_out(parts: list[str]) -> bool:
+    """Whether every name of a block says that it is no main text."""
+    said = [set(n.split("-")) for n in parts[1:]]
+    return any(w & LEFT_WORDS for w in said) and all(w <= LEFT_WORDS | PLAIN_WORDS for w in said)
 
 
 def read_page(html: str | None) -> list:
@@ -131,20 +150,47 @@ def read_page(html: str | None) -> list:
                 close(CLOSES[tag], SCOPE - CLOSES[tag])
             if tag in ENDS_P:
                 close({"p"}, SCOPE)
-            node = [_label(tag, m[3]), []]
-            stack[-1][1][1].append(node)
             if len(stack) < MAX_DEPTH:
-                stack.append((tag, node))
+                node = [_label(tag, m[3]), []]
+                stack[-1][1][1].append(node)
+            else:  # tags keep their balance, texts go to the last block told apart
+                node = stack[-1][1]
+            stack.append((tag, node))
     flush()
     return root
 
 
+def checksum(text: str) -> str:
+    return format(zlib.crc32(text.encode("utf-8", "surrogatepass")), "x")
+
+
 def fold(page: list) -> list:
-    """A page's tree as an expression, with its repeats folded."""
+    """A page's tree as an expression, with its repeats folded; a text counts once, however often the page has it."""
+    out = _fold(page)
+    todo = [out]
+    while todo:
+        n = todo.pop()
+        if n[4] and n[4][3]:
+            n[4][3] = dict.fromkeys(n[4][3], 1)
+        todo += n[3]
+    return out
+
+
+def _fold(page: list) -> list:
     if page[0] == TEXT:
-        sum_ = zlib.crc32(page[1].encode("utf-8", "surrogatepass"))
-        return [TEXT, 0, 0, [], [1, len(page[1]), page[2], sum_, sum_]]
-    return [page[0], 0, 0, _fold_repeats([fold(k) for k in page[1]]), None if page[0] else [1, 0, 0, 0, 0]]
+        return [TEXT, 0, 0, [], [1, len(page[1]), page[2], {checksum(page[1]): 1}]]
+    return [page[0], 0, 0, _fold_repeats([_fold(k) for k in page[1]]), None if page[0] else [1, 0, 0, {}]]
+
+
+def frequent(a: dict[str, int], b: dict[str, int]) -> dict[str, int]:
+    """Counts of both sides; beyond TEXTS texts the rarest are taken off all (a text with more than a TEXTS-th of all never goes)."""
+    out = dict(a)
+    for k, n in b.items():
+        out[k] = out.get(k, 0) + n
+    if len(out) > TEXTS:
+        cut = sorted(out.values(), reverse=True)[TEXTS]
+        out = {k: n - cut for k, n in out.items() if n > cut}
+    return out
 
 
 def _fold_repeats(kids: list) -> list:
@@ -172,7 +218,7 @@ def align(a: list, b: list) -> list:
     """The expression that covers two expressions of one label."""
     slot = a[4] or b[4]
     if a[4] and b[4]:
-        slot = [a[4][0] + b[4][0], a[4][1] + b[4][1], a[4][2] + b[4][2], min(a[4][3], b[4][3]), max(a[4][4], b[4][4])]
+        slot = [a[4][0] + b[4][0], a[4][1] + b[4][1], a[4][2] + b[4][2], frequent(a[4][3], b[4][3])]
     return [a[0], a[1] | b[1], a[2] | b[2], _align_lists(a[3], b[3]), slot]
 
 
@@ -209,82 +255,92 @@ class Wrapper:
         self.root = root
         self.pages = root[4][0] if root[4] else 0
 
-    @staticmethod
-    def _find_region(page: list) -> str | set | None:
-        labels, todo = [], [page]
-        while todo:
-            n = todo.pop()
-            if n[0] != TEXT:
-                labels.append(n[0].split("."))
-                todo += n[1]
-        for tag in REGIONS:
-            if any(x[0] == tag or tag in x[1:] and tag == "main" for x in labels):
-                return tag
-        for words in REGION_WORDS:
-            if any(words & set(x[1:]) and not LEFT_WORDS & set(x[1:]) for x in labels):
-                return words
-        return None
-
-    @staticmethod
-    def _opens(region: str | set | None, parts: list[str]) -> bool:
-        if isinstance(region, str):
-            return parts[0] == region or region == "main" and "main" in parts[1:]
-        return bool(region and region & set(parts[1:]) and not LEFT_WORDS & set(parts[1:]))
-
     def texts(self, page: list) -> list[str]:
         """The page's kept texts in order."""
-        out: list[tuple[str, bool | None]] = []
-        region = self._find_region(page)
-        self._walk(page, self.root, region, region is None, False, out)
-        # a page of which nothing but headings varies is one of copies, not all boilerplate
-        varied = any(fixed is False for _, fixed in out)
-        return [text for text, fixed in out if not (fixed and varied)]
-
-    def _walk(self, page: list, node: list | None, region: str | set | None, inside: bool, left: bool, out: list[tuple[str, bool | None]]) -> None:
+        tree = self._judged(page, self.root, SHARED)
+        if 3 * tree[3] > tree[2] + tree[3]:  # many texts are others' too: a near copy
+            tree = self._judged(page, self.root, SOLE)
+        if not tree[2]:  # nothing counts: a copy
+            tree = self._judged(page, self.root, None)
+        out: list[str] = []
+        for region in self._regions(tree):
+            self._collect(region, out)
+        return out
+
+    def _judged(self, page: list, node: list | None, fixed: int | None) -> list:
+        """The page as blocks [names, kids, weight, shared] and texts [TEXT, text, weight, shared, kept].
+
+        Weights are characters that count, shared those of texts that go though their slot
+        holds others, too; fixed says which texts go (SHARED includes SOLE).
+        """
         kids = []
         for k in node[3] if node else []:
             kids += k[3] if k[0] == "()" else [k]
+        parts = page[0].split(".")
+        heading = parts[0] in HEADINGS
+        out: list = [parts, [], 0, 0]
         at = 0
         for child in page[1]:
             where = next((j for j in (*range(at, len(kids)), *range(at)) if kids[j][0] == child[0]), None)
             match = None if where is None else kids[where]
             at = at if where is None else where
             if child[0] == TEXT:
-                if inside and not left:
-                    heading = page[0].split(".")[0] in HEADINGS
-                    if region is None:
-                        if self._running(match, page[0]):
-                            out.append((child[1], False))
-                    elif heading or not self._links(match):
-                        out.append((child[1], None if heading else self._fixed(match)))
-                continue
-            parts = child[0].split(".")
-            opens = not inside and self._opens(region, parts)
-            gone = left
-            if inside and not opens:
-                words = set(parts[1:])
-                if region is not None:
-                    words -= {"header", "side"}
-                tags = LEFT_TAGS - {"header"} if region is not None else LEFT_TAGS
-                gone = left or parts[0] in tags or bool(LEFT_WORDS & words)
-            self._walk(child, match, region, inside or opens, gone, out)
-
-    def _links(self, slot: list | None) -> bool:
-        """Whether a slot held mostly links."""
-        return bool(slot and slot[4]) and slot[4][2] > slot[4][1] / 2
-
-    def _fixed(self, slot: list | None) -> bool:
-        """Whether a slot held one text only, on half of the pages or more."""
-        return bool(slot and slot[4]) and slot[4][0] > 2 and 2 * slot[4][0] >= self.pages and slot[4][3] == slot[4][4]
-
-    def _running(self, slot: list | None, label: str) -> bool:
-        """Without a region: text that isn't mostly links, nor short outside headings, nor the same on every page."""
-        if slot is None or not slot[4]:
-            return True
-        filled, chars, links, low, high = slot[4]
-        if filled > 2 and low == high or links > chars / 2:
-            return False
-        return chars >= 25 * filled or label.split(".")[0] in {"h1", "h2", "h3", "p", "blockquote", "pre"}
+                links = self._links(match, child)
+                gone = self._fixed(match, child[1])
+                counts = not links and not (fixed and gone and gone <= fixed)
+                shared = len(child[1]) if not links and not counts and gone == SHARED else 0
+                new = [TEXT, child[1], len(child[1]) if counts else 0, shared, counts or heading]
+            else:
+                new = self._judged(child, match, fixed)
+                if new[0][0] in LEFT_TAGS - {"header"} or _left_out(new[0]):
+                    new[2:4] = 0, 0
+            out[1].append(new)
+            out[2] += new[2]
+            out[3] += new[3]
+        return out
+
+    @staticmethod
+    def _links(slot: list | None, child: list) -> bool:
+        """Whether a text's slot held mostly links (the text itself, where the wrapper has no slot for it)."""
+        if slot and slot[4]:
+            return slot[4][2] > slot[4][1] / 2
+        return child[2] > len(child[1]) / 2
+
+    def _fixed(self, slot: list | None, text: str) -> int | None:
+        """SOLE or SHARED if a slot held the text, and nothing else or others, too, on half of the pages or more, and more than twice."""
+        n = slot[4][3].get(checksum(text), 0) if slot and slot[4] else 0
+        return None if n <= 2 or 2 * n < self.pages else SOLE if len(slot[4][3]) == 1 else SHARED
+
+    @staticmethod
+    def _regions(tree: list) -> list[list]:
+        """The blocks that hold the main text."""
+        for tag in REGIONS:
+            found, todo = [], [tree]
+            while todo:
+                n = todo.pop()
+                if n[0][0] == tag or (tag == "main" and "main" in n[0][1:]):
+                    found.append(n)
+                elif n is tree or n[2]:
+                    todo += [k for k in reversed(n[1]) if k[0] != TEXT]
+            if found and 5 * sum(n[2] for n in found) >= tree[2] and any(n[2] for n in found):
+                return [n for n in found if n[2]]
+        node = tree
+        while True:
+            blocks = [k for k in node[1] if k[0] != TEXT]
+            best = max(blocks, key=lambda k: k[2], default=None)
+            if best is None or 10 * best[2] < 6 * node[2] or not best[2] or best[0][0] in ROWS:
+                return [node]
+            if any(k is not best and k[0][0] in ("h1", "h2") for k in blocks):
+                return [node]
+            node = best
+
+    def _collect(self, node: list, out: list[str]) -> None:
+        for k in node[1]:
+            if k[0] == TEXT:
+                if k[4]:
+                    out.append(k[1])
+            elif k[0][0] not in LEFT_TAGS - {"header"} and not _left_out(k[0]):
+                self._collect(k, out)
 
 
 def infer(pages: DataFrame, html_col: str = "html", flush: int = 4000) -> DataFrame:
@@ -295,8 +351,9 @@ def infer(pages: DataFrame, html_col: str = "html", flush: int = 4000) -> DataFr
     def learn(batches: Iterator[pa.RecordBatch]):
         found: dict[str, list] = {}
         for batch in batches:
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                new = fold(read_page(html.as_py()))
+            hosts, pages = batch.column(0).to_pylist(), [h.as_py() or "" for h in batch.column(1)]
+            for i in sorted(range(len(pages)), key=lambda i: (hosts[i], zlib.crc32(pages[i].encode("utf-8", "surrogatepass")), pages[i])):
+                host, new = hosts[i], fold(read_page(pages[i]))
                 found[host] = align(found[host], new) if host in found else new
                 seen[host] += 1
                 if len(found) > flush:
@@ -307,8 +364,8 @@ def infer(pages: DataFrame, html_col: str = "html", flush: int = 4000) -> DataFr
 
     def unite(table):
         whole = None
-        for text in table["wrapper"]:
-            new = json.loads(text.as_py())
+        for text in sorted(table["wrapper"].to_pylist()):  # not as they arrive
+            new = json.loads(text)
             whole = new if whole is None else align(whole, new)
         return pa.table({"host": table["host"][:1], "wrapper": pa.array([json.dumps(whole, separators=(",", ":"))]), "pages": pa.array([sum(table["pages"].to_pylist())], pa.int64()), "salt": pa.array([None], pa.int32())})
 

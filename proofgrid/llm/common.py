@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..storage import scratch_root, stage
 
-__all__ = ["WORD", "fold_of", "map_arrow", "read", "scratch_root", "stage", "words_of"]
+__all__ = ["WORD", "fold_of", "join_frequent", "map_arrow", "read", "scratch_root", "stage", "words_of"]
 
 #: A word is a maximal run of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,5 +44,23 @@ def fold_of(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def join_frequent(many: DataFrame, one: DataFrame, key: str, tie: str, counts: DataFrame | None = None, how: str = "inner", least: int = 256, parts: int = 2000) -> DataFrame:
+    """many joined with one, which has a key once at most, where a key of many may be frequent.
+
+    Rows of many whose key has more than a ``parts``-th of all (and more than least) are dealt by
+    a hash of the column tie to as many tasks as it takes, and its row of one is sent to all of
+    them. The table of such keys has no more than ``parts`` rows, so it is broadcast. many must
+    be cheap to read twice; counts, (key, n), spares that.
+    """
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    counts = stage(counts.where(F.col("n") > least), "key-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    cap = max(least, total // parts)
+    hot = F.broadcast(counts.where(F.col("n") > cap).select(F.col(key), F.ceil(F.col("n") / cap).cast("int").alias("__parts")))
+    dealt = many.join(hot, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(tie), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    sent = one.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(sent, [key, "__part"], how).drop("__part")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

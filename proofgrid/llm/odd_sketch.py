@@ -1,7 +1,8 @@
 """MinHash near-duplicates: banded candidates, odd sketches, confirmation on whole sets.
 
 Each document becomes the set of its word shingles (64-bit hashes). Documents with equal
-sets form one class, so copies never meet again below. For each class a vector of MinHash
+sets form one class (named by 64 bits of the set's digest), so copies never meet again
+below. For each class a vector of MinHash
 values is drawn; bands of it give buckets, and the values, each hashed with its place into
 one bit that it flips, give the odd sketch: the population count of two sketches' XOR
 estimates the similarity, most precisely where it is high. Candidates whose sketches lie
@@ -9,7 +10,8 @@ far below the threshold are dropped (by six standard errors), all others are con
 on the whole sets.
 
 No bucket is expanded into pairs: its classes are first compared with the bucket's smallest
-id only. Buckets that the confirmed links leave in several components are completed exactly:
+only. Joins on a bucket, its smallest class or a class of many copies deal the rows of each
+frequent key to several tasks. Buckets that the confirmed links leave in several components are completed exactly:
 they are joined into groups, and pairs of blocks of a group, each of bounded size, compare
 sketches and, where those are near, whole sets of different components as matrix products,
 passing on nothing but links. So no pair that shares a bucket is left uncompared unless it
@@ -17,7 +19,9 @@ is joined already.
 
 Defined results: documents without words have an empty set and link with nothing; documents
 with fewer words than a shingle have the whole sequence as their one shingle; a null text is
-an empty one. Texts are read whole; extra columns are ignored; ids must be unique.
+an empty one. Texts are read whole; extra columns are ignored; an empty table gives no rows.
+Rows are documents of their own even if ids repeat: each row has the component of its own
+text. A component's id is the smallest there is; null ids count only where there is no other.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, words_of
+from .common import join_frequent, map_arrow, stage, words_of
 from .graph import connected_components
 
 #: Bands and values in each: two sets of similarity 0.8 miss each other with probability (1 - 0.8**5)**36 = 6e-7.
@@ -92,14 +96,25 @@ def sketch(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def class_of(hashes: np.ndarray) -> int | None:
+    """The class of a set, 64 bits of its digest; None if it is empty."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True) if len(hashes) else None
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, print, text): print, a hash of the text, tells rows of one id apart."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, n_shingles, digest of the set, band keys and odd sketch of each document."""
+    """id, print, n_shingles, class, band keys and odd sketch of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                sets = [shingles(t.as_py(), width) for t in part.column(1)]
+                sets = [shingles(t.as_py(), width) for t in part.column("text")]
                 bands, sketches = [], []
                 for s in sets:
                     if not len(s):
@@ -112,26 +127,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                         keys = _mix(keys ^ column)
                     bands.append(keys.view(np.int64))
                     sketches.append(sketch(values).view(np.int64))
-                yield {
-                    "id": part.column(0),
-                    "n_shingles": [len(s) for s in sets],
-                    "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                    "bands": bands,
-                    "sketch": sketches,
-                }
+                yield {"id": part.column("id"), "print": part.column("print"), "n_shingles": [len(s) for s in sets], "cls": [class_of(s) for s in sets], "bands": bands, "sketch": sketches}
+
+    return map_arrow(_rows(docs, id_col, text_col), run, "id long, print long, n_shingles long, cls long, bands array<long>, sketch array<long>")
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return map_arrow(rows, run, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(cls, shingles) of the classes of which wanted has a document (id, print); so few that they fit a broadcast spare a shuffle of all texts."""
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                yield {"id": part.column(0), "shingles": [shingles(t.as_py(), width).tobytes() for t in part.column(1)]}
+                sets = [shingles(t.as_py(), width) for t in batch.slice(lo, 1024).column("text")]
+                yield {"cls": [class_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
-    return map_arrow(docs, run, "id long, shingles binary")
+    keys = wanted.select(F.col("id").alias("_id"), F.col("print").alias("_print"))
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    rows = _rows(docs, id_col, text_col)
+    rows = rows.join(keys, rows["id"].eqNullSafe(F.col("_id")) & (rows["print"] == F.col("_print")), "left_semi")
+    return map_arrow(rows.select("text"), run, "cls long, shingles binary").where("cls is not null").dropDuplicates(["cls"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int):
@@ -207,24 +221,17 @@ def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total[np.searchsorted(rows, x), np.searchsorted(cols, y)].astype(np.int64)
 
 
-def _texts_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
-    """(id, text) of the rows with one of ids (distinct); so few ids that they fit a broadcast spare a shuffle of all texts."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi")
-
-
-def _rest(docs: DataFrame, id_col: str, text_col: str, width: int, inside: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+def _rest(inside: DataFrame, facts: DataFrame, sets_of, percent: int) -> DataFrame:
     """Links (a, b) between different components within a group, each pair of blocks of a group being a task of bounded size.
 
-    inside has id, c (component) and grp; nothing but links is passed on.
+    inside has cls, c (component) and grp; nothing but links is passed on.
     """
     inside = stage(inside, "open-members")
-    texts = _texts_of(docs, id_col, text_col, inside.select("id"))
-    rows = stage(inside.join(facts.select("id", "n_shingles", F.col("sketch").alias("words")), "id").join(_sets(texts, width), "id"), "open-sets")
-    blocks = rows.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"), F.countDistinct("c").alias("parts")).where("parts > 1")
-    rows = rows.join(blocks.select("grp", "blocks"), "grp").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = stage(inside.join(facts.select("cls", "n_shingles", F.col("sketch").alias("words")), "cls").join(sets_of(inside.select("cls")), "cls"), "open-sets")
+    blocks = rows.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
+    rows = join_frequent(rows, blocks.select("grp", "blocks"), "grp", "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "c", "n_shingles", "words", "shingles")
+    rows = rows.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), F.col("cls").alias("id"), "c", "n_shingles", "words", "shingles")
 
     def pack(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -235,47 +242,77 @@ def _rest(docs: DataFrame, id_col: str, text_col: str, width: int, inside: DataF
     return packed.groupBy("grp", "i", "j").applyInArrow(lambda table: _block_links(table, percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """id_col, n_shingles, component_id (smallest id reachable by links, itself included), kept, for every row.
-
-    Two documents are linked when 100 * intersection >= percent * union of their shingle sets.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, print, n_shingles, cls) of all rows, and (cls, best) of all classes: the first (id, print) of the class's component."""
     sig = stage(signatures(docs, id_col, text_col, width), "signatures")
-    classes = sig.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    member = sig.join(classes, "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    reps = sig.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n_shingles", "bands", "sketch")
-    slots = reps.select("id", F.explode("bands").alias("slot"))
-    first = slots.groupBy("slot").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = stage(slots.join(first, "slot").select("slot", "id", "head"), "buckets")  # only buckets with two classes or more
-    facts = reps.select("id", "n_shingles", "sketch")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print"))
+    classes = stage(sig.where("cls is not null").groupBy("cls").agg(best.alias("best"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    slots = classes.select("cls", F.explode("bands").alias("slot"))
+    first = slots.groupBy("slot").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = stage(join_frequent(slots, first.select("slot", "head"), "slot", "cls", first.select("slot", "n")), "buckets")  # only buckets with two classes or more
+    facts = classes.select("cls", "n_shingles", "sketch")
     # the smaller set has at least percent of the larger one, and sketches are near
     differing = lambda a, b: sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
     likely = lambda na, nb, sa, sb: (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differing(sa, sb) <= sketch_limit(percent))
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(cls, shingles) of the classes wanted (distinct)."""
+        return _sets(docs, id_col, text_col, width, classes.join(wanted, "cls", "left_semi").select("best.id", "best.print"))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those that the whole sets confirm."""
         pairs = stage(pairs, "candidates")
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = stage(_sets(_texts_of(docs, id_col, text_col, wanted), width), "sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        return map_arrow(both, lambda it: _confirm(it, percent), "a long, b long")
+        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        sets = stage(sets_of(wanted), "sets")
+        both = pairs.join(sets.toDF("a", "sa"), "a")
+        return map_arrow(join_frequent(both, sets.toDF("b", "sb"), "b", "a"), lambda it: _confirm(it, percent), "a long, b long")
 
-    pairs = shared.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = pairs.join(facts.toDF("a", "na", "ka"), "a").join(facts.toDF("b", "nb", "kb"), "b").where(likely(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"))).select("a", "b")
+    pairs = stage(shared.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
+    pairs = join_frequent(pairs, facts.toDF("b", "nb", "kb"), "b", "a").join(facts.toDF("a", "na", "ka"), "a").where(likely(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"))).select("a", "b")
     links = stage(confirmed(pairs), "links")
     part = connected_components(links, "a", "b")
 
     # buckets that are still in several components (a bucket's only pair has been compared), joined into groups
-    tagged = shared.join(part.withColumnRenamed("v", "id"), "id", "left").select("slot", "id", "head", F.coalesce("component", "id").alias("c"))
+    tagged = stage(shared.join(part.withColumnRenamed("v", "cls"), "cls", "left").select("slot", "cls", "head", F.coalesce("component", "cls").alias("c")), "tagged")
     sizes = tagged.groupBy("slot").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 <> c2 and n > 2")
-    open_ = stage(tagged.join(sizes.select("slot"), "slot").select("id", "head", "c").distinct(), "open-buckets")
-    grouped = connected_components(open_, "id", "head")
-    inside = open_.select("id", "c").distinct().join(grouped.withColumnRenamed("v", "id"), "id", "left").select("id", "c", F.coalesce("component", "id").alias("grp"))
-    more = stage(_rest(docs, id_col, text_col, width, inside, facts, percent), "links")
+    open_ = stage(join_frequent(tagged, sizes.select("slot"), "slot", "cls", sizes.select("slot", "n")).select("cls", "head", "c").distinct(), "open-buckets")
+    grouped = connected_components(open_, "cls", "head")
+    inside = open_.select("cls", "c").distinct().join(grouped.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "c", F.coalesce("component", "cls").alias("grp"))
+    more = stage(_rest(inside, facts, sets_of, percent), "links")
     if not more.isEmpty():
         part = connected_components(part.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
-    return (
-        member.join(part.withColumnRenamed("v", "rep"), "rep", "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-        .withColumn("kept", F.col(id_col) == F.col("component_id"))
-    )
+    # the first document of each component
+    tied = stage(classes.select("cls", "best").join(part.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "best", F.coalesce("component", "cls").alias("component")), "class-components")
+    several = tied.groupBy("component").agg(F.min("best").alias("first"), F.count("*").alias("n")).where("n > 1")
+    joined = join_frequent(tied, several.select("component", "first"), "component", "cls", several.select("component", "n"), "left")
+    return sig.select("id", "print", "n_shingles", "cls"), joined.select("cls", F.coalesce("first", "best").alias("best"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """id_col, n_shingles, component_id (smallest id reachable by links, itself included), kept (the id is its component's), for every row.
+
+    Two documents are linked when 100 * intersection >= percent * union of their shingle sets.
+    """
+    sig, classes = _linked(docs, id_col, text_col, width, percent)
+    out = join_frequent(sig, classes, "cls", "id", how="left")
+    component = F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one row of each component, the first by id and then by hash of the text; rows without words stay."""
+    sig, classes = _linked(docs, id_col, text_col, width, percent)
+    # a component's first row by (id, print); rows alike in both are one text, of which one stays
+    first = stage(classes.select("best.id", "best.print").distinct(), "first-rows")
+    often = stage(sig.where("cls is not null").groupBy("id", "print").agg(F.count("*").alias("n")).where("n > 1").select("id", "print"), "repeated-rows")
+    blank = sig.where("cls is null").select("id", "print").distinct()
+    text = F.xxhash64(F.col(f"`{text_col}`"))
+    mine = F.col(f"`{id_col}`").cast("long")
+    same = mine.eqNullSafe(F.col("id_")) & (text == F.col("print_"))
+    pick = lambda keys: docs.join(keys.toDF("id_", "print_"), same, "left_semi")
+    if often.isEmpty():
+        return pick(first.unionByName(blank)).select(*docs.columns)
+    alike = first["id"].eqNullSafe(often["id"]) & (first["print"] == often["print"])
+    once, several = first.join(often, alike, "left_anti"), first.join(often, alike, "left_semi")
+    single = pick(several).withColumn("print__", text).dropDuplicates([id_col, "print__"]).drop("print__")
+    return pick(once.unionByName(blank)).unionByName(single).select(*docs.columns)

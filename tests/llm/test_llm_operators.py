@@ -82,6 +82,27 @@ def test_near_duplicates(spark):
     assert [r["component_id"] for r in odd_sketch.near_duplicates(docs(spark, [None])).collect()] == [0]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "x y"), (5, "x y"), (None, "p q r"), (7, "p q r"), (8, None), (8, ""), (9, "m " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("clash")).withColumn("kept", F.lit("clash")).repartition(3)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"], r["n_shingles"]) for r in odd_sketch.near_duplicates(df, width=2).collect()), key=str)
+    assert got == sorted([(1, 1, True, 3), (5, 1, False, 3), (5, 5, True, 1), (5, 5, True, 1), (None, 7, False, 2), (7, 7, True, 2), (8, 8, True, 0), (8, 8, True, 0), (9, 9, True, 1)], key=str)
+    left = odd_sketch.drop_duplicates(df, width=2)
+    assert left.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, "a b c d"), (5, "x y"), (7, "p q r"), (8, None), (8, ""), (9, "m " * 50_000)], key=str)
+    assert odd_sketch.drop_duplicates(df.limit(0)).count() == 0
+
+
+def test_frequent_keys_are_dealt_out(spark):
+    from proofgrid.llm.common import join_frequent
+
+    many = spark.range(5000).select("id", F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("k"))
+    one = spark.createDataFrame([(7, "hot"), (5, "five"), (6, "none")], "k long, v string")
+    for how, rows in (("inner", 2502), ("left", 5000)):
+        got = join_frequent(many, one, "k", "id", how=how, least=10, parts=8)
+        assert got.count() == rows and got.where("v = 'hot'").count() == 2501 and got.where("v = 'five'").count() == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)

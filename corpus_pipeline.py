@@ -4,7 +4,8 @@ Language identification drops the documents that the classifier rejects; near-du
 detection keeps the smallest id of each group of documents linked at similarity 0.8 on
 five-word shingles; the source mix repeats or drops whole documents to bring sources to
 their target weights; the last stage encodes what is left into SentencePiece ids.
-Each stage handles empty input, null texts and repeated ids (see its operator).
+Each stage handles empty input, null texts and repeated ids, whose rows are documents of
+their own (see its operator).
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each group of near-duplicates."""
-    groups = odd_sketch.near_duplicates(docs, width=5, percent=80)
-    return docs.join(groups.where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return odd_sketch.drop_duplicates(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,22 +1,28 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs per shard.
 
-Rows are dealt by hashed id into shards, each of which gets a graph: every vector has a
-random top layer, and on each of its layers links to diverse near vectors. Every vector
-then queries every shard: a greedy descent, a beam search on the lowest layer, and from
-each hit along the links of hits for as long as new ones turn up, so that large groups
-are listed whole whatever the beam. In each task a hashed part of the queries is first
-compared with the whole shard; until the graph finds what that audit finds, for queries
-with few links as for those with many, beams are doubled, and once the beam spans the shard the search is exhaustive. Every hit is verified
-by the cosine in double precision.
+Rows whose unit vectors are equal form one class, so copies never meet again below. Classes
+are dealt by hash into shards, each of which gets a graph: every vector has a random top
+layer, and on each of its layers links to diverse near vectors. Every class then queries
+every shard: a greedy descent, and a beam search on the lowest layer. A query whose beam
+holds nothing but hits gets a beam twice as wide, until the last one is no hit; once that
+beam is an eighth of the shard, the query is compared with all of it. From each hit on,
+links of hits are followed for as long as new ones turn up. In each task a hashed part of
+the queries is first compared with the whole shard; until the graph finds what that audit
+finds, for queries with few links as for those with many, all beams are doubled, and once
+they span the shard the search is exhaustive. Every hit is verified by the cosine in
+double precision.
 
 Counts are summed over shards; of the links of a task only a spanning forest is passed on,
-and components are united by a distributed reduction.
+and components are united by a distributed reduction. Queries
+are dealt in blocks, so that a task is of bounded size.
 
 Graphs are built and searched in step for whole batches, as matrix operations.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
-link with nothing and form components of their own; ids must be unique; extra columns are
-ignored.
+link with nothing and form components of their own; vectors of different lengths never link
+(each length has shards of its own); rows are vectors of their own even if ids repeat, each
+with the links of its own vector; a row with a null id counts where others link with it; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import join_frequent, stage
 from .graph import connected_components
-from .vectors import clean, ints, matrix
+from .vectors import ints, matrix, usable
 
 #: Links of a vector on upper layers (twice as many on the lowest), beam while building.
 LINKS, BUILD_BEAM = 16, 48
-#: Shards at least; rows of a shard and queries of a task at most.
-SHARDS, SHARD_ROWS, TASK_QUERIES = 8, 65_536, 16_384
+#: Shards at least; rows and components of a shard and queries of a task at most.
+SHARDS, SHARD_ROWS, SHARD_VALUES, TASK_QUERIES = 8, 65_536, 16_000_000, 16_384
 #: First beam, queries audited in a task at least, recall that passes.
 BEAM, AUDIT, PASS = 64, 256, 0.9995
 BATCH = 256
@@ -201,36 +207,44 @@ class Graph:
 
     def range_search(self, q: np.ndarray, width: int, least: float) -> list[np.ndarray]:
         """For each unit query the numbers of all vectors found with cosine >= least, verified in double."""
-        if width >= len(self.x):  # the beam spans the shard
-            return [np.flatnonzero(s >= least) for s in q @ self.unit.T]
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
         q32, entry = q.astype(np.float32), None
-        for layer in self.layers[:0:-1]:
-            if len(layer.members):
-                start = np.full(len(q), layer.members[0]) if entry is None else entry
-                entry = layer.beam(q32, start, 4)[0][:, 0]
-        base = self.layers[0]
-        entry = np.full(len(q), base.members[0]) if entry is None else entry
-        ids, sims = base.beam(q32, entry, width)
-        out = []
+        if width < len(self.x):
+            for layer in self.layers[:0:-1]:
+                if len(layer.members):
+                    start = np.full(len(q), layer.members[0]) if entry is None else entry
+                    entry = layer.beam(q32, start, 4)[0][:, 0]
+            entry = np.full(len(q), self.layers[0].members[0]) if entry is None else entry
         near = least - 0.02  # single precision, and a step of slack to cross between hits
-        for v, i, s in zip(q, ids, sims):
-            front = i[s >= near]
-            if len(front):
-                seen = np.zeros(len(self.x), bool)
-                seen[i[i >= 0]] = True
-                hits = [front]
-                while len(front):
-                    nb = np.unique(base.to[front])
-                    nb = nb[nb >= 0]
-                    nb = nb[~seen[nb]]
-                    seen[nb] = True
-                    front = nb[self.x[nb] @ v.astype(np.float32) >= near]
-                    hits.append(front)
-                front = np.concatenate(hits)
-                front = front[self.unit[front] @ v >= least]
-            out.append(front)
+        todo = np.arange(len(q))
+        while len(todo):
+            if 8 * width >= len(self.x):  # a wider beam would cost as much as the whole shard
+                for lo in range(0, len(todo), BATCH):
+                    at = todo[lo : lo + BATCH]
+                    row, hit = np.nonzero(q[at] @ self.unit.T >= least)
+                    for k, found in zip(at, np.split(hit, np.searchsorted(row, np.arange(1, len(at))))):
+                        out[k] = found
+                break
+            ids, sims = self.layers[0].beam(q32[todo], entry[todo], width)
+            full = sims[:, -1] >= near
+            for k in np.flatnonzero((sims[:, 0] >= near) & ~full):
+                out[todo[k]] = self._spread(q[todo[k]], q32[todo[k]], ids[k], sims[k], near, least)
+            todo, width = todo[full], 2 * width
         return out
 
+    def _spread(self, q: np.ndarray, q32: np.ndarray, ids: np.ndarray, sims: np.ndarray, near: float, least: float) -> np.ndarray:
+        """The hits of a beam and those that links of hits lead to."""
+        base, front = self.layers[0], ids[sims >= near]
+        seen, hits = set(ids.tolist()), [front]
+        while len(front):
+            nb = [i for i in set(base.to[front].ravel().tolist()) - seen if i >= 0]
+            seen.update(nb)
+            nb = np.array(nb, np.int64)
+            front = nb[self.x[nb] @ q32 >= near] if len(nb) else nb
+            hits.append(front)
+        found = np.concatenate(hits)
+        return found[self.unit[found] @ q >= least]
+
 
 def _shard_rows(ids: np.ndarray, graph: Graph) -> pa.Table:
     upper = [[layer.to[i].tolist() for layer in graph.layers[1 : lv + 1]] for i, lv in enumerate(graph.level)]
@@ -265,7 +279,7 @@ def audited_search(graph: Graph, q: np.ndarray, audit: np.ndarray, least: float)
     truth = [np.flatnonzero(s >= least) for s in (q[audit] @ graph.unit.T)]
     size = np.array([len(t).bit_length() for t in truth], np.int64)
     wanted, width = np.bincount(size, [len(t) for t in truth]), BEAM
-    while width < len(graph.x):
+    while 8 * width < len(graph.x):
         found = np.bincount(size, [len(np.intersect1d(a, b)) for a, b in zip(truth, graph.range_search(q[audit], width, least))])
         if (found >= PASS * wanted).all():
             break
@@ -273,9 +287,8 @@ def audited_search(graph: Graph, q: np.ndarray, audit: np.ndarray, least: float)
     return [hits for lo in range(0, len(q), BATCH) for hits in graph.range_search(q[lo : lo + BATCH], width, least)]
 
 
-def _query_task(rows: pa.Table, queries: pa.Table, least: float) -> pa.Table:
-    """(id, n): links of each query into this shard; (id, other): a spanning forest of them."""
-    ids, graph = _load(rows)
+def _query_block(ids: np.ndarray, mult: np.ndarray, graph: Graph, queries: pa.Table, least: float) -> pa.Table:
+    """(id, n): rows that each query links with in this shard; (id, other): a spanning forest of the links."""
     qids, q = ints(queries["id"]), matrix(queries["vector"])
     order = np.argsort((qids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
     hits = audited_search(graph, q, order[: max(AUDIT, len(q) // 32)], least)
@@ -289,10 +302,9 @@ def _query_task(rows: pa.Table, queries: pa.Table, least: float) -> pa.Table:
     count = np.zeros(len(q), np.int64)
     edges: list[tuple[int, int]] = []
     for i, (qid, found) in enumerate(zip(qids.tolist(), hits)):
-        others = ids[found]
-        others = others[others != qid]
-        count[i] = len(others)
-        for o in others.tolist():
+        found = found[ids[found] != qid]
+        count[i] = mult[found].sum()
+        for o in ids[found].tolist():
             a, b = root(qid), root(o)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -306,31 +318,45 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     """id_col, n_links, component_id, kept for every row: links have a cosine of at least ``least``."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     peak = F.array_max(F.transform("vector", F.abs))  # scaled first, so that no square over- or underflows
-    rows = clean(df, id_col, vector_col).withColumn("peak", peak).select("id", F.transform("vector", lambda x: x / F.col("peak")).alias("vector"))
-    rows = stage(rows.withColumn("norm", norm).select("id", F.transform("vector", lambda x: x / F.col("norm")).alias("vector")), "unit-vectors")
-    n = rows.count()
-    shards = max(shards, -(-n // SHARD_ROWS))
-    blocks = max(1, -(-n // TASK_QUERIES))
+    given = F.col(f"`{vector_col}`").cast("array<double>")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(usable(given), given).alias("vector")).withColumn("peak", peak)
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: x / F.col("peak"))).withColumn("norm", norm)
+    rows = stage(rows.select("id", F.transform("vector", lambda x: x / F.col("norm") + 0.0).alias("vector")).withColumn("cls", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))), "unit-vectors")
+    # classes of equal vectors, named by hash
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
+    classes = stage(rows.where("cls is not null").groupBy("cls").agg(F.first("vector").alias("vector"), F.count("*").alias("mult"), first.alias("best")).withColumn("size", F.size("vector")), "vector-classes")
+    sizes = {r["size"]: r["n"] for r in classes.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    parts = {d: max(shards, -(-n // min(SHARD_ROWS, max(1024, SHARD_VALUES // d)))) for d, n in sizes.items()}
+    blocks = max([1, *(-(-n // TASK_QUERIES) for n in sizes.values())])
+    of = F.coalesce(*(F.when(F.col("size") == d, F.lit(p)) for d, p in parts.items()), F.lit(1))
 
     def build(table):
         table = table.sort_by("id")
-        return _shard_rows(ints(table["id"]), Graph.build(matrix(table["vector"]))).append_column("shard", table["shard"])
+        out = _shard_rows(ints(table["id"]), Graph.build(matrix(table["vector"])))
+        return out.append_column("mult", table["mult"]).append_column("size", table["size"]).append_column("shard", table["shard"])
 
-    place = lambda parts, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    graphs = stage(rows.withColumn("shard", place(shards, 3)).groupBy("shard").applyInArrow(build, "id long, pos long, vector array<double>, level int, base array<int>, upper array<array<int>>, shard int"), "graphs")
-    left = graphs.withColumn("block", every(blocks))
-    right = rows.withColumn("block", place(blocks, 5)).withColumn("shard", every(shards))
+    place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    points = classes.select(F.col("cls").alias("id"), "vector", "mult", "size")
+    graphs = points.withColumn("shard", place(of, 3)).groupBy("size", "shard").applyInArrow(build, "id long, pos long, vector array<double>, level int, base array<int>, upper array<array<int>>, mult long, size int, shard int")
+    graphs = stage(graphs, "graphs")
+    asked = points.select("id", "vector", "size").withColumn("block", place(F.lit(blocks), 5)).withColumn("shard", F.explode(F.sequence(F.lit(0), of - 1)))
+    shape = "id long, n long, other long"
 
     def run(a, b):
         if not a.num_rows or not b.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        return _query_task(a, b, least)
-
-    found = stage(left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, "id long, n long, other long"), "vector-links")
-    links = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+            return pa.table({n: pa.array([], pa.int64()) for n in ("id", "n", "other")})
+        a = a.sort_by("pos")
+        ids, graph = _load(a)
+        return _query_block(ids, ints(a["mult"]), graph, b, least)
+
+    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = stage(left.groupBy("size", "shard", "block").cogroup(asked.groupBy("size", "shard", "block")).applyInArrow(run, shape), "vector-links")
+    links = found.groupBy("id").agg(F.sum("n").alias("n"))
     part = connected_components(found.where("other is not null"), "id", "other")
-    ids = df.select(F.col(f"`{id_col}`").cast("long").alias("id"))
-    out = ids.join(links, "id", "left").join(part.withColumnRenamed("v", "id"), "id", "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    tied = stage(classes.select("cls", "mult", "best").join(links.withColumnRenamed("id", "cls"), "cls", "left").join(part.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "mult", "best", "n", F.coalesce("component", "cls").alias("component")), "vector-components")
+    several = tied.groupBy("component").agg(F.min("best").alias("first"), F.count("*").alias("k")).where("k > 1")
+    tied = join_frequent(tied, several.select("component", "first"), "component", "cls", several.select("component", F.col("k").alias("n")), "left")
+    tied = tied.select("cls", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("first", "best").alias("best"))
+    out = join_frequent(rows.select("id", "cls"), tied, "cls", "id", how="left")
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

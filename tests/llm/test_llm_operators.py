@@ -248,6 +248,13 @@ def test_vector_duplicates(spark):
     assert hnsw_dedup.near_duplicates(vectors(spark, x[:0].reshape(0, 16), False)).count() == 0
 
 
+def test_vector_duplicates_of_repeated_ids_and_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (5, [2.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.0, 0.0]), (7, [3.0, 0.1, 0.0]), (5, [0.0, 1.0]), (8, []), (8, None), (9, [1e300, 1e-300])]
+    got = hnsw_dedup.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, mult int")).collect()
+    want = [(1, 2, 1, True), (5, 2, 1, False), (5, 1, 5, True), (6, 1, 6, True), (7, 1, 6, False), (5, 1, 5, True), (8, 0, 8, True), (8, 0, 8, True), (9, 2, 1, False)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

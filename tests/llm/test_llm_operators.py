@@ -232,6 +232,13 @@ def test_search(spark):
     assert permutation_index.search(vectors(spark, x[:0].reshape(0, 16), False), F.col("id") % 20 == 0).count() == 0
 
 
+def test_search_of_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (7, [1.0, 0.0, 0.0]), (20, None), (None, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, query_id int")
+    got = sorted((r["query_id"], r["vec_id"], r["score"]) for r in permutation_index.search(df, F.col("id") % 20 == 0, k=20).collect())
+    assert got == [(0, 3, 1.0)] * 4 + [(40, 7, 1.0)]
+
+
 def test_vector_duplicates(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(600, 16)).astype(np.float32)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..storage import scratch_root, stage
+from ..storage import discard, scratch_root, stage
 
-__all__ = ["WORD", "fold_of", "join_frequent", "map_arrow", "read", "scratch_root", "stage", "words_of"]
+__all__ = ["WORD", "discard", "fold_of", "join_frequent", "map_arrow", "read", "scratch_root", "stage", "words_of"]
 
 #: A word is a maximal run of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"

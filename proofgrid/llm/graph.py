@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage
+from .common import discard, map_arrow, stage
 
 
 def _forest(batches: Iterator[pa.RecordBatch]):
@@ -48,7 +48,9 @@ def connected_components(edges: DataFrame, a: str, b: str, local: int = LOCAL_ED
     thin = lambda df: map_arrow(df, _forest, "v long, u long")
     stars = stage(thin(e), "stars")
     if stars.count() <= local:
-        return stage(thin(stars.coalesce(1)), "components").select("v", F.col("u").alias("component"))
+        whole = stage(thin(stars.coalesce(1)), "components")
+        discard(stars)
+        return whole.select("v", F.col("u").alias("component"))
     while True:
         # large star: every larger neighbour of v goes to the smallest of v and its neighbours
         both = stars.unionByName(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -60,6 +62,7 @@ def connected_components(edges: DataFrame, a: str, b: str, local: int = LOCAL_ED
         small = down.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         new = stage(thin(small.unionByName(least.select("v", F.col("m").alias("u")))).distinct(), "stars")
         sums = [d.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.countDistinct("v")).first() for d in (stars.distinct(), new)]
+        discard(stars)
         stars = new
         if sums[0][:2] == sums[1][:2] and sums[1][2] == sums[1][0]:
             return stars.select("v", F.col("u").alias("component"))

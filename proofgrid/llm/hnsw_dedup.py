@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_frequent, stage
+from .common import discard, join_frequent, stage
 from .graph import connected_components
 from .vectors import ints, matrix, usable
 
@@ -351,6 +351,7 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
 
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = stage(left.groupBy("size", "shard", "block").cogroup(asked.groupBy("size", "shard", "block")).applyInArrow(run, shape), "vector-links")
+    discard(graphs)
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     part = connected_components(found.where("other is not null"), "id", "other")
     tied = stage(classes.select("cls", "mult", "best").join(links.withColumnRenamed("id", "cls"), "cls", "left").join(part.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "mult", "best", "n", F.coalesce("component", "cls").alias("component")), "vector-components")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_frequent, map_arrow, stage, words_of
+from .common import discard, join_frequent, map_arrow, stage, words_of
 from .graph import connected_components
 
 #: Bands and values in each: two sets of similarity 0.8 miss each other with probability (1 - 0.8**5)**36 = 6e-7.
@@ -44,7 +44,7 @@ BANDS, ROWS = 36, 5
 #: Bits of an odd sketch, as 64-bit words.
 SKETCH_WORDS = 16
 #: Shingles and classes of a block in the exact completion.
-BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 2048
+BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 1024
 #: Ids that may be broadcast to pick their texts.
 BROADCAST_IDS = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -221,13 +221,15 @@ def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total[np.searchsorted(rows, x), np.searchsorted(cols, y)].astype(np.int64)
 
 
-def _rest(inside: DataFrame, facts: DataFrame, sets_of, percent: int) -> DataFrame:
+def _rest(inside: DataFrame, facts: DataFrame, sets_of, percent: int, spent: list[DataFrame]) -> DataFrame:
     """Links (a, b) between different components within a group, each pair of blocks of a group being a task of bounded size.
 
-    inside has cls, c (component) and grp; nothing but links is passed on.
+    inside has cls, c (component) and grp; nothing but links is passed on. Tables that may go
+    after that are added to spent.
     """
     inside = stage(inside, "open-members")
     rows = stage(inside.join(facts.select("cls", "n_shingles", F.col("sketch").alias("words")), "cls").join(sets_of(inside.select("cls")), "cls"), "open-sets")
+    spent += [inside, rows]
     blocks = rows.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
     rows = join_frequent(rows, blocks.select("grp", "blocks"), "grp", "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -244,9 +246,12 @@ def _rest(inside: DataFrame, facts: DataFrame, sets_of, percent: int) -> DataFra
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, print, n_shingles, cls) of all rows, and (cls, best) of all classes: the first (id, print) of the class's component."""
-    sig = stage(signatures(docs, id_col, text_col, width), "signatures")
+    wide = stage(signatures(docs, id_col, text_col, width), "signatures")
+    sig = stage(wide.select("id", "print", "n_shingles", "cls"), "document-classes")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print"))
-    classes = stage(sig.where("cls is not null").groupBy("cls").agg(best.alias("best"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = stage(wide.where("cls is not null").groupBy("cls").agg(best.alias("best"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    discard(wide)
+    spent: list[DataFrame] = []
     slots = classes.select("cls", F.explode("bands").alias("slot"))
     first = slots.groupBy("slot").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = stage(join_frequent(slots, first.select("slot", "head"), "slot", "cls", first.select("slot", "n")), "buckets")  # only buckets with two classes or more
@@ -261,31 +266,37 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those that the whole sets confirm."""
-        pairs = stage(pairs, "candidates")
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         sets = stage(sets_of(wanted), "sets")
+        spent.append(sets)
         both = pairs.join(sets.toDF("a", "sa"), "a")
         return map_arrow(join_frequent(both, sets.toDF("b", "sb"), "b", "a"), lambda it: _confirm(it, percent), "a long, b long")
 
     pairs = stage(shared.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    pairs = join_frequent(pairs, facts.toDF("b", "nb", "kb"), "b", "a").join(facts.toDF("a", "na", "ka"), "a").where(likely(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"))).select("a", "b")
-    links = stage(confirmed(pairs), "links")
+    candidates = join_frequent(pairs, facts.toDF("b", "nb", "kb"), "b", "a").join(facts.toDF("a", "na", "ka"), "a").where(likely(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"))).select("a", "b")
+    candidates = stage(candidates, "candidates")
+    links = stage(confirmed(candidates), "links")
     part = connected_components(links, "a", "b")
+    discard(pairs, candidates, links, *spent)
 
     # buckets that are still in several components (a bucket's only pair has been compared), joined into groups
     tagged = stage(shared.join(part.withColumnRenamed("v", "cls"), "cls", "left").select("slot", "cls", "head", F.coalesce("component", "cls").alias("c")), "tagged")
+    discard(shared)
     sizes = tagged.groupBy("slot").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 <> c2 and n > 2")
     open_ = stage(join_frequent(tagged, sizes.select("slot"), "slot", "cls", sizes.select("slot", "n")).select("cls", "head", "c").distinct(), "open-buckets")
     grouped = connected_components(open_, "cls", "head")
     inside = open_.select("cls", "c").distinct().join(grouped.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "c", F.coalesce("component", "cls").alias("grp"))
-    more = stage(_rest(inside, facts, sets_of, percent), "links")
+    more = stage(_rest(inside, facts, sets_of, percent, spent), "links")
+    discard(tagged, open_, *spent)
     if not more.isEmpty():
         part = connected_components(part.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     # the first document of each component
     tied = stage(classes.select("cls", "best").join(part.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "best", F.coalesce("component", "cls").alias("component")), "class-components")
     several = tied.groupBy("component").agg(F.min("best").alias("first"), F.count("*").alias("n")).where("n > 1")
     joined = join_frequent(tied, several.select("component", "first"), "component", "cls", several.select("component", "n"), "left")
-    return sig.select("id", "print", "n_shingles", "cls"), joined.select("cls", F.coalesce("first", "best").alias("best"))
+    joined = stage(joined.select("cls", F.coalesce("first", "best").alias("best")), "first-documents")
+    discard(classes, tied)
+    return sig, joined
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

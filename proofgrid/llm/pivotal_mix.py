@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, discard, stage
 
 #: Expected documents of a leaf, and leftovers that meet at once in the tree.
 LEAF, FAN = 512, 64
@@ -137,7 +137,7 @@ def mix(
     rows = stage(rows.select("skey", "grp", "leaves", "id", "source", "size", "source_size", "target", "whole", "p", *names), "mix-rates")
 
     fractional = F.col("p") > EPS
-    left, finished = rows.where(fractional), [rows.where(~fractional).withColumn("p", F.lit(0.0))]
+    left, finished = rows.where(fractional), [stage(rows.where(~fractional).withColumn("p", F.lit(0.0)), "mix-whole")]
     leaves, final = int(plan.agg(F.max("leaves")).first()[0] or 1), False
     while not final:
         # the last round has every source in one group; before, FAN groups' leftovers meet in one
@@ -146,6 +146,7 @@ def mix(
         finished.append(met.where("p = 0 or p = 1"))
         left = met.where("p > 0 and p < 1").withColumn("grp", F.floor(F.col("grp") / FAN))
         leaves = -(-leaves // FAN)
+    discard(rows, base)
     whole = finished[0]
     for part in finished[1:]:
         whole = whole.unionByName(part)
@@ -155,9 +156,18 @@ def mix(
 
 
 def repeat(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, **options) -> DataFrame:
-    """docs, each row as often as the mix takes it; rows are told apart by number, so ids may repeat."""
-    numbered = stage(docs.withColumn("__number", F.monotonically_increasing_id()), "mix-rows")
-    mixed = mix(numbered, weights, share, ceiling, row_col="__number", **options)
-    taken = mixed.where("copies > 0").select("__number", F.col("copies").alias("__copies"))
-    rows = numbered.join(taken, "__number").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs, each row as often as the mix takes it.
+
+    Rows are told apart by a hash of all their columns, so ids may repeat; rows that are alike
+    in all columns share their copies.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("__print", F.xxhash64(*columns))
+    mixed = mix(rows, weights, share, ceiling, row_col="__print", **options)
+    taken = stage(mixed.groupBy("__print").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__alike")).where("__copies > 0"), "mix-taken")
+    again = lambda df: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    alike = taken.where("__alike > 1")
+    if alike.isEmpty():
+        return again(rows.join(taken, "__print"))
+    single = rows.join(alike.select("__print"), "__print", "left_semi").dropDuplicates(["__print"])
+    return again(rows.join(taken.where("__alike = 1"), "__print")).unionByName(again(single.join(alike, "__print")))

@@ -18,7 +18,7 @@ NEVER = float("inf")
 class Seams:
     """Seam checks for one vocabulary; rank(x, y) is the rank at which x and y merge, or None."""
 
-    def __init__(self, rank: Callable[[str, str], float | None], keep: int = 1_000_000):
+    def __init__(self, rank: Callable[[str, str], float | None], keep: int = 300_000):
         self.rank, self.keep = rank, keep
         self.history: dict[str, tuple[list, list] | None] = {}
         self.known: dict[tuple[str, str], bool] = {}

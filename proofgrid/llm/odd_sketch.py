@@ -186,8 +186,8 @@ def _block_links(rows: pa.Table, percent: int) -> pa.Table:
         if right is left:
             ok &= a[:, None] < right[None, :]
         i, j = np.nonzero(ok)
-        for part in range(0, len(i), 500_000):
-            x, y = a[i[part : part + 500_000]], right[j[part : part + 500_000]]
+        for part in range(0, len(i), 50_000):
+            x, y = a[i[part : part + 50_000]], right[j[part : part + 50_000]]
             near = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64) <= limit
             x, y = x[near], y[near]
             common = _common(sets, x, y)

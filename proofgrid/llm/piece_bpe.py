@@ -33,8 +33,8 @@ from .common import map_arrow
 from .merge_rules import Seams
 
 MARK = "▁"
-#: Entries that a worker keeps of each table before it starts afresh.
-KEEP = 400_000
+#: Units and their characters that a worker keeps of each table before it starts afresh; longer units are not kept.
+KEEP, KEEP_CHARS, LONGEST_KEPT = 200_000, 4_000_000, 64
 
 
 codecs.register_error("one_byte", lambda e: ("�", e.start + 1))
@@ -72,6 +72,7 @@ class PieceCodec:
         self.shorter: dict[str, str | None] = {}
         self.marked: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.kept = {"marked": 0, "plain": 0}
 
     def own(self, piece: str) -> bool:
         """Merging a piece's characters gives the piece."""
@@ -135,11 +136,26 @@ class PieceCodec:
     def _pack(self, text: str) -> bytes:
         return array("I", self.segment(text)).tobytes()
 
-    def _fill(self, table: dict[str, bytes], units: list[str], mark: str) -> None:
+    def _codes(self, units: list[str], mark: str) -> list[bytes]:
+        """Packed ids of units, from a bounded table of those met before; long ones are encoded each time they occur."""
+        name = "marked" if mark else "plain"
+        table = self.marked if mark else self.plain
         new = set(units).difference(table)
-        if len(table) + len(new) > KEEP:
+        long_ = {u: self._pack(mark + u) for u in new if len(u) > LONGEST_KEPT}
+        new.difference_update(long_)
+        size = sum(map(len, new))
+        if len(table) + len(new) > KEEP or self.kept[name] + size > KEEP_CHARS:
             table.clear()
-            new = set(units)
+            self.kept[name] = 0
+            new = {u for u in units if u not in long_}
+            size = sum(map(len, new))
+        self.kept[name] += size
+        self._fill(table, new, mark)
+        if not long_:
+            return [*map(table.__getitem__, units)]
+        return [long_[u] if u in long_ else table[u] for u in units]
+
+    def _fill(self, table: dict[str, bytes], new: set[str], mark: str) -> None:
         for u in new:
             core = u.rstrip(",.;:!?") if self.by_letter else u
             if core != u and core[-1:].isalpha():  # no piece joins a letter with what follows it here
@@ -174,11 +190,9 @@ class PieceCodec:
                 if k or not units[0]:  # the line begins a text with a space, or has no mark of its own
                     head = (MARK if not k else "") + (MARK + units[1] if not units[0] else units[0])
                     units = units[1 + (not units[0]) :]
-                    self._fill(self.plain, [head], "")
-                    out.append(self.plain[head])
+                    out += self._codes([head], "")
                 if units:
-                    self._fill(self.marked, units, MARK)
-                    out += map(self.marked.__getitem__, units)
+                    out += self._codes(units, MARK)
         if end:
             out.append(array("I", [self.eos]).tobytes())
         return b"".join(out)

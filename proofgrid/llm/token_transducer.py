@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,8 +37,8 @@ from pyspark.sql import types as T
 from .common import map_arrow
 from .merge_rules import Seams
 
-#: Units whose counts a worker keeps, and compiled transitions, before it starts afresh.
-KEEP_UNITS, KEEP_STATES = 400_000, 300_000
+#: Units and their characters whose counts a worker keeps, and compiled states, before it starts afresh; longer units are not kept.
+KEEP_UNITS, KEEP_CHARS, LONGEST_KEPT, KEEP_STATES = 200_000, 4_000_000, 64, 100_000
 #: Characters of a chunk; longer texts are composed from the maps of their chunks.
 CHUNK = 1 << 16
 #: Added to a byte's letter to give the symbol of a word's last byte.
@@ -79,6 +80,7 @@ class CountingTransducer:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.added = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
         self.counts: dict[str, int] = {}
+        self.kept = 0
         self._reset()
 
     # States: (the ending that begins a token, the last tokens and relative counts at its places)
@@ -152,18 +154,24 @@ class CountingTransducer:
     def count_units(self, units: list[str]) -> int:
         counts = self.counts
         new = set(units).difference(counts)
-        if len(counts) + len(new) > KEEP_UNITS:
+        total = 0
+        if long_ := {u for u in new if len(u) > LONGEST_KEPT}:
+            units, again = [u for u in units if u not in long_], Counter(u for u in units if u in long_)
+            total = sum(self.count_unit(u) * n for u, n in again.items())
+            new -= long_
+        size = sum(map(len, new))
+        if len(counts) + len(new) > KEEP_UNITS or self.kept + size > KEEP_CHARS:
             counts.clear()
-            new = set(units)
+            self.kept, new = 0, set(units)
+            size = sum(map(len, new))
+        self.kept += size
         for u in new:
             counts[u] = self.count_unit(u)
-        return sum(map(counts.__getitem__, units))
+        return total + sum(map(counts.__getitem__, units))
 
     def count(self, text: str | None, chunk: int = CHUNK) -> int:
         if not text:
             return 0
-        if len(text) <= chunk:
-            return self.count_units(text.replace("\n", " ").split(" "))
         maps = prefix_scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)], self)
         return maps[-1].close(self)
 

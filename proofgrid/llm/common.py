@@ -49,14 +49,15 @@ def join_frequent(many: DataFrame, one: DataFrame, key: str, tie: str, counts: D
 
     Rows of many whose key has more than a ``parts``-th of all (and more than least) are dealt by
     a hash of the column tie to as many tasks as it takes, and its row of one is sent to all of
-    them. The table of such keys has no more than ``parts`` rows, so it is broadcast. many must
-    be cheap to read twice; counts, (key, n), spares that.
+    them. Such keys are no more than ``parts``, so they are collected and broadcast. many must be
+    cheap to read twice; counts, (key, n), spares that.
     """
     counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    counts = stage(counts.where(F.col("n") > least), "key-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    cap = max(least, total // parts)
-    hot = F.broadcast(counts.where(F.col("n") > cap).select(F.col(key), F.ceil(F.col("n") / cap).cast("int").alias("__parts")))
+    cap = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // parts)
+    found = counts.where(F.col("n") > cap).select(F.col(key), F.ceil(F.col("n") / cap).cast("int").alias("__parts")).collect()
+    if not found:
+        return many.join(one, key, how)
+    hot = F.broadcast(many.sparkSession.createDataFrame(found, f"`{key}` {dict(many.dtypes)[key]}, __parts int"))
     dealt = many.join(hot, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(tie), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     sent = one.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return dealt.join(sent, [key, "__part"], how).drop("__part")

@@ -269,8 +269,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         sets = stage(sets_of(wanted), "sets")
         spent.append(sets)
-        both = pairs.join(sets.toDF("a", "sa"), "a")
-        return map_arrow(join_frequent(both, sets.toDF("b", "sb"), "b", "a"), lambda it: _confirm(it, percent), "a long, b long")
+        both = join_frequent(pairs, sets.toDF("b", "sb"), "b", "a").join(sets.toDF("a", "sa"), "a")
+        return map_arrow(both, lambda it: _confirm(it, percent), "a long, b long")
 
     pairs = stage(shared.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
     candidates = join_frequent(pairs, facts.toDF("b", "nb", "kb"), "b", "a").join(facts.toDF("a", "na", "ka"), "a").where(likely(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"))).select("a", "b")

@@ -159,7 +159,7 @@ def any_case(text: str, names: Sequence[str]) -> Column:
     """A JSON text whose keys are written as in names, whatever their case was."""
     out = F.col(text)
     for n in names:
-        out = F.regexp_replace(out, rf'(?i)"{n}"(\\s*:)', rf'"{n}"$1')
+        out = F.regexp_replace(out, rf'(?i)"{n}"(\s*:)', rf'"{n}"$1')
     return out
 
 

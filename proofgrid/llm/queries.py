@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw_dedup, html_wrapper, lang_centroid, lattice_lm, odd_sketch, permutation_index, piece_bpe, pivotal_mix, source_audit, token_alignment, token_transducer, url_cascade
+from . import hnsw_dedup, html_wrapper, lang_centroid, lattice_lm, odd_sketch, permutation_index, piece_bpe, pivotal_mix, source_audit, token_alignment, token_transducer, toxicity_gru, url_cascade
 from .common import fold_of, read
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -68,12 +68,19 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(read(spark, sf_dir, "documents"), least=10, top=10)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity_gru.fit(docs, read(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
+    held = (fold_of("doc_id", 5) == 0).alias("held_out")
+    return toxicity_gru.score(docs.select("doc_id", held, "text"), net).select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_search, op2_url_filter, op3_source_mix, op4_main_text, op5_language, op6_vector_duplicates, op7_lm_score, op8_near_duplicates, op9_token_count, op10_piece_codec, op11_source_audit, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_permutation_search, op2_url_filter, op3_source_mix, op4_main_text, op5_language, op6_vector_duplicates, op7_lm_score, op8_near_duplicates, op9_token_count, op10_piece_codec, op11_source_audit, op12_toxicity, op13_token_alignment)}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""

@@ -34,7 +34,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +46,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import map_arrow, stage
 from .token_transducer import byte_letters
 
-#: Units, and their characters, whose tokens a worker keeps before it starts afresh; longer units are not kept.
-KEEP, KEEP_CHARS, LONGEST_KEPT = 300_000, 6_000_000, 64
+#: Units whose tokens a worker keeps, as many again of those met in two blocks, and the longest units that are kept.
+KEEP, LONGEST_KEPT = 100_000, 64
 #: Characters of the texts of a block.
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 #: Groups that are broadcast are more than one in HOT of all.
 HOT = 200_000
 #: A token is packed as its end times SCALE plus its id; numbers above all ids mark a cut, and the end of a unit, at an end.
@@ -93,8 +93,8 @@ class TokenPair:
         self.by_unit = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in own)
         self.by_letter = not any(re.search(f"[^\\W\\d_][{TAIL}]", p) for p in own)
         self.line = self.pieces.encode("\n")
-        self.units: dict[str, tuple[bytes, bytes] | None] = {}
-        self.kept = 0
+        self.often: dict[str, tuple[bytes, bytes] | None] = {}
+        self.once: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _packed(self, raw: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
         """Both sides' ids; None if B doesn't spell the bytes (A, which has a token for each byte, always does)."""
@@ -134,20 +134,21 @@ class TokenPair:
         return out
 
     def _known(self, units: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Tokens of units, from a bounded table of those met before; long ones are encoded each time they occur."""
-        table = self.units
-        found = {u: table[u] for u in units if u in table}
-        new = [u for u in units if u not in found]
+        """Tokens of units, from two bounded tables of those met before; long ones are encoded each time they occur."""
+        often, once = self.often, self.once
+        found = {u: often[u] for u in units if u in often}
+        again = {u: once[u] for u in units if u in once}
+        new = [u for u in units if u not in found and u not in again]
         got = dict(zip(new, self._encode(new)))
-        short = {u: v for u, v in got.items() if len(u) <= LONGEST_KEPT}
-        size = sum(map(len, short))
-        if len(table) + len(short) > KEEP or self.kept + size > KEEP_CHARS:
-            table.clear()
-            self.kept = 0
-        if len(short) <= KEEP and size <= KEEP_CHARS:
-            table.update(short)
-            self.kept += size
-        return found | got
+        if len(often) + len(again) > KEEP:
+            often.clear()
+        often.update(islice(again.items(), KEEP))
+        if len(once) + len(got) > KEEP:
+            once.clear()
+        once.update(islice(((u, v) for u, v in got.items() if len(u) <= LONGEST_KEPT), KEEP))
+        for u in again:
+            once.pop(u, None)
+        return {u: found[u] if u in found else again[u] if u in again else got[u] for u in units}
 
     def block(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
         """Tokens of the distinct units of some texts, and each text as numbers of units."""

@@ -1,8 +1,8 @@
 """Entity resolution against a catalog: exact first, then fuzzy with an ambiguity report.
 
-Catalogs are dimensions: their size is counted and checked before they are broadcast. A
-larger one is dealt into blocks that queries meet by a shuffle join, a block at a time, so
-that results stay exact at any size. Only distinct queries are compared.
+Catalogs are dimensions: their size is counted and checked before they are broadcast. Names
+of a catalog of more than a few entries are found through the indexes of ``nearest``, which
+prove that no better entry was missed. Only distinct queries are compared.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import boundary_aligned, header_index, line_windows, lines_of, normalize_identity, similarity
+from ..storage import stage
+from .nearest import GRAM, best_two, containing
 
-#: Catalog entries that may be broadcast.
-MOST_ENTRIES = 200_000
+#: Catalog entries that may be broadcast, and those that each distinct query meets without an index.
+MOST_ENTRIES, FEW_ENTRIES = 200_000, 1_000
 THRESHOLD, AMBIGUITY_GAP, SHORTEST = 0.68, 0.05, 4
 
 
@@ -42,21 +44,22 @@ def paired(left: DataFrame, right: DataFrame, on: Column, most: int = MOST_ENTRI
 def _pick(scored: DataFrame, key: str, threshold: float) -> DataFrame:
     """Best and runner-up of each key by score, boundary, longer name, name (SRT3, WIN1)."""
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("edge"), F.desc(F.length("norm")), "name")
-    ranked = scored.withColumn("k", F.row_number().over(order)).where("k <= 2")
-    at = lambda n, c: F.max(F.when(F.col("k") == n, F.col(c)))
+    ranked = scored.withColumn("_k", F.row_number().over(order)).where("_k <= 2")
+    at = lambda n, c: F.max(F.when(F.col("_k") == n, F.col(c)))
     best = ranked.groupBy(key).agg(at(1, "name").alias("first"), at(1, "score").alias("score"), at(2, "name").alias("runner_up"), at(2, "score").alias("runner_up_score"))
     f = lambda x: F.lit(x).cast("float")
     ambiguous = F.coalesce((F.col("first") != F.col("runner_up")) & ((F.col("score") - F.col("runner_up_score")).cast("float") < f(AMBIGUITY_GAP)), F.lit(False))
     return best.select(key, F.when(F.col("score") >= f(threshold), F.col("first")).alias("entry"), "score", ambiguous.alias("ambiguous"), "runner_up", "runner_up_score")
 
 
-def match(queries: DataFrame, catalog: DataFrame, key: str, text: str, name: str, threshold: float = THRESHOLD, pool: Column | None = None, most: int = MOST_ENTRIES) -> DataFrame:
+def match(queries: DataFrame, catalog: DataFrame, key: str, text: str, name: str, threshold: float = THRESHOLD, pool: Column | None = None, few: int = FEW_ENTRIES) -> DataFrame:
     """(key, entry, score, ambiguous, runner_up, runner_up_score) for every query (ER3, J4, J7).
 
     An equal normalised name wins at once; queries of fewer than four characters only get
     their best score; below threshold the entry is null but scores are still reported.
     pool, a condition over columns of queries (``q_``) and catalog (``c_``), limits the
-    catalog a query is compared with.
+    catalog a query is compared with. A catalog of up to few entries is broadcast and
+    compared whole; a larger one is searched by index, with the same rows.
     """
     q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)).withColumn("query", normalize_identity(F.coalesce(F.col(f"q_{text}"), F.lit(""))))
     alike = [c for c in q.columns if c not in (f"q_{key}", f"q_{text}")] if pool is not None else ["query"]
@@ -70,7 +73,14 @@ def match(queries: DataFrame, catalog: DataFrame, key: str, text: str, name: str
     exact = q.join(c, (F.col("query") == F.col("norm")) & within).groupBy(k).agg(F.min(f"c_{name}").alias("entry"))
     exact = exact.select(k, "entry", F.lit(1).cast("float").alias("score"), F.lit(False).alias("ambiguous"), F.lit(None).cast("string").alias("runner_up"), F.lit(None).cast("float").alias("runner_up_score"))
     rest = q.join(exact.select(k), k, "left_anti").where("query <> ''")
-    scored = paired(rest, c, within, most).select(k, "query", F.col(f"c_{name}").alias("name"), "norm", similarity(F.col("query"), F.col("norm")).alias("score"), boundary_aligned(F.col("query"), F.col("norm")).alias("edge"))
+    if c.limit(few + 1).count() <= few:
+        met = rest.join(F.broadcast(c), within)
+        scored = met.select(k, "query", F.col(f"c_{name}").alias("name"), "norm", similarity(F.col("query"), F.col("norm")).alias("score"), boundary_aligned(F.col("query"), F.col("norm")).alias("edge"))
+    else:
+        asked_, entries = stage(rest.withColumn("qid", F.monotonically_increasing_id()), "queries"), stage(c.withColumn("eid", F.monotonically_increasing_id()), "entries")
+        need = F.when(F.length("query") < SHORTEST, 1).otherwise(2)
+        met = best_two(asked_, entries, None if pool is None else within, need).join(asked_.select("qid", k, "query"), "qid").join(entries.select("eid", F.col(f"c_{name}").alias("name"), "norm"), "eid")
+        scored = met.select(k, "query", "name", "norm", "score", "edge")
     short = scored.where(F.length("query") < SHORTEST).groupBy(k).agg(F.max("score").alias("score"))
     short = short.select(k, F.lit(None).cast("string").alias("entry"), "score", F.lit(False).alias("ambiguous"), F.lit(None).cast("string").alias("runner_up"), F.lit(None).cast("float").alias("runner_up_score"))
     fuzzy = _pick(scored.where(F.length("query") >= SHORTEST), k, threshold)
@@ -99,10 +109,10 @@ def cascade(candidates: DataFrame, key: str, stage_col: str, score: str = "score
     w = Window.partitionBy(key).orderBy(stage_col)
     before = F.max(score).over(w.rangeBetween(Window.unboundedPreceding, -1))
     f = lambda x: F.lit(x).cast("float")
-    usable = candidates.where(F.col(entry).isNotNull()).withColumn("before", F.coalesce(before, f(0)))
-    usable = usable.where(F.col("before") < F.when(F.col(stage_col) <= 1, f(accept)).otherwise(f(stop)))
+    usable = candidates.where(F.col(entry).isNotNull()).withColumn("_before", F.coalesce(before, f(0)))
+    usable = usable.where(F.col("_before") < F.when(F.col(stage_col) <= 1, f(accept)).otherwise(f(stop)))
     best = Window.partitionBy(key).orderBy(F.desc(score), stage_col, entry)
-    return usable.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k", "before")
+    return usable.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "_before")
 
 
 def zone_text(lines: Column) -> Column:
@@ -225,35 +235,37 @@ def name_in_pool(df: DataFrame, catalog: DataFrame, key: str, text: str, name: s
     return found.withColumn("contradicts", F.col("contradicts") | F.col("entry").isNull())
 
 
-def collisions(catalog: DataFrame, name: str, least: int = 5) -> DataFrame:
-    """(inner, outer): names of which one's normal form contains another's of at least five characters."""
+def collisions(catalog: DataFrame, name: str, least: int = GRAM) -> DataFrame:
+    """(inner, outer): names of which one's normal form contains another's of at least ``least`` (five or more) characters."""
+    if least < GRAM:
+        raise ValueError(f"names are looked up by {GRAM} characters")
     names = catalog.select(F.col(name).alias("name")).distinct().withColumn("norm", normalize_identity(F.col("name")))
     a, b = names.toDF("inner", "a").where(F.length("a") >= least), names.toDF("outer", "b")
-    return paired(b, a, (F.col("a") != F.col("b")) & F.col("b").contains(F.col("a"))).select("inner", "outer")
+    return containing(a, b, "a", "b").where("a <> b").select("inner", "outer")
 
 
 def template_scores(samples: DataFrame, templates: DataFrame, key: str, vector: str, name: str, template: str) -> DataFrame:
-    """(key, t_name, s): of each template the best L1 score of a key's samples (VS3)."""
+    """(key, _template, _score): of each template the best L1 score of a key's samples (VS3)."""
     from ..functions.vectors import l1_score
 
-    t = templates.select(F.col(name).alias("t_name"), F.col(template).alias("t_vector"))
-    scored = paired(samples.where(F.size(vector) > 0), t, F.lit(True)).select(key, "t_name", l1_score(F.col(vector), F.col("t_vector")).alias("s"))
-    return scored.groupBy(key, "t_name").agg(F.max("s").alias("s"))
+    t = templates.select(F.col(name).alias("_template"), F.col(template).alias("_vector"))
+    scored = paired(samples.where(F.size(vector) > 0), t, F.lit(True)).select(key, "_template", l1_score(F.col(vector), F.col("_vector")).alias("_score"))
+    return scored.groupBy(key, "_template").agg(F.max("_score").alias("_score"))
 
 
 def rank_all(samples: DataFrame, templates: DataFrame, key: str, vector: str, name: str, template: str, k: int | None = None) -> DataFrame:
     """(key, rank, name, score): all templates of each key, or the k best, best first (VS5, TOP2)."""
-    w = Window.partitionBy(key).orderBy(F.desc("s"), "t_name")
+    w = Window.partitionBy(key).orderBy(F.desc("_score"), "_template")
     ranked = template_scores(samples, templates, key, vector, name, template).withColumn("rank", F.row_number().over(w))
     ranked = ranked.where(F.col("rank") <= k) if k is not None else ranked
-    return ranked.select(key, "rank", F.col("t_name").alias("name"), F.col("s").alias("score"))
+    return ranked.select(key, "rank", F.col("_template").alias("name"), F.col("_score").alias("score"))
 
 
 def icon_warnings(samples: DataFrame, templates: DataFrame, key: str, vector: str, name: str, template: str, margin: float = 0.003, top: int = 3) -> DataFrame:
     """(key, best, runner_up, margin, candidates) of keys whose best template leads by less than margin (VS6)."""
     near = rank_templates(samples, templates, key, vector, name, template).where(F.col("best").isNotNull() & (F.col("margin") < margin))
-    names = rank_all(samples, templates, key, vector, name, template, top).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("r"))
-    return near.join(names, key).select(key, "best", "runner_up", "margin", F.transform("r", lambda x: x["name"]).alias("candidates"))
+    names = rank_all(samples, templates, key, vector, name, template, top).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("_names"))
+    return near.join(names, key).select(key, "best", "runner_up", "margin", F.transform("_names", lambda x: x["name"]).alias("candidates"))
 
 
 def rank_templates(samples: DataFrame, templates: DataFrame, key: str, vector: str, name: str, template: str, floor: float = 0.48, single: float = 0.42) -> DataFrame:
@@ -264,8 +276,8 @@ def rank_templates(samples: DataFrame, templates: DataFrame, key: str, vector: s
     """
     floor = single if templates.limit(2).count() == 1 else floor
     scored = template_scores(samples, templates, key, vector, name, template)
-    w = Window.partitionBy(key).orderBy(F.desc("s"), "t_name")
-    ranked = scored.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("t_name").over(w)).withColumn("next_s", F.lead("s").over(w)).where("k = 1")
+    w = Window.partitionBy(key).orderBy(F.desc("_score"), "_template")
+    ranked = scored.withColumns({"_k": F.row_number().over(w), "_next": F.lead("_template").over(w), "_next_score": F.lead("_score").over(w)}).where("_k = 1")
     return ranked.select(
-        key, F.when(F.col("s") >= floor, F.col("t_name")).alias("best"), F.col("s").alias("score"), F.col("next").alias("runner_up"), F.coalesce(F.col("s") - F.col("next_s"), F.lit(1.0)).alias("margin"), F.when(F.col("s") >= floor, F.least(F.lit(0.96), 0.55 + 0.4 * F.col("s"))).otherwise(0.0).alias("confidence")
+        key, F.when(F.col("_score") >= floor, F.col("_template")).alias("best"), F.col("_score").alias("score"), F.col("_next").alias("runner_up"), F.coalesce(F.col("_score") - F.col("_next_score"), F.lit(1.0)).alias("margin"), F.when(F.col("_score") >= floor, F.least(F.lit(0.96), 0.55 + 0.4 * F.col("_score"))).otherwise(0.0).alias("confidence")
     )

@@ -118,6 +118,25 @@ def q_fuzzy_constrained_pool(spark: SparkSession, d: str) -> DataFrame:
     return shown(resolve.match_constrained(q, c, "p_partkey", "t", "name", F.col("q_kind") == F.col("c_kind")), "p_partkey", "widened")
 
 
+OPENING = "trim(substr(coalesce(text, ''), 1, 24))"
+
+
+@query(best_sql(f"SELECT doc_id AS k, {NORM.format(NOISY.format('o', 'doc_id'))} AS query FROM (SELECT doc_id, {OPENING} AS o FROM documents)", f"SELECT DISTINCT o AS name, {NORM.format('o')} AS norm FROM (SELECT {OPENING} AS o FROM documents) WHERE {NORM.format('o')} <> ''"))
+def q_fuzzy_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """Noisy openings of all documents against all openings, through the segment and 5-gram indexes whatever their number."""
+    docs = table(spark, d, "documents").select("doc_id", F.trim(F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(24))).alias("o"))
+    q = docs.select("doc_id", noisy(F.col("o"), F.col("doc_id")).alias("t"))
+    return shown(resolve.match(q, docs.select(F.col("o").alias("name")), "doc_id", "t", "name", few=0), "doc_id")
+
+
+@query(f"WITH c AS (SELECT DISTINCT trim(substr(coalesce(text, ''), 1, 24)) AS name, {NORM.format("trim(substr(coalesce(text, ''), 1, 24))")} AS norm FROM documents UNION SELECT DISTINCT trim(substr(coalesce(text, ''), 4, 8)), {NORM.format("trim(substr(coalesce(text, ''), 4, 8))")} FROM documents) SELECT x.name AS \"inner\", y.name AS \"outer\" FROM c x JOIN c y ON x.norm <> y.norm AND length(x.norm) >= 5 AND contains(y.norm, x.norm)")
+def q_contained_openings(spark: SparkSession, d: str) -> DataFrame:
+    """Openings of documents and parts of them that contain each other, by the rarest 5-gram of the inner one."""
+    part = lambda at, n: F.trim(F.substr(F.coalesce("text", F.lit("")), F.lit(at), F.lit(n)))
+    docs = table(spark, d, "documents")
+    return resolve.collisions(docs.select(part(1, 24).alias("name")).union(docs.select(part(4, 8))), "name")
+
+
 @query(f'WITH c AS ({NAMES}) SELECT x.name AS "inner", y.name AS "outer" FROM c x JOIN c y ON x.norm <> y.norm AND length(x.norm) >= 5 AND contains(y.norm, x.norm)')
 def q_name_collisions(spark: SparkSession, d: str) -> DataFrame:
     return resolve.collisions(table(spark, d, "part"), "p_name")

@@ -67,7 +67,7 @@ def test_the_cascade_widens_and_rescues(spark):
 def test_large_catalogs_are_matched_in_blocks(spark):
     catalog = spark.createDataFrame([(f"entry number {i}",) for i in range(60)], "name string")
     q = spark.createDataFrame([(i, f"entry nxmber {i}") for i in range(10, 40)], "id int, t string")
-    a, b = (sorted(map(tuple, resolve.match(q, catalog, "id", "t", "name", most=m).collect())) for m in (7, 1000))
+    a, b = (sorted(map(tuple, resolve.match(q, catalog, "id", "t", "name", few=m).collect())) for m in (7, 1000))
     assert a == b and len(a) == 30
 
 

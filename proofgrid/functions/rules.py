@@ -35,10 +35,11 @@ def closest_value(value: Column, table: Column, tolerance: Column) -> Column:
     return F.when(near["d"] <= tolerance, near["v"])
 
 
-def confusion_candidates(value: Column, table: Column, pairs: Sequence[tuple[str, str]], percent: Column) -> Column:
+def confusion_candidates(value: Column, table: Column, pairs: Sequence[tuple[str, str]], percent: Column, shift: bool = True) -> Column:
     """Legal values that one misread character, or for percents a shifted point, explains (LV5).
 
-    pairs are read both ways; result ascending without repeats.
+    pairs are read both ways; result ascending without repeats. Without shift a point is never
+    taken as shifted, as the confusion document says (SRC8).
     """
     both = sorted({(a, b) for a, b in pairs} | {(b, a) for a, b in pairs})
     text = plain_number(value)
@@ -49,16 +50,16 @@ def confusion_candidates(value: Column, table: Column, pairs: Sequence[tuple[str
 
     texts = let(text, lambda t: F.concat(*(swapped(t, a, b) for a, b in both))) if both else F.array().cast("array<string>")
     numbers = F.transform(texts, lambda t: t.try_cast("float"))
-    shifted = F.when(percent, F.array(f32(f32(value) * f32(10)), f32(f32(value) / f32(10)))).otherwise(F.array().cast("array<float>"))
+    shifted = F.when(percent & F.lit(shift), F.array(f32(f32(value) * f32(10)), f32(f32(value) / f32(10)))).otherwise(F.array().cast("array<float>"))
     legal = F.transform(F.concat(numbers, shifted), lambda v: exact_value(v, table))
     return F.array_sort(F.array_distinct(F.array_compact(legal)))
 
 
-def resolve_value(key: Column, value: Column, legal: Mapping[str, Sequence[float]], pairs: Sequence[tuple[str, str]], percent: Column) -> Column:
+def resolve_value(key: Column, value: Column, legal: Mapping[str, Sequence[float]], pairs: Sequence[tuple[str, str]], percent: Column, shift: bool = True) -> Column:
     """struct(state, value, candidates): exact, uniquely correctable, ambiguous or illegal (LV4)."""
     table = table_of(key, legal)
     exact = exact_value(value, table)
-    candidates = F.coalesce(confusion_candidates(value, table, pairs, percent), F.array().cast("array<float>"))
+    candidates = F.coalesce(confusion_candidates(value, table, pairs, percent, shift), F.array().cast("array<float>"))
     n = F.size(candidates)
     state = F.when(table.isNull() | value.isNull(), ILLEGAL).when(exact.isNotNull(), EXACT).when(n == 1, CORRECTED).when(n > 1, AMBIGUOUS).otherwise(ILLEGAL)
     resolved = F.when(exact.isNotNull(), exact).when(n == 1, F.get(candidates, F.lit(0)))

@@ -220,17 +220,19 @@ def name_cascade(df: DataFrame, catalog: DataFrame, key: str, text: str, name: s
     return df.select(key).join(out, key, "left").select(key, "r.entry", F.coalesce("r.score", f(0.0)).alias("score"), F.when(F.col("r.entry").isNotNull(), F.col("r.stage")).alias("stage"))
 
 
-def name_in_pool(df: DataFrame, catalog: DataFrame, key: str, text: str, name: str, pool: Column, alternate: str | None = None, reread: str | None = None) -> DataFrame:
+def name_in_pool(df: DataFrame, catalog: DataFrame, key: str, text: str, name: str, pool: Column, alternate: str | None = None, reread: str | None = None, accept: float = 0.75, stop: float = 0.90, threshold: float = THRESHOLD) -> DataFrame:
     """(key, entry, score, stage, contradicts): the cascade within the pool, else within the whole catalog, else over a second read (ER7, steps d and e).
 
     contradicts says that no entry of the pool fits, or the pool is empty; a second read that
     hits within the pool clears it.
     """
-    found = name_cascade(df, catalog, key, text, name, alternate, pool).withColumn("contradicts", F.lit(False))
+    found = stage(name_cascade(df, catalog, key, text, name, alternate, pool, accept, stop, threshold).withColumn("contradicts", F.lit(False)), "names in pool")
     for column, within in ((text, None), *(((reread, pool), (reread, None)) if reread else ())):
         none = found.where("entry is null").select(key)
-        again = name_cascade(df.join(none, key, "left_semi"), catalog, key, column, name, alternate if column == text else None, within).where("entry is not null")
-        again = again.withColumn("contradicts", F.lit(within is None))
+        if none.isEmpty():
+            break
+        again = name_cascade(df.join(none, key, "left_semi"), catalog, key, column, name, alternate if column == text else None, within, accept, stop, threshold).where("entry is not null")
+        again = stage(again.withColumn("contradicts", F.lit(within is None)), "names found later")
         found = found.join(again.select(key), key, "left_anti").unionByName(again)
     return found.withColumn("contradicts", F.col("contradicts") | F.col("entry").isNull())
 

@@ -22,8 +22,10 @@ from ..storage import discard, stage
 
 #: Characters that a contained text has at least (a fixed value of the similarity), and so of grams.
 GRAM = 5
-#: Percent of similarity of the rounds. Segments are never empty above 50.
-ROUNDS = (85, 70, 55)
+#: Percent of similarity of the rounds. Below, segments get so short that they meet more pairs than lengths do; at 50 they may be empty.
+ROUNDS = (85, 75)
+#: Entries that give a query which is still open a first bound; tasks that share the entries of a length.
+SEEDS, PARTS = 256, 16
 
 
 def _span(lo: Column, hi: Column) -> Column:
@@ -119,15 +121,20 @@ def best_two(queries: DataFrame, entries: DataFrame, within: Column | None = Non
         left = stage(left.join(done, "qid", "left").where(F.coalesce("_n", F.lit(0)) < F.col("_needed")).drop("_n"), "open queries")
         if left.isEmpty():
             return found
-    # an entry that equals the best found so far, or the second one, has a length that allows it
+    # some entries, so that every query has a second best that rules lengths and pairs out
+    some = [r["eid"] for r in e.select("eid").limit(SEEDS).collect()]
+    seeds = left.select("qid", F.explode(F.array(*map(F.lit, some)) if some else F.array().cast("array<bigint>")).alias("eid"))
+    found = stage(found.unionByName(scored(seeds.join(found, ["qid", "eid"], "left_anti"))), "seeded")
     place = Window.partitionBy("qid").orderBy(F.desc("score"))
-    least = found.join(left.select("qid", "_needed"), "qid").withColumn("_k", F.row_number().over(place)).where("_k = _needed").select("qid", F.col("score").cast("double").alias("_least"))
+    least = found.join(left.select("qid", "_needed"), "qid").withColumn("_k", F.row_number().over(place)).where("_k = _needed").select("qid", (F.col("score").cast("double") - 1e-6).alias("_least"))
     sizes = e.groupBy(F.length("norm").alias("_size")).agg(F.count("*").alias("_n")).agg(F.sort_array(F.collect_list("_size")).alias("_sizes"))
     m = F.length("query")
-    fits = lambda s: F.least(s, m) >= (F.coalesce("_least", F.lit(0.0)) - 1e-6) * F.greatest(s, m)
-    asked = left.join(least, "qid", "left").join(F.broadcast(sizes)).withColumn("_size", F.explode(F.filter("_sizes", fits))).drop("_sizes", "_least")
-    met = asked.join(entries.withColumn("_size", F.length("norm")), "_size")
+    fits = lambda s: F.least(s, m) >= F.col("_least") * F.greatest(s, m)
+    bounded = left.join(least, "qid", "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)))
+    asked = bounded.join(F.broadcast(sizes)).withColumn("_size", F.explode(F.filter("_sizes", fits))).drop("_sizes")
+    asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = asked.join(entries.withColumns({"_size": F.length("norm"), "_part": F.pmod(F.xxhash64("eid"), F.lit(PARTS)).cast("int")}), ["_size", "_part"])
     met = met.where(within) if within is not None else met
-    rest = met.select("qid", "eid", similarity(F.col("query"), F.col("norm")).alias("score"), boundary_aligned(F.col("query"), F.col("norm")).alias("edge"))
+    rest = met.select("qid", "eid", "_least", similarity(F.col("query"), F.col("norm")).alias("score"), boundary_aligned(F.col("query"), F.col("norm")).alias("edge")).where(F.col("score") >= F.col("_least")).drop("_least")
     out = found.join(left, "qid", "left_anti").unionByName(rest.unionByName(found.join(left, "qid", "left_semi")).distinct())
     return out

@@ -1,6 +1,8 @@
 """Wrappers: what a host's other pages change, broken markup, and expressions that cover all pages they come from."""
 
 import random
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,7 +76,7 @@ def some_page(rng, depth=0):
 
 
 def test_expressions_cover_their_pages():
-    for seed in range(200):
+    for seed in range(1000):
         rng = random.Random(seed)
         pages = [hw.read_page(some_page(rng)) for _ in range(3)]
         one = hw.fold(pages[0])
@@ -91,3 +93,55 @@ def test_order_and_partitions_do_not_matter(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int")
     a, b = (sorted(map(tuple, hw.extract(x).collect()), key=str) for x in (df.repartition(5), df.orderBy(F.desc("page_id")).coalesce(1)))
     assert a == b and len(a) == len(rows)
+
+
+def words(page, n, salt):
+    rng = random.Random(f"{page} {salt}")
+    return " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n // 8)).strip()
+
+
+@pytest.mark.parametrize("page, kept", [
+    # a block with most of the text isn't all of it
+    (lambda k: f"<body><nav><a>Home</a></nav><div><p>{words(k, 100, 1)}</p><section>{words(k, 320, 2)}</section><section>{words(k, 100, 3)}</section></div><footer>{words(0, 60, 4)}</footer>", (1, 2, 3)),
+    # an article beside a longer story is a part of it
+    (lambda k: f"<body><nav><a>Home</a></nav><div><p>{words(k, 500, 1)}</p><p>{words(k, 500, 2)}</p><article>{words(k, 260, 3)}</article></div>", (1, 2, 3)),
+    # a short paragraph before the block that holds nearly all
+    (lambda k: f"<body><div><p>{words(k, 40, 1)}</p><div><p>{words(k, 900, 2)}</p><p>{words(k, 900, 3)}</p></div></div>", (1, 2, 3)),
+    # text outside main, and articles within it that hold the smaller part
+    (lambda k: f"<body><p>{words(k, 90, 4)}</p><main><p>{words(k, 900, 1)}</p><article><p>{words(k, 400, 2)}</p></article></main>", (1, 2)),
+    # an article with all but some unnamed lines
+    (lambda k: f"<body><div>{words(k, 40, 4)}</div><article><p>{words(k, 500, 1)}</p><div><p>{words(k, 400, 2)}</p></div></article>", (1, 2)),
+])
+def test_regions_lose_no_main_text(page, kept):
+    wrapper = wrapper_of(page(k) for k in range(6))
+    for k in range(6):
+        got = wrapper.texts(hw.read_page(page(k)))
+        assert [next(s for s in range(5) if t.startswith(words(k, 32, s))) for t in got] == list(kept)
+        assert all(f">{t}<" in page(k) for t in got)
+
+
+def test_pages_of_many_unlike_blocks():
+    def page(k, n):
+        rng = random.Random(k)
+        names = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+        return "<body>" + "".join(f"<div class={c}><p>{c} {k}</p></div>" for c in names)
+
+    start = time.process_time()
+    pages = [hw.read_page(page(k, 40_000)) for k in range(2)]
+    one, two = map(hw.fold, pages)
+    tracemalloc.start()
+    whole = hw.align(one, two)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hw.Wrapper(whole).texts(pages[0])) == 40_000 and peak < 200e6 and time.process_time() - start < 60
+
+
+def test_partners_rise_and_are_equal():
+    for seed in range(300):
+        rng = random.Random(seed)
+        x, y = ([(rng.choice("abc"),) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        pairs = hw._partners(x, y)
+        assert all(x[i] == y[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+        assert pairs or not set(x) & set(y)
+    x = [(c,) for c in "abcdefg"]
+    assert [x[i][0] for i, _ in hw._partners(x, [(c,) for c in "axcdzfg"])] == list("acdfg")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import expected_count
 from ..functions.text import camel_key, sanitize_key
-from ..storage import stage
+from .documents import document_lines
+from .ordering import running_index
 
 STRICT, PARTIAL = "Strict", "IncludePartial"
 UNKNOWN = "UNKNOWN"
@@ -66,16 +67,10 @@ def exported_substats(substats: Column, cap: int = 5, dedupe: bool = True, place
 def with_export_ids(df: DataFrame, group: str | None, order: Sequence[str], name: Column, millis: int, prefix: str = "item") -> DataFrame:
     """Running index of the kept rows, the id made of it, and createdAt (WIN2, EXP3).
 
-    The index runs within group, or over the whole table where group is None; for that the
-    rows are range-sorted and written with their partitions' offsets, so no single task holds them all.
+    The index runs within group, or over the whole table where group is None; no task holds a
+    whole group (ordering.py).
     """
-    if group is not None:
-        out = df.withColumn("index", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
-    else:
-        part = stage(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "export-order")
-        firsts = part.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_f"))
-        ahead = firsts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        out = part.join(ahead.select("_p", "_f", "_o"), "_p").withColumn("index", F.col("_i") - F.col("_f") + F.col("_o")).drop("_p", "_i", "_f", "_o")
+    out = running_index(df, [] if group is None else [group], order)
     number = F.lpad(F.col("index").cast("string"), 3, "0")
     number = F.when(F.col("index") >= 1000, F.col("index").cast("string")).otherwise(number)
     return out.withColumn("export_id", F.concat_ws("_", F.lit(prefix), F.lit(str(millis)), number, sanitize_key(name))).withColumn("created_at", F.lit(millis).cast("long") + F.col("index"))
@@ -94,6 +89,12 @@ def quarantine_documents(rejected: DataFrame, group: str, key: str) -> DataFrame
     return packed.select(group, F.to_json(F.struct(F.size("entries").alias("count"), F.col("entries"))).alias("json"))
 
 
+def quarantine_lines(rejected: DataFrame, group: str, key: str) -> DataFrame:
+    """The documents of quarantine_documents as lines, for groups of any size (SNK4)."""
+    rows = rejected.groupBy(group, key).agg(F.min_by("reasons", F.col("reasons").cast("string")).alias("reasons"))
+    return document_lines(rows, group, key, F.struct(F.col(key).alias("image"), "reasons"), "entries", {"count": F.count("*")})
+
+
 def edit_documents(df: DataFrame, group: str, order: str, fields: Sequence[str], exported_at: str) -> DataFrame:
     """(group, json): reviewed rows with how many are verified and edited (SNK6); df has verified and edited."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields, "verified", "edited").alias("row"))))
@@ -102,6 +103,12 @@ def edit_documents(df: DataFrame, group: str, order: str, fields: Sequence[str],
     return packed.select(group, F.to_json(head).alias("json"))
 
 
+def edit_lines(df: DataFrame, group: str, order: str, fields: Sequence[str], exported_at: str) -> DataFrame:
+    """The documents of edit_documents as lines, for groups of any size (SNK6)."""
+    head = {"ExportedAt": F.lit(exported_at), "TotalEchoes": F.count("*"), "VerifiedCount": F.count_if("verified"), "EditedCount": F.count_if("edited")}
+    return document_lines(df, group, order, F.struct(*fields, "verified", "edited"), "Echoes", head)
+
+
 def raw_values(df: DataFrame, main_key: str = "main_key", substats: str = "substats") -> DataFrame:
     """Rows with a main key, entries with the values as read, past the export policy (EXP9; never the default)."""
     plain = F.transform(substats, lambda s: F.struct(s["key"].alias("key"), s["value"].alias("value")))

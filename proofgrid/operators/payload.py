@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import camel_key, sanitize_key
+from .documents import document_lines
 from .export import with_export_ids
 
 # Fixed values of the two layouts.
@@ -116,6 +117,13 @@ def backup_documents(items: DataFrame, group: str, exported_at: str, data_versio
     return _gathered(items, group, "index").select(group, "skipped", F.to_json(head).alias("json"))
 
 
+def backup_lines(items: DataFrame, group: str, exported_at: str, data_version: str) -> DataFrame:
+    """The documents of backup_documents as lines, for groups of any size (SNK2)."""
+    before = {"schemaVersion": F.lit(BACKUP_SCHEMA), "gameDataVersion": F.lit(data_version), "exportedAt": F.lit(exported_at)}
+    after = {c: F.array().cast("array<string>") for c in COLLECTIONS} | {"settings": F.from_json(F.lit(SETTINGS), _settings_type())}
+    return document_lines(items, group, "index", F.col("item"), "echoes", before, after, ~F.col("skipped"))
+
+
 def _settings_type() -> str:
     weights = "map<string,map<string,double>>"
     return f"displayName string, uid string, privacyMode boolean, background string, scanIntervalMs int, roverGender string, liveCharacterArt boolean, scoreWeights {weights}, characterSubstatWeights {weights}, characterEnergyRegenMinimums map<string,double>"
@@ -128,6 +136,13 @@ def artifact_documents(items: DataFrame, group: str, order: str, origin: str) ->
     return _gathered(items, group, order).select(group, "skipped", F.to_json(head).alias("json"))
 
 
+def artifact_lines(items: DataFrame, group: str, order: str, origin: str) -> DataFrame:
+    """The documents of artifact_documents as lines, for groups of any size (SNK3)."""
+    none = F.array().cast("array<string>")
+    before = {"format": F.lit("GOOD"), "source": F.lit(origin), "version": F.lit(3), "characters": none}
+    return document_lines(items, group, order, F.col("item"), "artifacts", before, {"weapons": none}, ~F.col("skipped"))
+
+
 # Rules. A kind is the JSON type of a field: null if it is missing, VOID if it is null.
 def kind(v: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import raster, rules, text, vectors
-from .operators import consistency, export, gate, payload, resolve, review, score, slots
+from .operators import consistency, export, gate, ordering, payload, resolve, review, score, slots
 from .streaming import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -505,6 +505,34 @@ def q_envelope_json(spark: SparkSession, d: str) -> DataFrame:
     return export.documents(li, "l_orderkey", "l_linenumber", ["l_partkey", "l_quantity"], {"schemaVersion": F.lit(7), "order": F.col("l_orderkey")})
 
 
+@query("SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS number FROM lineitem")
+def q_running_index(spark: SparkSession, d: str) -> DataFrame:
+    """WIN2: numbers within three groups that hold all rows."""
+    li = table(spark, d, "lineitem")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return ordering.running_index(li, ["l_returnflag"], order, "number").select("l_orderkey", "l_linenumber", "l_returnflag", "number")
+
+
+LINES = """WITH rows AS (SELECT {g} AS grp, row_number() OVER (PARTITION BY {g} ORDER BY {o}) - 1 AS line, {item} AS item FROM {t})
+    SELECT grp, line, CASE WHEN line > 0 THEN ',' ELSE '' END || item AS text FROM rows
+    UNION ALL SELECT {g}, -1, {head} FROM {t} GROUP BY {g} UNION ALL SELECT DISTINCT {g}, 9223372036854775807, {tail} FROM {t}"""
+
+
+@query(LINES.format(t="(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber) AS first FROM lineitem WHERE l_partkey % 3 <> 1) WHERE first = 1)", g="l_returnflag", o="l_orderkey", item="""'{"image":' || l_orderkey || ',"reasons":["line ' || l_linenumber || '"]}'""", head="""'{"count":' || count(*) || ',"entries":['""", tail="']}'"))
+def q_quarantine_lines(spark: SparkSession, d: str) -> DataFrame:
+    """SNK4: quarantine documents of three groups that hold all rows, an entry for each key."""
+    li = table(spark, d, "lineitem").where(F.col("l_partkey") % 3 != 1)
+    held = li.select("l_returnflag", "l_orderkey", F.array(F.concat(F.lit("line "), F.col("l_linenumber"))).alias("reasons"))
+    return export.quarantine_lines(held, "l_returnflag", "l_orderkey").withColumnRenamed("l_returnflag", "grp")
+
+
+@query(LINES.format(t="orders", g="o_orderpriority", o="o_orderkey", item="""'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"verified":' || (o_custkey % 3 = 0) || ',"edited":' || (o_orderstatus = 'F') || '}'""", head="""'{"ExportedAt":"2020","TotalEchoes":' || count(*) || ',"VerifiedCount":' || count(*) FILTER (o_custkey % 3 = 0) || ',"EditedCount":' || count(*) FILTER (o_orderstatus = 'F') || ',"Echoes":['""", tail="']}'"))
+def q_edit_lines(spark: SparkSession, d: str) -> DataFrame:
+    """SNK6: reviewed rows of five groups with their totals."""
+    o = table(spark, d, "orders").withColumns({"verified": F.col("o_custkey") % 3 == 0, "edited": F.col("o_orderstatus") == "F"})
+    return export.edit_lines(o, "o_orderpriority", "o_orderkey", ["o_orderkey", "o_custkey"], "2020").withColumnRenamed("o_orderpriority", "grp")
+
+
 # Scoring
 @query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_returnflag AS e1, CASE WHEN l_partkey % 6 = 0 THEN lower(l_returnflag) WHEN l_partkey % 6 = 1 THEN NULL ELSE l_returnflag END AS a1, l_linestatus AS e2, CASE WHEN l_suppkey % 5 = 0 THEN lower(l_linestatus) ELSE l_linestatus END AS a2 FROM lineitem)
     SELECT k, 'identity' AS field, e1 AS expected, a1 AS actual, lower(e1) IS NOT DISTINCT FROM lower(a1) AS match FROM x UNION ALL SELECT k, 'status', e2, a2, e2 IS NOT DISTINCT FROM a2 FROM x""")

@@ -13,6 +13,23 @@ def write_json(df: DataFrame, column: str, path: str) -> None:
     df.select(column).write.mode("overwrite").text(path)
 
 
+def write_document_lines(lines: DataFrame, group: str, path: str, parts: int | None = None) -> None:
+    """Write document_lines to path, a folder document=... for each group.
+
+    A group's files, in order of their names, make its document with a line end after each line,
+    which JSON ignores. Lines are range-sorted over parts tasks (the session's number of shuffle
+    partitions if None), so a large group has several files and no task holds more than its
+    range; rows are written as they come off the sort, and lost tasks are written again by
+    Spark's commit protocol. parts=1 gives each group one file. Folders are called g_ and the
+    group's value, or null.
+    """
+    n = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # never null: the writer then keeps this order instead of sorting by folder again
+    named = lines.select(F.coalesce(F.concat(F.lit("g_"), F.col(f"`{group}`").cast("string")), F.lit("null")).alias("document"), "line", "text")
+    out = named.repartitionByRange(n, "document", "line").sortWithinPartitions("document", "line")
+    out.select("document", "text").write.mode("overwrite").partitionBy("document").text(path)
+
+
 def template_documents(templates: DataFrame, version: str) -> DataFrame:
     """One JSON document of templates by name in wire form (SNK7); templates are a dimension."""
     rows = F.array_sort(F.collect_list(F.struct("name", to_wire(F.col("signature")).alias("signature"))))

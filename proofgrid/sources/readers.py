@@ -29,10 +29,19 @@ EDITS = (
 )
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole text files, a byte order mark taken off."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return raw.withColumn("text", F.regexp_replace("text", "^﻿", ""))
+def documents(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
+    """(path, text) of whole text files, a byte order mark taken off.
+
+    Spark's sources pass over files without a byte; with empty these come, too, with an empty
+    text, for which the driver takes the list of names that it has made anyway.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    read = raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    if not empty:
+        return read
+    listed = spark.createDataFrame([(f,) for f in raw.inputFiles()], "path string")
+    listed = listed.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))  # as _metadata spells it
+    return read.unionByName(listed.join(read, "path", "left_anti").withColumn("text", F.lit("")))
 
 
 def captures(spark: SparkSession, folder: str, limit: int = 0, pattern: str = "echo_*.png") -> DataFrame:
@@ -155,6 +164,40 @@ def truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("d.name is not null or d.sourceImage is not null").select("path", "d.*")
 
 
+def rejected(texts: DataFrame, kind: str, length: int = 256) -> DataFrame:
+    """(path, entry, reason): what the reader of a kind leaves out of documents (path, text) (SRC4, SRC7, SRC10).
+
+    kind is catalog, signatures or truth. A document that gives nothing has one row with a null
+    entry: it is empty, not JSON, JSON of another kind, or without entries. An entry that is
+    left out has a row with its place (in the raw catalog, by key order; from 0). So every entry
+    of a document is a row of the reader or one here. Entries of the wrong type in a document of
+    the right kind are named, too. An empty table gives no rows.
+    """
+    v = F.col("_v")
+    part = lambda path, type_: F.try_variant_get(v, path, type_)
+    array, fields_ = part("$", "array<variant>"), part("$", "map<string,variant>")
+    entry = lambda e, name, type_="string": F.try_variant_get(e, f"$.{name}", type_)
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    if kind == "catalog":
+        found = F.coalesce(array, F.map_values(fields_))
+        wrong = lambda e: F.when(blank(F.when(array.isNotNull(), entry(e, "Name")).otherwise(entry(e, "en"))), "no name")
+    elif kind == "signatures":
+        found = F.coalesce(array, part("$.signatures", "array<variant>"))
+        size = lambda e: F.size(entry(e, "signature", "array<variant>"))
+        wrong = lambda e: F.when(entry(e, "signature", "array<variant>").isNull(), "no signature").when(size(e) != length, F.concat(F.lit("signature of "), size(e).cast("string"))).when(blank(entry(e, "name")), "no name")
+    elif kind == "truth":
+        known = F.filter(F.map_keys(fields_), lambda k: F.lower(k).isin("name", "sourceimage"))
+        found = F.when(F.size(known) > 0, F.array(v))
+        wrong = lambda e: F.lit(None).cast("string")
+    else:
+        raise ValueError(f"no reader of {kind}")
+    whole = F.when(F.coalesce(F.col("text").rlike(r"^\s*$"), F.lit(True)), "empty").when(v.isNull(), "not JSON").when(found.isNull(), f"not a document of kind {kind}").when(F.size(found) == 0, "no entries")
+    entries = F.filter(F.transform(found, lambda e, i: F.struct(i.alias("entry"), wrong(e).alias("reason"))), lambda r: r["reason"].isNotNull())
+    rows = texts.select("path", "text", F.try_parse_json("text").alias("_v")).select("path", whole.alias("_whole"), entries.alias("_entries"))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("entry"), F.col("_whole").alias("reason")))
+    return rows.select("path", F.inline(F.when(F.col("_whole").isNotNull(), none).otherwise(F.col("_entries"))))
+
+
 def any_case(text: str, names: Sequence[str]) -> Column:
     """A JSON text whose keys are written as in names, whatever their case was."""
     out = F.col(text)

@@ -14,8 +14,8 @@ counts if its slot isn't mostly links and doesn't hold the very same text on hal
 host's pages or more. That goes for a notice, too, that stands among paragraphs which share
 its slot, unless such texts are a third of the page: then it is a near copy of others. The
 page's region is where its counting text lies: its article elements if nine tenths of it are
-there, else its main elements, else its article elements, if half of it is there, else the
-lowest block that holds nine tenths of it and has no heading, paragraph, list or table with
+there, else its main elements (or blocks named so), else its article elements, else its blocks
+named content, if half of it is there, else the lowest block that holds nine tenths of it and has no heading, paragraph, list or table with
 counting text beside it. The region's counting texts and its headings are kept, but for those
 in menus, asides, forms and footers and in blocks whose every class name says as much.
 
@@ -68,11 +68,11 @@ LEFT_WORDS = set(
 )
 #: Words that say nothing beside those.
 PLAIN_WORDS = set("area bar block body bottom box col column container content group inner item items left list main module outer panel pane right row section site slot top unit wrap wrapper zone".split())
-REGIONS = ("article", "main")
+REGIONS = ("article", "main", "content")
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that are texts themselves or rows of such.
 ROWS = HEADINGS | set("p ul ol li dl dt dd table tbody thead tr td th pre blockquote".split())
-#: The part of the counting text, in percent, that a region holds; that article or main elements hold.
+#: The part of the counting text, in percent, that a region holds; that elements of REGIONS hold.
 NEARLY, HALF = 90, 50
 #: Levels of blocks that are told apart; texts that a slot counts.
 MAX_DEPTH, TEXTS = 200, 48
@@ -344,11 +344,11 @@ class Wrapper:
             found[tag], todo = [], [tree]
             while todo:
                 n = todo.pop()
-                if n[2] and (n[0][0] == tag or (tag == "main" and "main" in n[0][1:])):
+                if n[2] and (n[0][0] == tag or (tag != "article" and tag in n[0][1:])):
                     found[tag].append(n)
                 elif n is tree or n[2]:
                     todo += [k for k in reversed(n[1]) if k[0] != TEXT]
-        for tag, least in (("article", NEARLY), ("main", HALF), ("article", HALF)):
+        for tag, least in (("article", NEARLY), ("main", HALF), ("article", HALF), ("content", HALF)):
             if found[tag] and 100 * sum(n[2] for n in found[tag]) >= least * tree[2]:
                 return found[tag]
         node = tree

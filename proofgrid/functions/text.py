@@ -183,7 +183,8 @@ def parse_capture_name(c: Column) -> Column:
 
 def lines_of(c: Column) -> Column:
     """The non-blank lines, trimmed (TX13)."""
-    return F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    # F.trim itself would be given a line's place as the characters to trim
+    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def header_index(lines: Column, *words: str) -> Column:

@@ -37,6 +37,13 @@ def test_lines(spark):
             assert r["key"] == want[0] and r["value"] == pytest.approx(want[1], abs=1e-4)
 
 
+def test_lines_lose_blanks_and_nothing_else(spark):
+    """Digits that equal a line's place stay, blanks at both ends go."""
+    texts = ["0 a 0\n1 b 1\n2 c 2\n", " x \n  \n y1", None, ""]
+    assert column(spark, texts, text.lines_of) == [["0 a 0", "1 b 1", "2 c 2"], ["x", "y1"], None, []]
+    assert column(spark, texts[:2], lambda c: text.line_windows(text.lines_of(c))) == [["0 a 0 1 b 1", "1 b 1 2 c 2"], ["x y1"]]
+
+
 def test_headers_owner_variant(spark):
     marks = ["echo skill", "sonata effect", "equipped by"]
     assert column(spark, ["Echo Skill", "Sonata Effect", "Equipped by Ann", "echo skill text", "Crit. Rate", "HP", None], lambda c: text.is_header(c, marks)) == [True] * 4 + [False] * 3

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import let
+
 
 # Point operations and statistics as columns
 def gray(r: Column, g: Column, b: Column) -> Column:
@@ -49,18 +51,32 @@ def dark_on_light(px: Column, w: Column, h: Column) -> Column:
     return F.when(border_mean(px, w, h) < 128, invert(px)).otherwise(px)
 
 
-def otsu(px: Column) -> Column:
-    """The first threshold of largest variance between the classes <= t and > t."""
+def otsu(px: Column, places: int | None = None) -> Column:
+    """The first threshold of largest variance between the classes <= t and > t.
+
+    With places, variances that are equal when rounded to that many decimals are equal. One
+    pass over the sorted pixels: a value's last pixel closes the lower class.
+    """
     n = F.size(px)
     total = F.aggregate(px, F.lit(0.0), lambda a, v: a + v)
 
-    def between(t: Column) -> Column:
-        low = F.filter(px, lambda v: v <= t)
-        k, s = F.size(low), F.aggregate(low, F.lit(0.0), lambda a, v: a + v)
-        return F.when((k > 0) & (k < n), k.cast("double") * (n - k) * F.pow(s / k - (total - s) / (n - k), 2)).otherwise(F.lit(-1.0))
+    def rank(k: Column, s: Column, all_: Column) -> Column:
+        b = k.cast("double") * (n - k) * F.pow(s / k - (all_ - s) / (n - k), 2)
+        return b if places is None else F.floor(b * 10.0**places + 0.5).cast("double")
+
+    def best(of: Column) -> Column:
+        values = of["values"]
+
+        def step(acc: Column, k: Column) -> Column:
+            v = F.get(values, k - 1)
+            closed = F.when(v < F.get(values, k), F.struct(rank(k, acc["s"] + v, of["total"]).alias("b"), (-v).alias("t")))
+            return F.struct((acc["s"] + v).alias("s"), F.greatest(acc["top"], closed).alias("top"))
+
+        none = F.struct(F.lit(-1.0).alias("b"), (-F.get(values, n - 1)).alias("t"))
+        places_ = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        return -F.aggregate(places_, F.struct(F.lit(0.0).alias("s"), none.alias("top")), step)["top"]["t"]
 
-    ranked = F.transform(F.array_distinct(px), lambda t: F.struct(between(t).alias("b"), (-t).alias("t")))
-    return -F.array_max(ranked)["t"]
+    return let(F.struct(F.sort_array(px).alias("values"), total.alias("total")), best)
 
 
 def threshold(px: Column, t: Column) -> Column:

@@ -362,7 +362,7 @@ def q_gray_statistics(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, CASE WHEN k < n THEN k::DOUBLE * (n - k) * pow(s::DOUBLE / k - (total - s)::DOUBLE / (n - k), 2) ELSE -1 END AS b FROM q)
     SELECT vec_id, arg_max(t, {'b': round(b, 3), 't': -t})::INT AS t FROM r GROUP BY 1""")
 def q_otsu(spark: SparkSession, d: str) -> DataFrame:
-    return pixels(spark, d).select("vec_id", raster.otsu(F.col("px")).cast("int").alias("t"))
+    return pixels(spark, d).select("vec_id", raster.otsu(F.col("px"), places=3).cast("int").alias("t"))
 
 
 @query(PX + """, f AS (SELECT vec_id, avg(v) AS m FROM p WHERE i % 8 IN (0, 7) OR i // 8 IN (0, 7) GROUP BY 1) SELECT vec_id, sum(CASE WHEN m < 128 THEN 255 - v ELSE v END)::BIGINT AS total FROM p JOIN f USING (vec_id) GROUP BY 1""")

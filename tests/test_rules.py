@@ -74,3 +74,14 @@ def test_raster_steps():
     assert (raster.trim_footer(a)[11] == 255).all() and raster.quiet_border(a, 2).shape == (16, 24)
     assert raster.word_width(raster.drop_highlight_rows(a)) == 3 and len(raster.sample_windows()) == 75
     assert raster.longest_run(a == 0)[1] == 16
+
+
+#: Pixels for which the variances at 120 and 122 are the same number but for the last bits of a double.
+TIED = [91, 209, 108, 125, 137, 113, 135, 151, 92, 130, 119, 93, 113, 85, 92, 77, 158, 109, 146, 161, 168, 154, 143, 110, 91, 53, 136, 138, 175, 124, 150, 86, 161, 68, 90, 137, 154, 63, 96, 122, 140, 175, 120, 135, 154, 136, 134, 125, 119, 105, 85, 122, 93, 112, 118, 94, 158, 106, 74, 73, 167, 157, 110, 133]
+
+
+def test_thresholds_of_equal_variance(spark):
+    """Variances are compared as they are, or rounded; one value, one pixel and no pixel are cases, too."""
+    df = spark.createDataFrame([(0, TIED), (1, [7, 7, 7]), (2, [3, 9]), (3, [5]), (4, []), (5, None)], "i int, px array<int>")
+    got = {r["i"]: (r["raw"], r["rounded"]) for r in df.select("i", raster.otsu(F.col("px")).alias("raw"), raster.otsu(F.col("px"), 3).alias("rounded")).collect()}
+    assert got == {0: (122, 120), 1: (7, 7), 2: (3, 3), 3: (5, 5), 4: (None, None), 5: (None, None)}

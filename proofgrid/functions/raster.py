@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 
 from .text import let
 
+#: Pixels of the rasters whose components are found at once.
+STACK = 1 << 20
+
 
 # Point operations and statistics as columns
 def gray(r: Column, g: Column, b: Column) -> Column:
@@ -31,8 +34,8 @@ def percentile(px: Column, ratio: float) -> Column:
 
 def stretch(px: Column, low: Column, high: Column, least: int = 18) -> Column:
     """Contrast from low..high to 0..255; a range under ``least`` counts as that."""
-    span = F.greatest(high - low, F.lit(least))
-    return F.transform(px, lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.bround((v - low) * 255 / span))).cast("int"))
+    range_ = F.struct(low.alias("low"), F.greatest(high - low, F.lit(least)).alias("span"))
+    return let(range_, lambda r: F.transform(px, lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.bround((v - r["low"]) * 255 / r["span"]))).cast("int")))
 
 
 def border_mean(px: Column, w: Column, h: Column, share: float = 0.08) -> Column:
@@ -81,7 +84,7 @@ def otsu(px: Column, places: int | None = None) -> Column:
 
 def threshold(px: Column, t: Column) -> Column:
     """0 up to t, 255 above."""
-    return F.transform(px, lambda v: F.when(v <= t, 0).otherwise(255))
+    return let(t, lambda top: F.transform(px, lambda v: F.when(v <= top, 0).otherwise(255)))
 
 
 def enhance(px: Column, factor: float = 1.5) -> Column:
@@ -169,24 +172,40 @@ def adaptive_mean(a: np.ndarray, window: int = 13, c: int = 16) -> np.ndarray:
     return np.where(a > total // count - c, 255, 0)
 
 
-def components(ink: np.ndarray) -> np.ndarray:
-    """A number for each 4-connected component of ink, 0 elsewhere, by the first pixel in row order."""
-    label = np.where(ink, np.arange(1, ink.size + 1).reshape(ink.shape), 0)
+def _first_pixels(ink: np.ndarray) -> np.ndarray:
+    """The place (from 1, in a stack of rasters) of the first pixel of each ink pixel's 4-connected component, 0 elsewhere."""
+    beyond = ink.size + 1
+    label = np.where(ink, np.arange(1, beyond).reshape(ink.shape), beyond)
     while True:
         near = label.copy()
-        for axis in (0, 1):
-            for step in (1, -1):
-                other = np.roll(label, step, axis)
-                edge = [slice(None)] * 2
-                edge[axis] = 0 if step == 1 else -1
-                other[tuple(edge)] = 0
-                near = np.where(ink & (other > 0), np.minimum(near, other), near)
-        jumped = np.where(near > 0, near.ravel()[np.maximum(near, 1) - 1], 0)
+        for a, b in ((near[:, 1:], label[:, :-1]), (near[:, :-1], label[:, 1:]), (near[:, :, 1:], label[:, :, :-1]), (near[:, :, :-1], label[:, :, 1:])):
+            np.minimum(a, b, out=a)
+        jumped = np.where(ink, np.append(near.ravel(), beyond)[np.where(ink, near, beyond) - 1], beyond)
         if (jumped == label).all():
-            return np.where(label > 0, np.searchsorted(np.unique(label[label > 0]), label) + 1, 0)
+            return np.where(ink, label, 0)
         label = jumped
 
 
+def components(ink: np.ndarray) -> np.ndarray:
+    """A number for each 4-connected component of ink, 0 elsewhere, by the first pixel in row order."""
+    label = _first_pixels(ink[None])[0]
+    return np.where(label > 0, np.searchsorted(np.unique(label[label > 0]), label) + 1, 0)
+
+
+def stack_boxes(ink: np.ndarray) -> dict[str, np.ndarray]:
+    """Of all components of a stack of rasters: the raster, the number in it, pixels and bounding box."""
+    label = _first_pixels(ink)
+    raster, y, x = np.nonzero(label)
+    first, of, pixels = np.unique(label[raster, y, x], return_inverse=True, return_counts=True)
+    order, starts = np.argsort(of, kind="stable"), np.cumsum(pixels) - pixels
+    raster, y, x = raster[order[starts]], y[order], x[order]
+    at = np.arange(len(first))
+    out = {"raster": raster, "id": at - np.searchsorted(raster, raster) + 1, "pixels": pixels}
+    for name, v in (("x", x), ("y", y)):
+        out |= {f"min_{name}": np.minimum.reduceat(v, starts) if len(at) else v, f"max_{name}": np.maximum.reduceat(v, starts) if len(at) else v}
+    return out
+
+
 def boxes(label: np.ndarray) -> list[dict]:
     """Number of pixels and bounding box of each component."""
     out = []
@@ -332,17 +351,31 @@ def apply_raster(df: DataFrame, steps: tuple[str, ...], px: str = "px", w: str =
 
 
 def component_table(df: DataFrame, key: str, px: str = "px", w: str = "w", h: str = "h") -> DataFrame:
-    """(key, id, pixels, min_x, max_x, min_y, max_y) of the ink components of each raster."""
-    schema = T.StructType([df.schema[key], *(T.StructField(n, T.IntegerType()) for n in ("id", "pixels", "min_x", "max_x", "min_y", "max_y"))])
+    """(key, id, pixels, min_x, max_x, min_y, max_y) of the ink components of each raster; those of one size are worked on in stacks."""
+    names = ("id", "pixels", "min_x", "max_x", "min_y", "max_y")
+    schema = T.StructType([df.schema[key], *(T.StructField(n, T.IntegerType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        arrow = to_arrow_schema(schema)
         for batch in batches:
-            rows = []
-            for k, p, ww, hh in zip(*(batch.column(c).to_pylist() for c in (key, px, w, h))):
-                if p is not None and ww and hh:
-                    rows += [{key: k} | b for b in boxes(components(np.array(p).reshape(hh, ww) == 0))]
-            yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
+            column = batch.column(px)
+            # 0 for null, in sizes and in rasters
+            width, height = (np.asarray(batch.column(c).fill_null(0)) for c in (w, h))
+            size = np.where(np.asarray(column.is_valid()), width * height, 0)
+            lengths = np.asarray(column.value_lengths().fill_null(0))
+            if (lengths != size)[size != 0].any():
+                raise ValueError("a raster's pixels are not width x height")
+            ends = np.cumsum(lengths)
+            ink = np.asarray(column.flatten().fill_null(1)) == 0
+            for ww, hh in np.unique(np.stack([width, height], axis=1)[size != 0], axis=0).tolist():
+                rows = np.flatnonzero((size != 0) & (width == ww) & (height == hh))
+                few = max(1, STACK // (ww * hh))
+                for part in np.split(rows, range(few, len(rows), few)):
+                    at = (ends[part] - ww * hh)[:, None] + np.arange(ww * hh)
+                    found = stack_boxes(ink[at].reshape(len(part), hh, ww))
+                    keys = batch.column(key).take(pa.array(part[found["raster"]]))
+                    yield pa.RecordBatch.from_arrays([keys, *(pa.array(found[n], pa.int32()) for n in names)], schema=arrow)
 
     return df.select(key, px, w, h).mapInArrow(run, schema)

@@ -85,3 +85,23 @@ def test_thresholds_of_equal_variance(spark):
     df = spark.createDataFrame([(0, TIED), (1, [7, 7, 7]), (2, [3, 9]), (3, [5]), (4, []), (5, None)], "i int, px array<int>")
     got = {r["i"]: (r["raw"], r["rounded"]) for r in df.select("i", raster.otsu(F.col("px")).alias("raw"), raster.otsu(F.col("px"), 3).alias("rounded")).collect()}
     assert got == {0: (122, 120), 1: (7, 7), 2: (3, 3), 3: (5, 5), 4: (None, None), 5: (None, None)}
+
+
+def test_a_threshold_is_computed_once_for_all_pixels(spark):
+    """A random threshold is the same for all pixels of a raster."""
+    t = F.floor(F.rand(7) * 2).cast("int")
+    rows = spark.range(20).select(F.array_repeat(F.lit(1), 64).alias("px")).select(F.size(F.array_distinct(raster.threshold(F.col("px"), t))).alias("n")).collect()
+    assert {r["n"] for r in rows} == {1}
+
+
+def test_component_tables_of_mixed_rasters(spark):
+    """Stacks give each raster's own components; null, empty and blank rasters give none."""
+    rng = np.random.default_rng(1)
+    shapes = [(8, 8), (3, 5), (1, 1), (8, 8), (5, 3), (3, 5), (16, 16)] * 6
+    inks = {i: rng.random(s) < 0.55 for i, s in enumerate(shapes)}
+    rows = [(i, np.where(a, 0, 255).ravel().tolist(), a.shape[1], a.shape[0]) for i, a in inks.items()]
+    rows += [(100, None, 8, 8), (101, [0], None, 1), (102, [], 0, 0), (103, [255] * 4, 2, 2)]
+    df = spark.createDataFrame(rows, "k long, px array<int>, w int, h int").repartition(2)
+    got = sorted(tuple(r) for r in raster.component_table(df, "k").collect())
+    want = [(i, b["id"], b["pixels"], b["min_x"], b["max_x"], b["min_y"], b["max_y"]) for i, a in inks.items() for b in raster.boxes(raster.components(a))]
+    assert got == sorted(want)

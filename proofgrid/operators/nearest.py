@@ -26,6 +26,8 @@ GRAM = 5
 ROUNDS = (85, 75)
 #: Entries that give a query which is still open a first bound; tasks that share the entries of a length.
 SEEDS, PARTS = 256, 16
+#: How tables of keys and of pairs are joined: Spark takes a text's many keys for no larger than the text, and would send them all through the driver to broadcast them.
+SHUFFLED = "merge"
 
 
 def _span(lo: Column, hi: Column) -> Column:
@@ -50,9 +52,9 @@ def containing(inner: DataFrame, outer: DataFrame, inner_text: str, outer_text:
     counts = look.groupBy("_gram").agg(F.count("*").alias("_n"))
     texts = posted.select(F.col(inner_text).alias("_text")).distinct().withColumn("_gram", F.explode(grams(F.col("_text"))))
     # a gram that no outer text has rules the inner text out
-    rarest = texts.join(counts, "_gram", "left").groupBy("_text").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r")).where("_r.n > 0")
-    keyed = posted.join(rarest.select("_text", F.col("_r._gram").alias("_gram")), F.col(inner_text) == F.col("_text")).drop("_text")
-    return look.join(keyed, "_gram").where(F.col(outer_text).contains(F.col(inner_text))).drop("_gram")
+    rarest = texts.join(counts.hint(SHUFFLED), "_gram", "left").groupBy("_text").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r")).where("_r.n > 0")
+    keyed = posted.join(rarest.select("_text", F.col("_r._gram").alias("_gram")).hint(SHUFFLED), F.col(inner_text) == F.col("_text")).drop("_text")
+    return look.join(keyed.hint(SHUFFLED), "_gram").where(F.col(outer_text).contains(F.col(inner_text))).drop("_gram")
 
 
 def _edits(longer: Column, percent: int) -> Column:
@@ -92,7 +94,7 @@ def near(queries: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
 
     sizes = _span(F.ceil(m * percent / 100 - 1e-9).cast("int"), F.floor(m * 100 / percent + 1e-9).cast("int"))
     asked = queries.where(m > 0).select("qid", "query", F.explode(F.array_distinct(F.flatten(F.transform(sizes, of_size)))).alias("_key"))
-    met = asked.join(posted.where(n > 0), "_key")
+    met = asked.join(posted.where(n > 0).hint(SHUFFLED), "_key")
     most = _edits(F.greatest(m, n), percent)
     return met.where((F.abs(m - n) <= most) & (F.levenshtein("query", "norm") <= most)).select("qid", "eid").distinct()
 
@@ -115,7 +117,7 @@ def best_two(queries: DataFrame, entries: DataFrame, within: Column | None = Non
     inside = containing(e, q, "norm", "query").select("qid", "eid").unionByName(containing(q, e, "query", "norm").select("qid", "eid"))
     found, left = stage(scored(inside.distinct()), "contained"), queries
     for percent in rounds:
-        more = scored(near(left.select("qid", "query"), e, percent).join(found, ["qid", "eid"], "left_anti"))
+        more = scored(near(left.select("qid", "query"), e, percent).join(found.hint(SHUFFLED), ["qid", "eid"], "left_anti"))
         found = stage(found.unionByName(more), "near")
         done = found.where(F.col("score") >= F.lit(percent / 100).cast("float")).groupBy("qid").agg(F.count("*").alias("_n"))
         left = stage(left.join(done, "qid", "left").where(F.coalesce("_n", F.lit(0)) < F.col("_needed")).drop("_n"), "open queries")
@@ -124,7 +126,7 @@ def best_two(queries: DataFrame, entries: DataFrame, within: Column | None = Non
     # some entries, so that every query has a second best that rules lengths and pairs out
     some = [r["eid"] for r in e.select("eid").limit(SEEDS).collect()]
     seeds = left.select("qid", F.explode(F.array(*map(F.lit, some)) if some else F.array().cast("array<bigint>")).alias("eid"))
-    found = stage(found.unionByName(scored(seeds.join(found, ["qid", "eid"], "left_anti"))), "seeded")
+    found = stage(found.unionByName(scored(seeds.join(found.hint(SHUFFLED), ["qid", "eid"], "left_anti"))), "seeded")
     place = Window.partitionBy("qid").orderBy(F.desc("score"))
     least = found.join(left.select("qid", "_needed"), "qid").withColumn("_k", F.row_number().over(place)).where("_k = _needed").select("qid", (F.col("score").cast("double") - 1e-6).alias("_least"))
     sizes = e.groupBy(F.length("norm").alias("_size")).agg(F.count("*").alias("_n")).agg(F.sort_array(F.collect_list("_size")).alias("_sizes"))

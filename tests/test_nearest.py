@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions.text import similarity
 from proofgrid.operators import nearest, resolve
+from proofgrid.storage import stage
 
 PARTS = "ra lo mi ten gor vash eld quin ora thum bel sor ka".split()
 
@@ -53,6 +54,15 @@ def test_each_round_finds_all_pairs_at_its_similarity(spark):
         nearest.near(q, e, 50)
 
 
+def test_keys_and_grams_do_not_pass_through_the_driver(spark):
+    """Small tables whose keys are many more rows than they have are shuffled, not broadcast."""
+    q = stage(spark.createDataFrame([(i, x) for i, x in enumerate(names(50))], "qid int, query string"), "q")
+    e = stage(spark.createDataFrame([(i, x) for i, x in enumerate(names(50, 2))], "eid int, norm string"), "e")
+    for df in (nearest.near(q, e, 85), nearest.containing(q, e, "query", "norm")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_few_entries_and_few_queries(spark):
     c = spark.createDataFrame([("granite hound",), ("granite hounds",)], "name string")
     q = spark.createDataFrame([(1, "granite houndz"), (2, "hound"), (3, "nothing alike")], "id int, t string")

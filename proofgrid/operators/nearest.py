@@ -6,14 +6,17 @@ many places as there are edits left or right of it. So the segments of all entri
 length, D, place and text, and the few substrings of a query that can match them meet in an
 equality join. A round of the search at a similarity finds all entries that are at least
 that similar. A query with two such entries is done, as no entry it hasn't met can beat or
-equal its second best; the others go on to a lower similarity. What is then left meets the
-entries whose length alone doesn't rule them out.
+equal its second best; the others go on to a lower similarity. What is then left meets all
+entries, block by block, with distances by bit vectors of up to 63 characters; longer
+queries, and those that a condition limits, meet the entries whose length alone doesn't rule them out.
 
 Texts that contain each other are found by the rarest 5-gram of the inner one.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ ROUNDS = (85, 75)
 SEEDS, PARTS = 256, 16
 #: How tables of keys and of pairs are joined: Spark takes a text's many keys for no larger than the text, and would send them all through the driver to broadcast them.
 SHUFFLED = "merge"
+#: Characters of a query whose distances are computed by bit vectors; queries and entries of a block.
+BITS, BLOCK = 63, 8192
 
 
 def _span(lo: Column, hi: Column) -> Column:
@@ -99,6 +104,69 @@ def near(queries: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     return met.where((F.abs(m - n) <= most) & (F.levenshtein("query", "norm") <= most)).select("qid", "eid").distinct()
 
 
+def _nearest_in_block(queries: list[str], entries: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, similarity by edit distance, bound): for each query the entries that may be among its two best or tie with them.
+
+    bound is a similarity that two entries of the block have at least. Where the distance is the
+    difference in length one text may contain the other and so be worth a tenth less.
+    """
+    sizes = np.fromiter(map(len, entries), np.int64, len(entries))
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    letters, codes = np.unique(np.frombuffer("".join(entries[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    row = np.repeat(np.arange(len(entries)), sizes)
+    table = np.zeros((int(sizes[0]), len(entries)), np.intp)
+    table[np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row] = codes
+    open_ = np.searchsorted(-sizes, -np.arange(len(table)), side="left")  # entries longer than each place
+    place = {chr(c): i for i, c in enumerate(letters.tolist())}
+    out: list[tuple[np.ndarray, ...]] = []
+    for number, query in enumerate(queries):
+        m = len(query)
+        word, signed = (np.uint32, np.int32) if m < 32 else (np.uint64, np.int64)
+        masks = [0] * len(letters)
+        for i, c in enumerate(query):
+            if c in place:
+                masks[place[c]] |= 1 << i
+        equal, last = np.array(masks, word), word(m - 1)
+        one = word(1)
+        plus, minus, far = np.full(len(entries), np.iinfo(word).max, word), np.zeros(len(entries), word), np.full(len(entries), m, signed)
+        for at, n in zip(table, open_):
+            eq, p, q = equal[at[:n]], plus[:n], minus[:n]
+            across = (((eq & p) + p) ^ p) | eq
+            up, down = q | ~(across | p), p & across
+            far[:n] += ((up >> last) & one).view(signed)
+            far[:n] -= ((down >> last) & one).view(signed)
+            up, eq = (up << one) | one, eq | q
+            plus[:n], minus[:n] = (down << one) | ~(eq | up), up & eq
+        alike = 1 - far / np.maximum(sizes, m)
+        least = np.where(far == np.abs(sizes - m), 0.9 * alike, alike)
+        bound = np.partition(least, -2)[-2] if len(least) > 1 else -1.0
+        hit = np.flatnonzero(alike >= bound - 1e-6)
+        out.append((np.full(len(hit), number), order[hit], alike[hit], np.full(len(hit), bound)))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def nearest_of_all(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """(qid, eid): every (qid, query) of up to BITS characters with each (eid, norm) that may be among its two best by edit distance, ties included.
+
+    Both sides are dealt into blocks, and each block of queries meets each block of entries in a task.
+    """
+    parts = [max(1, -(-df.count() // BLOCK)) for df in (queries, entries)]
+    dealt = lambda df, key, n, own, other, m: df.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))}).groupBy("_q", "_e")
+    asked, offered = dealt(queries.select("qid", "query"), "qid", parts[0], "_q", "_e", parts[1]), dealt(entries.select("eid", "norm"), "eid", parts[1], "_e", "_q", parts[0])
+    kinds = [dict(queries.dtypes)["qid"], dict(entries.dtypes)["eid"]]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        q, e = a.column("qid").combine_chunks(), b.column("eid").combine_chunks()
+        if not len(q) or not len(e):
+            return pa.table({"qid": q[:0], "eid": e[:0], "alike": pa.array([], pa.float64()), "bound": pa.array([], pa.float64())})
+        i, j, alike, bound = _nearest_in_block(a.column("query").to_pylist(), b.column("norm").to_pylist())
+        return pa.table({"qid": q.take(pa.array(i)), "eid": e.take(pa.array(j)), "alike": alike, "bound": bound})
+
+    met = asked.cogroup(offered).applyInArrow(run, f"qid {kinds[0]}, eid {kinds[1]}, alike double, bound double")
+    return met.withColumn("bound", F.max("bound").over(Window.partitionBy("qid"))).where(F.col("alike") >= F.col("bound") - 1e-6).select("qid", "eid")
+
+
 def best_two(queries: DataFrame, entries: DataFrame, within: Column | None = None, needed: Column | None = None, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """(qid, eid, score, edge): for each query at least its two most similar entries, ties at the second place included, whatever their similarity.
 
@@ -123,6 +191,12 @@ def best_two(queries: DataFrame, entries: DataFrame, within: Column | None = Non
         left = stage(left.join(done, "qid", "left").where(F.coalesce("_n", F.lit(0)) < F.col("_needed")).drop("_n"), "open queries")
         if left.isEmpty():
             return found
+    if within is None:
+        more = scored(nearest_of_all(left.where(F.length("query").between(1, BITS)), e).join(found.hint(SHUFFLED), ["qid", "eid"], "left_anti"))
+        found = stage(found.unionByName(more), "nearest of all")
+        left = stage(left.where(~F.length("query").between(1, BITS)), "long queries")
+        if left.isEmpty():
+            return found
     # some entries, so that every query has a second best that rules lengths and pairs out
     some = [r["eid"] for r in e.select("eid").limit(SEEDS).collect()]
     seeds = left.select("qid", F.explode(F.array(*map(F.lit, some)) if some else F.array().cast("array<bigint>")).alias("eid"))

@@ -63,6 +63,28 @@ def test_keys_and_grams_do_not_pass_through_the_driver(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_blocks_give_every_pair_that_may_be_among_the_two_best():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(5)
+    entries = [x.replace(" ", "") for x in names(80)] + ["é中🙂", "a", "x" * 90]
+    queries = [noisy(rng, rng.choice(entries)) for _ in range(40)] + ["b", "q" * 31, "rami" * 8, "tenlo" * 12 + "abc"]
+    queries = [x for x in queries if 0 < len(x) <= nearest.BITS]
+    i, j, alike, bound = nearest._nearest_in_block(queries, entries)
+    got = {(a, b): s for a, b, s in zip(i.tolist(), j.tolist(), alike.tolist())}
+    for a, q in enumerate(queries):
+        want = [1 - distance(q, e) / max(len(q), len(e)) for e in entries]
+        for b, s in enumerate(want):
+            assert (a, b) not in got or got[a, b] == pytest.approx(s)
+            assert s < sorted(want)[-2] or (a, b) in got
+
+
 def test_few_entries_and_few_queries(spark):
     c = spark.createDataFrame([("granite hound",), ("granite hounds",)], "name string")
     q = spark.createDataFrame([(1, "granite houndz"), (2, "hound"), (3, "nothing alike")], "id int, t string")

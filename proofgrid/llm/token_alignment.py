@@ -1,23 +1,25 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Texts are tokenised in Arrow batches, by a byte-level merge vocabulary A (with a space in
-front) and by a merge-type piece vocabulary B (which adds that space itself). They are cut
-into units where neither tokenizer can join anything: before single spaces and line feeds,
-and between a letter and closing marks. A block of texts leaves Python as the tokens of
-its distinct units, one after the other, each with the byte offset at which it ends, and
-each text as a sequence of unit numbers. Texts with other white space, or with marks of
-the piece vocabulary, are tokenised whole and are one unit.
+Texts are cut into units where neither tokenizer can join anything (before single spaces
+and line feeds); texts with other white space, or with marks of the piece vocabulary, and
+all texts of a piece vocabulary that changes what it reads, are one unit. Units are counted
+over all texts, and each distinct one is tokenised once in the whole corpus, in Arrow
+batches, by a byte-level merge vocabulary A (with a space in front) and by a merge-type
+piece vocabulary B (which adds that space itself). A block of units leaves Python as its
+tokens, one after the other, each with the byte offset at which it ends.
 
 From there on Spark's higher-order functions do the work. The offsets that both sides have
 (array_intersect) cut the tokens into groups. Sorting a side's tokens together with the
 cuts puts each cut behind its token, so groups are read off in linear time. A text's
-groups and numbers are those of its units in order (transform, aggregate).
+groups and numbers are those of its units in order.
 
 A group links its two last tokens. How often each pair of ids is linked in the whole
-corpus follows from how often each group occurs; that, and whether it is the most that the
-pair's B id has with any A id, comes back to the texts by a join whose broadcast side holds
-only groups that are more than one in ``HOT`` of all (so it has ``HOT`` rows at most, of
-the mean length on average), while rarer ones, none of which can be frequent, are shuffled.
+corpus follows from how often each unit occurs; that, and whether it is the most that the
+pair's B id has with any A id, comes back to the units by a join whose broadcast side holds
+only pairs that are more than one in ``HOT`` of all (so it has ``HOT`` rows at most),
+while rarer ones, none of which can be frequent, are shuffled. In the same way a bounded
+number of the most frequent units is broadcast to the texts with their groups and sums;
+all other units of a text join theirs by shuffle.
 
 Defined results: null and empty texts, and texts that either side's tokens don't spell,
 have no tokens: all numbers are 0 and groups are the empty string. Each row of docs gives
@@ -29,8 +31,10 @@ pass through. No row gives no row.
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,20 +42,25 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_arrow, stage
+from .common import discard, join_frequent, least_count, map_arrow, stage, stretches
 from .token_transducer import byte_letters
 
 #: Units whose tokens a worker keeps, as many again of those met in two blocks, and the longest units that are kept.
 KEEP, LONGEST_KEPT = 100_000, 64
 #: Characters of the texts of a block.
-BLOCK = 1 << 21
-#: Groups that are broadcast are more than one in HOT of all.
+BLOCK = 1 << 18
+#: Pairs that are broadcast are more than one in HOT of all.
 HOT = 200_000
+#: Units broadcast with their groups (none of over LONGEST_KEPT characters).
+HEAVY = 1 << 18
+#: Bytes of a stretch of texts whose units are counted at once; units (distinct in each stretch), and bytes of text, after which a task passes its counts on.
+STRETCH, FLUSH, FLUSH_BYTES = 1 << 22, 600_000, 1 << 26
 #: A token is packed as its end times SCALE plus its id; numbers above all ids mark a cut, and the end of a unit, at an end.
 SCALE, CUT, UNIT = 1 << 21, 1 << 20, (1 << 20) + 1
 #: How the byte-level vocabulary's texts are split (public), and white space but for space and line feed.
@@ -62,6 +71,8 @@ TAIL = ",.;:!?"
 #: White space that the first vocabulary joins, or may split in another way than into single units.
 RUNS, RUN_ENDS = ("  ", "\n\n\n", "\n\n ", " \n ", " \n\n"), ("\n\n", " \n")
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: Numbers of a unit, which add up to those of a text.
+SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 
 
 class TokenPair:
@@ -70,6 +81,7 @@ class TokenPair:
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
         import tiktoken
+        from sentencepiece import sentencepiece_model_pb2
 
         with open(byte_path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -92,6 +104,10 @@ class TokenPair:
         own = [p for i, p in enumerate(names) if not self.pieces.IsByte(i)]
         self.by_unit = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in own)
         self.by_letter = not any(re.search(f"[^\\W\\d_][{TAIL}]", p) for p in own)
+        # what is made of parts of a text is what is made of it only if no character is changed or left out
+        model = sentencepiece_model_pb2.ModelProto.FromString(self.pieces.serialized_model_proto())
+        spec = model.normalizer_spec
+        self.by_unit = self.by_unit and model.trainer_spec.byte_fallback and spec.add_dummy_prefix and not (spec.remove_extra_whitespaces or spec.precompiled_charsmap)
         self.line = self.pieces.encode("\n")
         self.often: dict[str, tuple[bytes, bytes] | None] = {}
         self.once: dict[str, tuple[bytes, bytes] | None] = {}
@@ -113,12 +129,24 @@ class TokenPair:
         """Tokens of a whole text."""
         return self._packed(b" " + text.encode(), self.bytes_a.encode_ordinary(" " + text), self.pieces.encode(text))
 
+    def stays_whole(self, text: str) -> bool:
+        """Whether a text can't be cut into units."""
+        spaced = " " + text
+        return not self.by_unit or any(r in spaced for r in RUNS) or spaced.endswith(RUN_ENDS) or MARK in text or OTHER_WHITE.search(text) is not None
+
     def split(self, text: str) -> list[str] | None:
         """A text's units: "\\n..." is what it is, any other lacks the space in front. None if it has to stay whole."""
-        spaced = " " + text
-        if not self.by_unit or any(r in spaced for r in RUNS) or spaced.endswith(RUN_ENDS) or MARK in text or OTHER_WHITE.search(text):
-            return None
-        return text.replace("\n", " \n").split(" ")
+        return None if self.stays_whole(text) else text.replace("\n", " \n").split(" ")
+
+    def units(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """How many units each text has, and the units of all in order; one that is a whole text begins with a mark."""
+        values = texts.to_pylist()
+        whole = [bool(t) and self.stays_whole(t) for t in values]
+        if any(whole) or not all(values):
+            lists = pa.array([[MARK + t] if w else self.split(t) if t else [] for t, w in zip(values, whole)], pa.list_(pa.string()))
+        else:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        return pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten()
 
     def _encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Tokens of units; None where one of the sides doesn't spell it."""
@@ -150,9 +178,13 @@ class TokenPair:
             once.pop(u, None)
         return {u: found[u] if u in found else again[u] if u in again else got[u] for u in units}
 
-    def block(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
-        """Tokens of the distinct units of some texts, and each text as numbers of units."""
-        cut = [self.split(t) if t else [] for t in texts]
+    def block(self, texts: list[str | None], units: bool = False) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
+        """Tokens of the distinct units of some texts, and each text as numbers of units; with units, the texts are units themselves."""
+        if units:
+            cut = [None if t.startswith(MARK) else [t] for t in texts]
+            texts = [t.removeprefix(MARK) for t in texts]
+        else:
+            cut = [self.split(t) if t else [] for t in texts]
         parts: dict[str, tuple[str, ...]] = {}
         for u in dict.fromkeys(chain.from_iterable(filter(None, cut))):
             core = u.rstrip(TAIL) if self.by_letter else u
@@ -164,14 +196,14 @@ class TokenPair:
         place = dict(zip((u for u, got in known.items() if got is not None), range(len(tokens))))
         number = {u: tuple(map(place.__getitem__, p)) for u, p in parts.items() if u not in unspelt}
         at = []
-        for text, units in zip(texts, cut):
-            if units is None or unspelt and not unspelt.isdisjoint(units):
-                got, units = self.whole(text), []
+        for text, own in zip(texts, cut):
+            if own is None or unspelt and not unspelt.isdisjoint(own):
+                got, own = self.whole(text), []
                 if got is not None:
                     at.append([len(tokens)])
                     tokens.append(got)
                     continue
-            at.append([*chain.from_iterable(map(number.__getitem__, units))])
+            at.append([*chain.from_iterable(map(number.__getitem__, own))])
         return tokens, at
 
 
@@ -186,8 +218,8 @@ def _side(parts: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.cumsum(lengths[ids]) * SCALE + ids, sizes
 
 
-def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "text") -> DataFrame:
-    """Blocks of texts.
+def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "text", units: bool = False) -> DataFrame:
+    """Blocks of texts, which with units are units themselves.
 
     a_tokens, b_tokens: tokens of the block's distinct units in order; a_ends, b_ends: where they
     end; units: where units end; sizes: each unit's tokens, A's times 2^32 plus B's; texts: the
@@ -212,7 +244,7 @@ def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "
                 if size < BLOCK and k + 1 < batch.num_rows:
                     continue
                 gc.disable()  # a block makes many small values and no cycles
-                tokens, at = pair.block(block)
+                tokens, at = pair.block(block, units)
                 gc.enable()
                 a, a_sizes = _side([x[0] for x in tokens], pair.len_a)
                 b, b_sizes = _side([x[1] for x in tokens], pair.len_b)
@@ -248,34 +280,148 @@ def aligned(blocks: DataFrame) -> DataFrame:
     return rows.select("kept", F.shiftright("size", 32).alias("n_a"), F.col("size").bitwiseAND((1 << 32) - 1).alias("n_b"), "groups")
 
 
-def group_counts(groups: DataFrame) -> DataFrame:
-    """(group, m, n, best): how often each group occurs, how often its pair is linked, and whether that is the most for its B id."""
+def unit_counts(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "text") -> DataFrame:
+    """(unit, c): how often each unit occurs in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        pair = token_pair(byte_path, piece_path)
+        found: list[tuple[pa.Array, np.ndarray]] = []
+        held = read = 0
+
+        def pack() -> dict:
+            coded = pa.concat_arrays([u for u, _ in found]).dictionary_encode()
+            return {"unit": coded.dictionary, "c": np.bincount(coded.indices.to_numpy(), np.concatenate([n for _, n in found]), len(coded.dictionary)).astype(np.int64)}
+
+        for batch in batches:
+            for part in stretches(batch, "text", STRETCH):
+                coded = pair.units(part.column("text"))[1].dictionary_encode()
+                found.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))))
+                held, read = held + len(coded.dictionary), read + part.nbytes
+                if held > FLUSH or read > FLUSH_BYTES:
+                    yield pack()
+                    found.clear()
+                    held = read = 0
+        if found:
+            yield pack()
+
+    found = map_arrow(docs.select(F.col(f"`{text_col}`").alias("text")), run, "unit string, c long")
+    return found.groupBy("unit").agg(F.sum("c").alias("c"))
+
+
+def unit_table(counts: DataFrame, byte_path: str, piece_path: str, hot: int = HOT) -> DataFrame:
+    """(unit, c, groups, SUMS...): each unit's groups, and what each time that it occurs adds to its text's numbers."""
+    blocks = tokenise(counts.select("unit", "c", F.col("unit").alias("text")), byte_path, piece_path, units=True)
+    units = stage(aligned(blocks).select(F.monotonically_increasing_id().alias("u"), "kept.*", "n_a", "n_b", "groups"), "aligned units")
     last = lambda part: F.substring_index(F.substring_index("group", "|", part), ",", -1).cast("int")
-    counts = stage(groups.groupBy("group").agg(F.count("*").alias("m")).withColumns({"a": last(1), "b": last(-1)}), "group counts")
-    pairs = counts.groupBy("a", "b").agg(F.sum("m").alias("n"))
-    most = pairs.groupBy("b").agg(F.max("n").alias("most"))
-    return counts.join(pairs.join(most, "b"), ["a", "b"]).select("group", "m", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
+    links = units.where("groups <> ''").select("u", "c", F.explode(F.split("groups", ";")).alias("group")).select("u", "c", last(1).alias("a"), last(-1).alias("b"))
+    pairs = links.groupBy("a", "b").agg(F.sum("c").alias("n"))
+    pairs = stage(pairs.join(pairs.groupBy("b").agg(F.max("n").alias("most")), "b").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "linked pairs")
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    frequent = pairs.where(F.col("n") * hot > total)
+    rare = pairs.where(F.col("n") * hot <= total).select("a", "b", F.col("n").alias("n1"), F.col("best").alias("best1"))
+    # one row for all frequent pairs of a unit, one for each of its rare pairs
+    is_rare = F.col("n").isNull()
+    seen = links.join(F.broadcast(frequent), ["a", "b"], "left").groupBy("u", F.when(is_rare, F.col("a")).alias("a"), F.when(is_rare, F.coalesce("b", "a")).alias("b"))
+    seen = seen.agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.sum("best").alias("best"))
+    known = seen.where("a is null").select("u", "m", "n", "best")
+    known = known.unionByName(seen.where("a is not null").drop("n", "best").join(rare, ["a", "b"]).select("u", "m", (F.col("m") * F.col("n1")).alias("n"), (F.col("m") * F.col("best1")).alias("best")))
+    sums = known.groupBy("u").agg(F.sum("m").alias("n_groups"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    table = units.join(sums, "u", "left").select("unit", "c", "groups", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in SUMS))
+    out = stage(table, "unit table")
+    discard(units, pairs)
+    return out
+
+
+def _folded(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, the high ones of which, nearly all alike, stand together."""
+    return zlib.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unfolded(data: bytes) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<i4")
+
+
+def spread(rows: DataFrame, heavy: pa.Table, byte_path: str, piece_path: str) -> DataFrame:
+    """Texts as numbers of units, and their units that aren't heavy.
+
+    For each text: row, kept, the sums of its heavy units, and its units in order (at, packed by _folded): places in heavy,
+    or -1, -2, ... for its others. For each of these: row, unit, the number that stands for it (k), how often it occurs (m).
+    """
+    table = rows.sparkSession.sparkContext.broadcast((heavy["unit"].combine_chunks(), np.array([heavy[n].to_numpy() for n in SUMS]).astype(np.int64)))
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        pair = token_pair(byte_path, piece_path)
+        often, values = table.value
+        for batch in batches:
+            for part in stretches(batch, "text", STRETCH):
+                sizes, units = pair.units(part.column("text"))
+                coded, a = units.dictionary_encode(), len(sizes)
+                unit, text = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(a), sizes)
+                at = pc.fill_null(pc.index_in(coded.dictionary, often), -1).to_numpy(zero_copy_only=False)[unit]
+                ends = np.r_[0, np.cumsum(sizes)]
+                hit = at >= 0
+                sums = []
+                for v in values:
+                    run_ = np.r_[0, np.cumsum(np.where(hit, v[at] if len(v) else 0, 0))]
+                    sums.append(run_[ends[1:]] - run_[ends[:-1]])
+                others, back, m = np.unique(text[~hit] * len(coded.dictionary) + unit[~hit], return_inverse=True, return_counts=True)
+                of, name = np.divmod(others, max(len(coded.dictionary), 1))
+                k = np.arange(len(others)) - np.searchsorted(of, of)
+                at[~hit] = -1 - k[back]
+                b, kept, row = len(others), part.column("kept"), part.column("row").to_numpy()
+                numbers = pa.array([_folded(at[lo:hi]) for lo, hi in zip(ends, ends[1:])], pa.binary())
+                yield {
+                    "row": np.r_[row, row[of]], "kept": pa.concat_arrays([kept, pa.nulls(b, kept.type)]), "at": pa.concat_arrays([numbers, pa.nulls(b, numbers.type)]),
+                    "unit": pa.concat_arrays([pa.nulls(a, pa.string()), coded.dictionary.take(pa.array(name))]), "k": np.r_[np.zeros(a), k].astype(np.int32), "m": np.r_[np.zeros(a, np.int64), m],
+                } | {n: np.r_[s, np.zeros(b, np.int64)] for n, s in zip(SUMS, sums)}
+
+    kept = rows.schema["kept"]
+    longs = [T.StructField(n, T.LongType()) for n in ("m", *SUMS)]
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("kept", kept.dataType), T.StructField("at", T.BinaryType()), T.StructField("unit", T.StringType()), T.StructField("k", T.IntegerType()), *longs])
+    return map_arrow(rows, run, schema)
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "text", digest: bool = False, hot: int = HOT) -> DataFrame:
+
+def joined_groups(rows: DataFrame, heavy: pa.Table, digest: bool) -> DataFrame:
+    """kept, SUMS, and the groups of each text in order (or with digest, their SHA-256), from its numbers of units (at) and its own units' groups (own: k, groups)."""
+    table = rows.sparkSession.sparkContext.broadcast(heavy["groups"].combine_chunks())
+    names = ["kept", *SUMS]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        often = np.array([g.encode() for g in table.value.to_pylist()], object)
+        for batch in batches:
+            out = []
+            for at, own in zip(batch.column("at"), batch.column("own")):
+                at = _unfolded(at.as_py())
+                groups = often[np.maximum(at, 0)] if len(often) else np.full(len(at), b"", object)
+                if own.is_valid:
+                    mine, others = np.full(len(own), b"", object), at < 0
+                    mine[own.values.field("k").to_numpy()] = [g.encode() for g in own.values.field("groups").to_pylist()]
+                    groups[others] = mine[-1 - at[others]]
+                shown = b";".join(groups)
+                out.append((hashlib.sha256(shown).hexdigest() if shown else "") if digest else shown.decode())
+            yield {n: batch.column(n) for n in names} | {"shown": out}
+
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("shown", T.StringType())])
+    return map_arrow(rows.select(*names, "at", "own"), run, schema)
+
+
+def align(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "text", digest: bool = False, hot: int = HOT, heavy: int = HEAVY) -> DataFrame:
     """docs, without the text, with n_a, n_b, n_groups, n_links, n_best, count_sum and groups; with digest, groups_sha256 instead of groups."""
     last = "groups_sha256" if digest else "groups"
     taken = {last, *ADDED}
     names = [n for n in docs.columns if n != text_col and n not in taken]
-    rows = docs.select(F.struct(*([F.col(f"`{n}`") for n in names] or [F.lit(0).alias("none")])).alias("kept"), F.col(f"`{text_col}`").alias("text"))
-    rows = aligned(tokenise(rows, byte_path, piece_path)).withColumns({"row": F.monotonically_increasing_id(), "kept": F.col("kept.kept")})
-    rows = rows.withColumn("cut", F.when(F.col("groups") != "", F.split("groups", ";")))
-    rows = stage(rows.withColumn(last, F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups") if digest else rows, "aligned texts")
-    groups = rows.select("row", F.explode("cut").alias("group"))
-    counts = stage(group_counts(groups.select("group")), "counted groups")
-    total = counts.agg(F.sum("m")).first()[0] or 0
-    frequent = counts.where(F.col("m") * hot > total).drop("m")
-    # one row for all frequent groups of a text, one for each of its rare groups
-    seen = groups.join(F.broadcast(frequent), "group", "left").groupBy("row", F.when(F.col("n").isNull(), F.col("group")).alias("rare"))
-    seen = seen.agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.sum("best").alias("best")).withColumn("group", F.coalesce("rare", F.col("row").cast("string")))
-    rare = counts.where(F.col("m") * hot <= total).select("group", F.col("n").alias("n1"), F.col("best").alias("best1"))
-    sums = seen.join(rare, "group", "left").groupBy("row").agg(F.sum(F.coalesce("n", F.col("m") * F.col("n1"))).alias("count_sum"), F.sum(F.coalesce("best", F.col("m") * F.col("best1"))).alias("n_best"))
-    zero = F.lit(0).cast("long")
-    size = F.coalesce(F.size("cut").cast("long"), zero)  # a link for each group
-    out = rows.select("row", "kept", "n_a", "n_b", size.alias("n_groups"), size.alias("n_links"), last).join(sums, "row", "left")
-    return out.select(*(F.col("kept")[n].alias(n) for n in names), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), last)
+    rows = docs.select(F.struct(*([F.col(f"`{n}`") for n in names] or [F.lit(0).alias("none")])).alias("kept"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    counts = stage(unit_counts(docs, byte_path, piece_path, text_col), "unit counts")
+    units = unit_table(counts, byte_path, piece_path, hot)
+    discard(counts)
+    short = F.length("unit") <= LONGEST_KEPT
+    often = short & (F.col("c") >= least_count(units.where(short), heavy))
+    most = units.where(often).select("unit", "c", "groups", *SUMS).toArrow().sort_by([("c", "descending"), ("unit", "ascending")])
+    parts = stage(spread(rows, most, byte_path, piece_path), "texts as units")
+    seldom = units.where(~often)
+    own = join_frequent(parts.where("unit is not null").select("row", "unit", "k", "m"), seldom, "unit", "row", seldom.select("unit", F.col("c").alias("n")))
+    own = own.groupBy("row").agg(F.collect_list(F.struct("k", "groups")).alias("own"), *(F.sum(F.col("m") * F.col(n)).alias(f"own_{n}") for n in SUMS))
+    texts = parts.where("unit is null").select("row", "kept", "at", *SUMS).join(own, "row", "left")
+    texts = texts.withColumns({n: F.col(n) + F.coalesce(f"own_{n}", F.lit(0)) for n in SUMS})
+    out = joined_groups(texts, most, digest)
+    return out.select(*(F.col("kept")[n].alias(n) for n in names), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", F.col("shown").alias(last))

@@ -4,7 +4,9 @@ import hashlib
 from collections import Counter, defaultdict
 from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -102,3 +104,31 @@ def test_no_rows(spark):
     assert token_alignment.align(table(spark, []), A, B).count() == 0
     only = spark.createDataFrame([("a b",), (None,), ("a b",)], "text string")
     assert sorted(r["n_links"] for r in token_alignment.align(only, A, B).collect()) == [0, 2, 2]
+
+
+def test_each_unit_is_tokenised_once(spark, monkeypatch):
+    """Tokens are made of the corpus's distinct units, not of those of each block of texts."""
+    texts = [*HOSTILE, *(f"The {w} house, the {w} house.\nA {w}" for w in ("blue", "red", "green")) , "The blue house"] * 3
+    seen, tokenise = [], token_alignment.tokenise
+    monkeypatch.setattr(token_alignment, "tokenise", lambda docs, *a, **b: seen.append(docs.select("text")) or tokenise(docs, *a, **b))
+    monkeypatch.setattr(token_alignment, "discard", lambda *tables: None)
+    monkeypatch.setattr(token_alignment, "STRETCH", 100)
+    monkeypatch.setattr(token_alignment, "FLUSH", 5)
+    want = brute(texts)
+    for heavy, hot in ((0, 1), (3, 10), (1000, 1000)):  # all units by the shuffle, some, and none
+        got = {r["doc_id"]: r for r in token_alignment.align(table(spark, texts).repartition(3), A, B, hot=hot, heavy=heavy).collect()}
+        for i, w in enumerate(want):
+            r = got[i]
+            assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups"]) == w, texts[i]
+        units = [r["text"] for r in seen.pop().collect()]
+        assert len(units) == len({*units}) and units.count("blue") == 1
+
+
+def test_units_of_many_texts():
+    pair = token_alignment.TokenPair(A, B)
+    want = [[] if not t else ["▁" + t] if pair.split(t) is None else pair.split(t) for t in HOSTILE]
+    for lo, hi in ((0, len(HOSTILE)), (4, 8), (5, 6)):
+        sizes, units = pair.units(pa.array(HOSTILE, pa.string()).slice(lo, hi - lo))
+        assert sizes.tolist() == [*map(len, want[lo:hi])] and units.to_pylist() == sum(want[lo:hi], [])
+    for numbers in ([], [0], [5, -1, 1 << 20, -70_000]):
+        assert token_alignment._unfolded(token_alignment._folded(np.array(numbers, np.int64))).tolist() == numbers

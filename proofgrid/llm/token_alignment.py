@@ -58,7 +58,7 @@ BLOCK = 1 << 18
 #: Pairs that are broadcast are more than one in HOT of all.
 HOT = 200_000
 #: Units broadcast with their groups (none of over LONGEST_KEPT characters).
-HEAVY = 1 << 18
+HEAVY = 1 << 19
 #: Bytes of a stretch of texts whose units are counted at once; units (distinct in each stretch), and bytes of text, after which a task passes its counts on.
 STRETCH, FLUSH, FLUSH_BYTES = 1 << 22, 600_000, 1 << 26
 #: A token is packed as its end times SCALE plus its id; numbers above all ids mark a cut, and the end of a unit, at an end.
@@ -327,7 +327,7 @@ def unit_table(counts: DataFrame, byte_path: str, piece_path: str, hot: int = HO
     known = known.unionByName(seen.where("a is not null").drop("n", "best").join(rare, ["a", "b"]).select("u", "m", (F.col("m") * F.col("n1")).alias("n"), (F.col("m") * F.col("best1")).alias("best")))
     sums = known.groupBy("u").agg(F.sum("m").alias("n_groups"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     table = units.join(sums, "u", "left").select("unit", "c", "groups", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in SUMS))
-    out = stage(table, "unit table")
+    out = stage(table, "unit table", "zstd")
     discard(units, pairs)
     return out
 
@@ -382,7 +382,7 @@ def spread(rows: DataFrame, heavy: pa.Table, byte_path: str, piece_path: str) ->
 
 
 def joined_groups(rows: DataFrame, heavy: pa.Table, digest: bool) -> DataFrame:
-    """kept, SUMS, and the groups of each text in order (or with digest, their SHA-256), from its numbers of units (at) and its own units' groups (own: k, groups)."""
+    """kept, SUMS, and the groups of each text in order (or with digest, their SHA-256), from its numbers of units (at) and its own units' groups (own: texts of k, a space and the groups)."""
     table = rows.sparkSession.sparkContext.broadcast(heavy["groups"].combine_chunks())
     names = ["kept", *SUMS]
 
@@ -395,7 +395,9 @@ def joined_groups(rows: DataFrame, heavy: pa.Table, digest: bool) -> DataFrame:
                 groups = often[np.maximum(at, 0)] if len(often) else np.full(len(at), b"", object)
                 if own.is_valid:
                     mine, others = np.full(len(own), b"", object), at < 0
-                    mine[own.values.field("k").to_numpy()] = [g.encode() for g in own.values.field("groups").to_pylist()]
+                    for x in own.as_py():
+                        k, _, g = x.partition(" ")
+                        mine[int(k)] = g.encode()
                     groups[others] = mine[-1 - at[others]]
                 shown = b";".join(groups)
                 out.append((hashlib.sha256(shown).hexdigest() if shown else "") if digest else shown.decode())
@@ -417,10 +419,10 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "tex
     short = F.length("unit") <= LONGEST_KEPT
     often = short & (F.col("c") >= least_count(units.where(short), heavy))
     most = units.where(often).select("unit", "c", "groups", *SUMS).toArrow().sort_by([("c", "descending"), ("unit", "ascending")])
-    parts = stage(spread(rows, most, byte_path, piece_path), "texts as units")
+    parts = stage(spread(rows, most, byte_path, piece_path), "texts as units", "zstd")
     seldom = units.where(~often)
     own = join_frequent(parts.where("unit is not null").select("row", "unit", "k", "m"), seldom, "unit", "row", seldom.select("unit", F.col("c").alias("n")))
-    own = own.groupBy("row").agg(F.collect_list(F.struct("k", "groups")).alias("own"), *(F.sum(F.col("m") * F.col(n)).alias(f"own_{n}") for n in SUMS))
+    own = own.groupBy("row").agg(F.collect_list(F.concat(F.col("k").cast("string"), F.lit(" "), "groups")).alias("own"), *(F.sum(F.col("m") * F.col(n)).alias(f"own_{n}") for n in SUMS))
     texts = parts.where("unit is null").select("row", "kept", "at", *SUMS).join(own, "row", "left")
     texts = texts.withColumns({n: F.col(n) + F.coalesce(f"own_{n}", F.lit(0)) for n in SUMS})
     out = joined_groups(texts, most, digest)

@@ -51,8 +51,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import discard, join_frequent, least_count, map_arrow, stage, stretches
 from .token_transducer import byte_letters
 
-#: Units whose tokens a worker keeps, as many again of those met in two blocks, and the longest units that are kept.
-KEEP, LONGEST_KEPT = 100_000, 64
+#: Units whose tokens a task keeps, as many again of those met in two blocks, and the longest units that are kept.
+KEEP, LONGEST_KEPT = 30_000, 64
 #: Characters of the texts of a block.
 BLOCK = 1 << 18
 #: Pairs that are broadcast are more than one in HOT of all.
@@ -61,6 +61,8 @@ HOT = 200_000
 HEAVY = 1 << 19
 #: Bytes of a stretch of texts whose units are counted at once; units (distinct in each stretch), and bytes of text, after which a task passes its counts on.
 STRETCH, FLUSH, FLUSH_BYTES = 1 << 22, 600_000, 1 << 26
+#: Bytes of a stretch of texts that become numbers of units at once, units of texts whose groups are joined at once (a single text at least).
+SPREAD, JOINED = 1 << 21, 1 << 18
 #: A token is packed as its end times SCALE plus its id; numbers above all ids mark a cut, and the end of a unit, at an end.
 SCALE, CUT, UNIT = 1 << 21, 1 << 20, (1 << 20) + 1
 #: How the byte-level vocabulary's texts are split (public), and white space but for space and line feed.
@@ -178,6 +180,12 @@ class TokenPair:
             once.pop(u, None)
         return {u: found[u] if u in found else again[u] if u in again else got[u] for u in units}
 
+    def forget(self) -> None:
+        """Give back the tables of a task: workers stay, and their memory is the next step's."""
+        self.often.clear()
+        self.once.clear()
+        pa.default_memory_pool().release_unused()
+
     def block(self, texts: list[str | None], units: bool = False) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
         """Tokens of the distinct units of some texts, and each text as numbers of units; with units, the texts are units themselves."""
         if units:
@@ -253,6 +261,7 @@ def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "
                 arrays = {"a_tokens": a, "a_ends": a_ends, "b_tokens": b, "b_ends": b_ends, "units": a_ends[np.cumsum(a_sizes) - 1] + UNIT - CUT, "sizes": (a_sizes << 32) + b_sizes}
                 yield {n: one(pa.array(v, pa.int64())) for n, v in arrays.items()} | {"texts": one(pa.StructArray.from_arrays([kept.slice(lo, len(block)), numbers], ["kept", "at"])).cast(kind)}
                 lo, size, block = k + 1, 0, []
+        pair.forget()
 
     return map_arrow(rows, run, schema)
 
@@ -303,6 +312,8 @@ def unit_counts(docs: DataFrame, byte_path: str, piece_path: str, text_col: str
                     held = read = 0
         if found:
             yield pack()
+            found.clear()
+        pair.forget()
 
     found = map_arrow(docs.select(F.col(f"`{text_col}`").alias("text")), run, "unit string, c long")
     return found.groupBy("unit").agg(F.sum("c").alias("c"))
@@ -353,7 +364,7 @@ def spread(rows: DataFrame, heavy: pa.Table, byte_path: str, piece_path: str) ->
         pair = token_pair(byte_path, piece_path)
         often, values = table.value
         for batch in batches:
-            for part in stretches(batch, "text", STRETCH):
+            for part in stretches(batch, "text", SPREAD):
                 sizes, units = pair.units(part.column("text"))
                 coded, a = units.dictionary_encode(), len(sizes)
                 unit, text = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(a), sizes)
@@ -374,6 +385,7 @@ def spread(rows: DataFrame, heavy: pa.Table, byte_path: str, piece_path: str) ->
                     "row": np.r_[row, row[of]], "kept": pa.concat_arrays([kept, pa.nulls(b, kept.type)]), "at": pa.concat_arrays([numbers, pa.nulls(b, numbers.type)]),
                     "unit": pa.concat_arrays([pa.nulls(a, pa.string()), coded.dictionary.take(pa.array(name))]), "k": np.r_[np.zeros(a), k].astype(np.int32), "m": np.r_[np.zeros(a, np.int64), m],
                 } | {n: np.r_[s, np.zeros(b, np.int64)] for n, s in zip(SUMS, sums)}
+        pair.forget()
 
     kept = rows.schema["kept"]
     longs = [T.StructField(n, T.LongType()) for n in ("m", *SUMS)]
@@ -381,27 +393,42 @@ def spread(rows: DataFrame, heavy: pa.Table, byte_path: str, piece_path: str) ->
     return map_arrow(rows, run, schema)
 
 
+def shown_groups(at: list[np.ndarray], own: pa.ListArray, often: pa.Array) -> pa.Array:
+    """Each text's groups in order, in Arrow alone: one Python object for each frequent unit would fill a worker."""
+    ends = np.r_[0, np.cumsum([*map(len, at)])]
+    numbers = np.concatenate(at).astype(np.int64)
+    sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy().astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    parts = pc.split_pattern(own.flatten(), " ", max_splits=1)
+    place = np.empty(len(parts), np.int64)
+    place[np.repeat(first, sizes) + pc.list_element(parts, 0).cast(pa.int64()).to_numpy()] = np.arange(len(parts)) + len(often)
+    others = np.flatnonzero(numbers < 0)
+    numbers[others] = place[np.repeat(first, np.diff(ends))[others] - 1 - numbers[others]]
+    pool = pa.concat_arrays([often, pc.list_element(parts, 1).cast(often.type)])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pool.take(pa.array(numbers))), pa.scalar(";", pool.type))
+
+
 def joined_groups(rows: DataFrame, heavy: pa.Table, digest: bool) -> DataFrame:
     """kept, SUMS, and the groups of each text in order (or with digest, their SHA-256), from its numbers of units (at) and its own units' groups (own: texts of k, a space and the groups)."""
     table = rows.sparkSession.sparkContext.broadcast(heavy["groups"].combine_chunks())
     names = ["kept", *SUMS]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        often = np.array([g.encode() for g in table.value.to_pylist()], object)
+        often = table.value.cast(pa.large_string())
         for batch in batches:
-            out = []
-            for at, own in zip(batch.column("at"), batch.column("own")):
-                at = _unfolded(at.as_py())
-                groups = often[np.maximum(at, 0)] if len(often) else np.full(len(at), b"", object)
-                if own.is_valid:
-                    mine, others = np.full(len(own), b"", object), at < 0
-                    for x in own.as_py():
-                        k, _, g = x.partition(" ")
-                        mine[int(k)] = g.encode()
-                    groups[others] = mine[-1 - at[others]]
-                shown = b";".join(groups)
-                out.append((hashlib.sha256(shown).hexdigest() if shown else "") if digest else shown.decode())
-            yield {n: batch.column(n) for n in names} | {"shown": out}
+            lo, size, block = 0, 0, []
+            for k, x in enumerate(batch.column("at")):
+                block.append(_unfolded(x.as_py()))
+                size += len(block[-1])
+                if size < JOINED and k + 1 < batch.num_rows:
+                    continue
+                part = batch.slice(lo, len(block))
+                shown = shown_groups(block, part.column("own"), often)
+                if digest:
+                    shown = [hashlib.sha256(x.as_buffer()).hexdigest() if x.as_buffer().size else "" for x in shown]
+                yield {n: part.column(n) for n in names} | {"shown": shown}
+                lo, size, block = k + 1, 0, []
+        pa.default_memory_pool().release_unused()
 
     schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("shown", T.StringType())])
     return map_arrow(rows.select(*names, "at", "own"), run, schema)

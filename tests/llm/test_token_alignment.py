@@ -1,6 +1,7 @@
 """Alignments against the tokenizer libraries and plain loops."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import accumulate
 
@@ -132,3 +133,37 @@ def test_units_of_many_texts():
         assert sizes.tolist() == [*map(len, want[lo:hi])] and units.to_pylist() == sum(want[lo:hi], [])
     for numbers in ([], [0], [5, -1, 1 << 20, -70_000]):
         assert token_alignment._unfolded(token_alignment._folded(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def local_run(monkeypatch, step, *args):
+    """What a step does in a task, over batches that are handed to it here."""
+    with monkeypatch.context() as m:
+        m.setattr(token_alignment, "map_arrow", lambda rows, run, schema: run)
+        return step(*args)
+
+
+def test_workers_give_back_their_tables(spark, monkeypatch):
+    """A worker's tables end with their task, and frequent units are no Python objects: both filled executors."""
+    docs = table(spark, []).select("doc_id", "text")
+    run = local_run(monkeypatch, token_alignment.tokenise, docs, A, B)
+    batch = pa.RecordBatch.from_pydict({"kept": pa.array([{"doc_id": k} for k in range(3)]), "text": ["Some words, some words.", "other words here", None]})
+    assert len([*run(iter([batch, batch]))]) == 2
+    pair = token_alignment.token_pair(A, B)
+    assert not pair.often and not pair.once
+
+    n = 200_000
+    heavy = pa.table({"groups": [f"{k},{k}|{k}" for k in range(n)]})
+    schema = "kept struct<doc_id: long>, at binary, own array<string>, " + ", ".join(f"{s} long" for s in token_alignment.SUMS)
+    run = local_run(monkeypatch, token_alignment.joined_groups, spark.createDataFrame([], schema), heavy, False)
+    monkeypatch.setattr(token_alignment, "JOINED", 4, raising=False)
+    at = [[0, -1, -2, -1, n - 1], [1, 1], [], [-1]]
+    own = [["1 a b|c", "0 "], None, None, ["0 x|y"]]
+    batch = {"kept": pa.array([{"doc_id": k} for k in range(4)]), "at": [token_alignment._folded(np.array(x, np.int64)) for x in at], "own": pa.array(own, pa.list_(pa.string()))}
+    batch = pa.RecordBatch.from_pydict(batch | {s: [1, 2, 3, 4] for s in token_alignment.SUMS})
+    tracemalloc.start()
+    out = [*run(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    shown = [x for part in out for x in pa.array(part["shown"]).to_pylist()]
+    assert shown == [f"0,0|0;;a b|c;;{n - 1},{n - 1}|{n - 1}", "1,1|1;1,1|1", "", "x|y"]
+    assert peak < 12_000_000  # the broadcast itself takes 7

@@ -9,7 +9,8 @@ positions and the last piece is shortened. No merge queue over the text is neede
 Pieces of the vocabularies supported never hold a space mark behind another
 character, so a text falls apart before every run of spaces; this is verified when a
 model is loaded, and otherwise lines are encoded whole. Results of such units are
-kept in a bounded table.
+kept in a bounded table. A unit also falls apart before its closing stops if no piece
+holds the two characters that meet there.
 
 Defined results: a null or empty text gives only begin and end; characters outside
 the vocabulary give their byte pieces; ties between equal scores go to the left.
@@ -33,8 +34,9 @@ from .common import map_arrow
 from .merge_rules import Seams
 
 MARK = "▁"
-#: Units and their characters that a worker keeps of each table before it starts afresh; longer units are not kept.
-KEEP, KEEP_CHARS, LONGEST_KEPT = 200_000, 4_000_000, 64
+TAIL = ",.;:!?"
+#: Units and their characters that a worker keeps of each of two generations, and closing stops; longer units are not kept.
+KEEP, KEEP_CHARS, KEEP_TAILS, LONGEST_KEPT = 150_000, 3_000_000, 10_000, 64
 
 
 codecs.register_error("one_byte", lambda e: ("�", e.start + 1))
@@ -60,7 +62,7 @@ class PieceCodec:
         if self.unk >= 0:
             self.surface[self.unk] = " ⁇ ".encode()
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.by_letter = not any(re.search(r"[^\W\d_][,.;:!?]", p) for p in self.ids)
+        self.stops = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1) if p[k + 1] in TAIL}
         self.by_line = not any("\n" in p for p in self.ids)
         ranks = {p: -s for p, s in self.score.items()}
         self.seams = Seams(lambda x, y: ranks.get(x + y))
@@ -70,9 +72,12 @@ class PieceCodec:
         self.find.make_automaton()
         self.longest = max(map(len, self.ids))
         self.shorter: dict[str, str | None] = {}
-        self.marked: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.kept = {"marked": 0, "plain": 0}
+        self.newline = array("I", [self.byte_ids.get(10, self.unk)]).tobytes()
+        # packed ids of units: the older generation goes when the younger is full; what is met again passes to the younger
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.kept = 0
 
     def own(self, piece: str) -> bool:
         """Merging a piece's characters gives the piece."""
@@ -136,63 +141,77 @@ class PieceCodec:
     def _pack(self, text: str) -> bytes:
         return array("I", self.segment(text)).tobytes()
 
-    def _codes(self, units: list[str], mark: str) -> list[bytes]:
-        """Packed ids of units, from a bounded table of those met before; long ones are encoded each time they occur."""
-        name = "marked" if mark else "plain"
-        table = self.marked if mark else self.plain
-        new = set(units).difference(table)
-        long_ = {u: self._pack(mark + u) for u in new if len(u) > LONGEST_KEPT}
+    def _codes(self, units: list[str]) -> list[bytes]:
+        """Packed ids of units: "\\n..." is what it is, any other has a space in front."""
+        known = self.known
+        new = set(units).difference(known)
+        long_ = {u: self._unit(u) for u in new if len(u) > LONGEST_KEPT}
         new.difference_update(long_)
         size = sum(map(len, new))
-        if len(table) + len(new) > KEEP or self.kept[name] + size > KEEP_CHARS:
-            table.clear()
-            self.kept[name] = 0
+        if len(known) + len(new) > KEEP or self.kept + size > KEEP_CHARS:
+            self.older, self.known = known, {}
+            known = self.known
+            self.kept = 0
             new = {u for u in units if u not in long_}
             size = sum(map(len, new))
-        self.kept[name] += size
-        self._fill(table, new, mark)
-        if not long_:
-            return [*map(table.__getitem__, units)]
-        return [long_[u] if u in long_ else table[u] for u in units]
-
-    def _fill(self, table: dict[str, bytes], new: set[str], mark: str) -> None:
+        self.kept += size
+        older = self.older
         for u in new:
-            core = u.rstrip(",.;:!?") if self.by_letter else u
-            if core != u and core[-1:].isalpha():  # no piece joins a letter with what follows it here
-                if core not in table:
-                    table[core] = self._pack(mark + core)
-                tail = u[len(core) :]
-                if tail not in self.plain:
-                    self.plain[tail] = self._pack(tail)
-                table[u] = table[core] + self.plain[tail]
-            else:
-                table[u] = self._pack(mark + u)
+            got = older.get(u)
+            known[u] = self._unit(u) if got is None else got
+        if not long_:
+            return [*map(known.__getitem__, units)]
+        return [long_[u] if u in long_ else known[u] for u in units]
+
+    def _unit(self, unit: str) -> bytes:
+        core = unit.rstrip(TAIL)
+        k = len(core)
+        if not core or k == len(unit) or unit[0] == "\n" and k == 1 or unit[k - 1 : k + 1] in self.stops:
+            return self._whole(unit)
+        got = self.known.get(core)
+        if got is None:
+            got = self.older.get(core)
+            got = self._whole(core) if got is None else got
+            if k <= LONGEST_KEPT:
+                self.known[core] = got
+                self.kept += k
+        tail = self.tails.get(unit[k:])
+        if tail is None:
+            if len(self.tails) > KEEP_TAILS:
+                self.tails.clear()
+            tail = self._pack(unit[k:])
+            if len(unit) - k <= LONGEST_KEPT:
+                self.tails[unit[k:]] = tail
+        return got + tail
+
+    def _whole(self, unit: str) -> bytes:
+        return self._pack(MARK + unit) if unit[0] != "\n" else self.newline + self._pack(unit[1:]) if len(unit) > 1 else self.newline
 
     def encode(self, text: str | None, begin: bool = True, end: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out = [array("I", [self.bos]).tobytes()] if begin else []
-        if text:
-            newline = array("I", [self.byte_ids.get(10, self.unk)]).tobytes()
+        if text and self.by_word and self.by_line and text[0] not in " \n" and text[-1] != " " and not any(x in text for x in (MARK, "  ", " \n")):
+            out += self._codes(text.replace("\n", " \n").split(" "))
+        elif text:
             for k, line in enumerate(text.split("\n") if self.by_line else [text]):
-                if k:
-                    out.append(newline)
-                elif text[0] == "\n":
+                if not k and text[0] == "\n":
                     out.append(self._pack(MARK))
-                    continue
-                if not line:
-                    continue
-                if not self.by_word or MARK in line or "  " in line or line[-1] == " ":
+                elif not line:
+                    out.append(self.newline)
+                elif not self.by_word or MARK in line or "  " in line or line[-1] == " ":
+                    if k:
+                        out.append(self.newline)
                     marked = MARK * (not k) + line.replace(" ", MARK)
                     for unit in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", marked) if self.by_word else [marked]:
                         out.append(self._pack(unit))
-                    continue
-                units = line.split(" ")
-                if k or not units[0]:  # the line begins a text with a space, or has no mark of its own
-                    head = (MARK if not k else "") + (MARK + units[1] if not units[0] else units[0])
-                    units = units[1 + (not units[0]) :]
-                    out += self._codes([head], "")
-                if units:
-                    out += self._codes(units, MARK)
+                else:
+                    units = line.split(" ")
+                    if k:
+                        units[0] = "\n" + units[0]
+                    elif not units[0]:
+                        out.append(self._pack(MARK + MARK + units[1]))
+                        del units[:2]
+                    out += self._codes(units)
         if end:
             out.append(array("I", [self.eos]).tobytes())
         return b"".join(out)

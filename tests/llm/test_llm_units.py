@@ -211,3 +211,24 @@ def test_ngram_counts():
     assert lang_centroid.ngram_counts(None).sum() == lang_centroid.ngram_counts("").sum()
     with pytest.raises(ValueError):
         token_transducer.CountingTransducer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_frequent_pieces_outlive_a_full_table(monkeypatch):
+    own, library = piece_bpe.PieceCodec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(piece_bpe, "KEEP", 60)
+    seen, segment = [], own.segment
+    monkeypatch.setattr(own, "segment", lambda text: seen.append(text) or segment(text))
+    texts = [f"frequent words, frequent! {' '.join(f'rare{k}x{n}' for n in range(8))}\nlines begin,\nwords\n\n end" for k in range(60)]
+    assert [np.frombuffer(own.encode(t), "<u4").tolist()[1:-1] for t in texts] == [library.encode(t) for t in texts]
+    assert seen.count("▁frequent") == 1 and seen.count("▁words") == 1 and seen.count("lines") == 1 and seen.count("words") == 1
+    assert max(len(own.known), len(own.older)) <= 66  # stems that stand before stops are added
+
+
+def test_stops_behind_units():
+    """Units are cut before their stops, and texts into units, only where no piece reaches across."""
+    own, library = piece_bpe.PieceCodec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pick = random.Random(3)
+    bits = ["a", "word", "Word,", "x.", ".", ",", ";:", "!?", " ", "  ", "\n", "\n\n", " \n", "\n ", "▁", "é", "中", "1", "2,", "...", "\t", "\0", "s,", ").", "z" * 70 + ",", "." * 70]
+    for _ in range(3000):
+        text = "".join(pick.choices(bits, k=pick.randint(1, 14)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist()[1:-1] == library.encode(text), text

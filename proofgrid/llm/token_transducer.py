@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from .common import map_arrow
 from .merge_rules import Seams
 
-#: Units and their characters whose counts a worker keeps, and compiled states, before it starts afresh; longer units are not kept.
-KEEP_UNITS, KEEP_CHARS, LONGEST_KEPT, KEEP_STATES = 200_000, 4_000_000, 64, 100_000
+#: Units (and words) and their characters whose counts a worker keeps of each generation; longer units are not kept. Compiled states, before it starts afresh.
+KEEP_UNITS, KEEP_CHARS, LONGEST_KEPT, KEEP_STATES = 250_000, 5_000_000, 64, 150_000
 #: Characters of a chunk; longer texts are composed from the maps of their chunks.
 CHUNK = 1 << 16
 #: Added to a byte's letter to give the symbol of a word's last byte.
@@ -79,8 +79,12 @@ class CountingTransducer:
         self.letters = byte_letters()
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.added = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
+        # of two generations of each table the older goes when the younger is full; what is met again passes to the younger
         self.counts: dict[str, int] = {}
-        self.kept = 0
+        self.older: dict[str, int] = {}
+        self.words_met: dict[str, int] = {}
+        self.older_words: dict[str, int] = {}
+        self.kept = self.kept_words = 0
         self._reset()
 
     # States: (the ending that begins a token, the last tokens and relative counts at its places)
@@ -147,10 +151,25 @@ class CountingTransducer:
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
             if not text.isascii():
                 text = text.translate(YOUNG)
+            met = self.words_met
             for word in self.words.findall(text):
-                total += self.count_word(word)
+                n = met.get(word)
+                total += self._word(word) if n is None else n
         return total
 
+    def _word(self, word: str) -> int:
+        """Tokens of a word that this generation hasn't met."""
+        if len(word) > LONGEST_KEPT:
+            return self.count_word(word)
+        n = self.older_words.get(word)
+        if n is None:
+            n = self.count_word(word)
+        self.kept_words += len(word)
+        if len(self.words_met) >= KEEP_UNITS or self.kept_words > KEEP_CHARS:
+            self.older_words, self.words_met, self.kept_words = self.words_met, {}, len(word)
+        self.words_met[word] = n
+        return n
+
     def count_units(self, units: list[str]) -> int:
         counts = self.counts
         new = set(units).difference(counts)
@@ -161,12 +180,15 @@ class CountingTransducer:
             new -= long_
         size = sum(map(len, new))
         if len(counts) + len(new) > KEEP_UNITS or self.kept + size > KEEP_CHARS:
-            counts.clear()
+            self.older, self.counts = counts, {}
+            counts = self.counts
             self.kept, new = 0, set(units)
             size = sum(map(len, new))
         self.kept += size
+        older = self.older
         for u in new:
-            counts[u] = self.count_unit(u)
+            n = older.get(u)
+            counts[u] = self.count_unit(u) if n is None else n
         return total + sum(map(counts.__getitem__, units))
 
     def count(self, text: str | None, chunk: int = CHUNK) -> int:

@@ -213,6 +213,18 @@ def test_ngram_counts():
         token_transducer.CountingTransducer(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_frequent_units_outlive_a_full_table(monkeypatch):
+    """What is met again and again is counted once, and a word once whatever stops stand behind it, however many rare units fill the table."""
+    own, library = token_transducer.CountingTransducer(WORDS), Tokenizer.from_file(WORDS)
+    monkeypatch.setattr(token_transducer, "KEEP_UNITS", 60)
+    seen, walk = [], own.count_word
+    monkeypatch.setattr(own, "count_word", lambda word: seen.append(word) or walk(word))
+    texts = [f"frequent words, Frequent! {' '.join(f'rare{k}x{n}' for n in range(8))} words end" for k in range(60)]
+    assert [own.count(t) for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert seen.count("frequent") == 1 and seen.count("words") == 1
+    assert max(len(own.counts), len(own.older), len(own.words_met), len(own.older_words)) <= 60
+
+
 def test_frequent_pieces_outlive_a_full_table(monkeypatch):
     own, library = piece_bpe.PieceCodec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     monkeypatch.setattr(piece_bpe, "KEEP", 60)

@@ -1,14 +1,17 @@
-"""Exact nearest names at scale: inverted indexes whose bounds prove that nothing better was missed.
+"""Exact nearest names at scale: searches whose bounds prove that nothing better was missed.
 
-Two texts at edit distance d of at most D share, if one of them is cut into D + 1 segments,
+Queries of up to 63 characters that no condition limits meet all entries, block by block. The
+longest common subsequence of two texts, by bit vectors over all queries of a block at once,
+rules most pairs out, as two entries at least as near are known; the distances of the others are computed.
+
+For the other queries: two texts at edit distance d of at most D share, if one of them is cut into D + 1 segments,
 at least one segment, and within the other text that segment can only have been moved by as
 many places as there are edits left or right of it. So the segments of all entries, keyed by
 length, D, place and text, and the few substrings of a query that can match them meet in an
 equality join. A round of the search at a similarity finds all entries that are at least
 that similar. A query with two such entries is done, as no entry it hasn't met can beat or
-equal its second best; the others go on to a lower similarity. What is then left meets all
-entries, block by block, with distances by bit vectors of up to 63 characters; longer
-queries, and those that a condition limits, meet the entries whose length alone doesn't rule them out.
+equal its second best; the others go on to a lower similarity. What is then left meets the
+entries whose length alone doesn't rule them out.
 
 Texts that contain each other are found by the rarest 5-gram of the inner one.
 """
@@ -31,8 +34,10 @@ ROUNDS = (85, 75)
 SEEDS, PARTS = 256, 16
 #: How tables of keys and of pairs are joined: Spark takes a text's many keys for no larger than the text, and would send them all through the driver to broadcast them.
 SHUFFLED = "merge"
-#: Characters of a query whose distances are computed by bit vectors; queries and entries of a block.
-BITS, BLOCK = 63, 8192
+#: Characters of a query whose distances are computed by bit vectors; queries and entries of a block; one of so many blocks of entries gives first bounds.
+BITS, BLOCK, FIRST = 63, 16384, 8
+#: Entries whose common subsequences are looked at together, pairs measured at once, bytes of the subsequences on the way to an entry.
+LOOK, PAIRS, TILE_BYTES = 1024, 1 << 17, 64 << 20
 
 
 def _span(lo: Column, hi: Column) -> Column:
@@ -104,67 +109,186 @@ def near(queries: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     return met.where((F.abs(m - n) <= most) & (F.levenshtein("query", "norm") <= most)).select("qid", "eid").distinct()
 
 
-def _nearest_in_block(queries: list[str], entries: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distances(masks: np.ndarray, m: np.ndarray, codes: np.ndarray, n: np.ndarray, query: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs, all at once by bit vectors: masks (letter, query), codes (place, entry), m and n the lengths."""
+    order = np.argsort(-n[entry], kind="stable")
+    query, entry = query[order], entry[order]
+    word, flat, width = masks.dtype.type, masks.ravel(), masks.shape[1]
+    one, last, left = word(1), (m[query] - 1).astype(word), n[entry]
+    plus, minus, far = np.full(len(query), np.iinfo(word).max, word), np.zeros(len(query), word), m[query].astype(np.int32)
+    for at, size in enumerate(np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")):  # pairs whose entry is longer than each place
+        eq, p, q, end = flat.take(codes[at].take(entry[:size]) * width + query[:size]), plus[:size], minus[:size], last[:size]
+        across = (((eq & p) + p) ^ p) | eq
+        up, down = q | ~(across | p), p & across
+        far[:size] += ((up >> end) & one).astype(np.int32) - ((down >> end) & one).astype(np.int32)
+        up, eq = (up << one) | one, eq | q
+        plus[:size], minus[:size] = (down << one) | ~(eq | up), up & eq
+    out = np.empty_like(far)
+    out[order] = far
+    return out
+
+
+class _Two:
+    """The two largest values seen of each query."""
+
+    def __init__(self, n: int) -> None:
+        self.best = np.full((2, n), -1.0)
+
+    def add(self, query: np.ndarray, value: np.ndarray) -> None:
+        order = np.lexsort((-value, query))
+        query, value = query[order], value[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.array([], np.intp)
+        second = first[(first + 1 < len(query)) & (query[np.minimum(first + 1, len(query) - 1)] == query[first])] + 1 if len(query) else first
+        for rows in (first, second):
+            q, v = query[rows], value[rows]
+            high, low = self.best[:, q]
+            self.best[:, q] = np.maximum(high, v), np.maximum(low, np.minimum(high, v))
+
+
+def _nearest_in_block(queries: list[str], entries: list[str], least: np.ndarray | None = None, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, entry, similarity by edit distance, bound): for each query the entries that may be among its two best or tie with them.
 
-    bound is a similarity that two entries of the block have at least. Where the distance is the
-    difference in length one text may contain the other and so be worth a tenth less.
+    bound is a similarity that two entries have at least, here or, as least says, elsewhere. Where
+    the distance is the difference in length one text may contain the other and so be worth a tenth
+    less. Not whole: only a bound, one row for each query, from the entries that look nearest.
+
+    The longest common subsequence of a query and an entry, which costs a third of a distance and is
+    computed for all queries at once along the letters of the sorted entries (a beginning that
+    entries share once), rules out most pairs: a distance is at least the longer length less it.
     """
-    sizes = np.fromiter(map(len, entries), np.int64, len(entries))
-    order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    letters, codes = np.unique(np.frombuffer("".join(entries[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-    row = np.repeat(np.arange(len(entries)), sizes)
-    table = np.zeros((int(sizes[0]), len(entries)), np.intp)
-    table[np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row] = codes
-    open_ = np.searchsorted(-sizes, -np.arange(len(table)), side="left")  # entries longer than each place
-    place = {chr(c): i for i, c in enumerate(letters.tolist())}
-    out: list[tuple[np.ndarray, ...]] = []
-    for number, query in enumerate(queries):
-        m = len(query)
-        word, signed = (np.uint32, np.int32) if m < 32 else (np.uint64, np.int64)
-        masks = [0] * len(letters)
-        for i, c in enumerate(query):
-            if c in place:
-                masks[place[c]] |= 1 << i
-        equal, last = np.array(masks, word), word(m - 1)
-        one = word(1)
-        plus, minus, far = np.full(len(entries), np.iinfo(word).max, word), np.zeros(len(entries), word), np.full(len(entries), m, signed)
-        for at, n in zip(table, open_):
-            eq, p, q = equal[at[:n]], plus[:n], minus[:n]
-            across = (((eq & p) + p) ^ p) | eq
-            up, down = q | ~(across | p), p & across
-            far[:n] += ((up >> last) & one).view(signed)
-            far[:n] -= ((down >> last) & one).view(signed)
-            up, eq = (up << one) | one, eq | q
-            plus[:n], minus[:n] = (down << one) | ~(eq | up), up & eq
-        alike = 1 - far / np.maximum(sizes, m)
-        least = np.where(far == np.abs(sizes - m), 0.9 * alike, alike)
-        bound = np.partition(least, -2)[-2] if len(least) > 1 else -1.0
-        hit = np.flatnonzero(alike >= bound - 1e-6)
-        out.append((np.full(len(hit), number), order[hit], alike[hit], np.full(len(hit), bound)))
+    order = np.array(sorted(range(len(entries)), key=entries.__getitem__))
+    n = np.fromiter((len(entries[i]) for i in order), np.int64, len(entries))
+    text = lambda xs: np.frombuffer("".join(xs).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, letter = np.unique(text(entries[i] for i in order), return_inverse=True)
+    row = np.repeat(np.arange(len(n)), n)
+    codes = np.full((int(n.max()), len(n)), -1, np.int32)
+    codes[np.arange(len(letter)) - np.repeat(np.cumsum(n) - n, n), row] = letter
+    shared = np.minimum(n, np.r_[0, np.logical_and.accumulate(codes[:, 1:] == codes[:, :-1]).sum(axis=0)])
+    paths = [codes[k:size, i].tolist() for i, (k, size) in enumerate(zip(shared.tolist(), n.tolist()))]
+    every = np.fromiter(map(len, queries), np.int64, len(queries))
+    least = np.full(len(queries), -1.0) if least is None else least
+    tile = int(max(256, min(BLOCK, TILE_BYTES // (8 * len(codes)))))
+    out = []
+    for word, fits in ((np.uint32, every < 32), (np.uint64, every >= 32)):
+        chosen = np.flatnonzero(fits)
+        for own in (chosen[i : i + tile] for i in range(0, len(chosen), tile)):
+            m = every[own]
+            masks, asked = np.zeros((len(letters), len(own)), word), text(queries[i] for i in own)
+            who, place = np.repeat(np.arange(len(own)), m), np.arange(len(asked)) - np.repeat(np.cumsum(m) - m, m)
+            code = np.minimum(np.searchsorted(letters, asked), len(letters) - 1)
+            for at in range(int(m.max())):
+                here = (place == at) & (letters[code] == asked)
+                masks[code[here], who[here]] |= word(1 << at)
+            i, j, alike, bound = _nearest_in_tile(masks, m, codes, n, shared, paths, least[own], whole)
+            out.append((own[i], order[j], alike, bound))
     return tuple(map(np.concatenate, zip(*out)))
 
 
+def _nearest_in_tile(masks: np.ndarray, m: np.ndarray, codes: np.ndarray, n: np.ndarray, shared: np.ndarray, paths: list[list[int]], least: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_nearest_in_block for queries as masks and sorted entries as codes, of which each follows its path from what it shares with the one before."""
+    word, count, bits = masks.dtype.type, len(m), masks.dtype.itemsize * 8
+    full = [np.full(count, np.iinfo(word).max, word)]
+    both, rows = np.empty(count, word), np.empty((LOOK, count), np.uint8)
+    picked, exact, bound, limits = _Two(count), _Two(count), least.copy(), {}
+    blind = not whole or bool((least < 0).any())
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def measured(query: np.ndarray, entry: np.ndarray, two: _Two) -> np.ndarray:
+        far, size = _distances(masks, m, codes, n, query, entry), np.maximum(m[query], n[entry])
+        alike = 1 - far / size
+        two.add(query, np.where(far == np.abs(m[query] - n[entry]), 0.9 * alike, alike))
+        np.maximum(bound, two.best[1], out=bound)
+        limits.clear()
+        return alike
+
+    def settle() -> None:
+        query, entry = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        alike = measured(query, entry, exact)
+        good = alike >= bound[query] - 1e-6
+        kept.append((query[good], entry[good], alike[good]))
+
+    def limit(size: int) -> np.ndarray:
+        """Most bits that an entry of a size which may be good enough leaves of each query."""
+        longer = np.maximum(m, size)
+        return np.clip(bits - longer + np.floor((1 - bound + 1e-6) * longer), 0, bits).astype(np.uint8)
+
+    for start in range(0, len(n), LOOK):
+        end = min(start + LOOK, len(n))
+        for k in range(start, end):
+            depth = int(shared[k])
+            for code in paths[k]:
+                if depth + 1 == len(full):
+                    full.append(np.empty(count, word))
+                was, now = full[depth], full[depth + 1]
+                np.bitwise_and(was, masks[code], out=both)
+                np.add(was, both, out=now)
+                np.subtract(was, both, out=both)
+                np.bitwise_or(now, both, out=now)
+                depth += 1
+            np.bitwise_count(full[depth], out=rows[k - start])
+        half = (start + end) // 2
+        for lo, hi in ((start, half), (half, end)):
+            if lo < hi and blind:  # the entry with the longest subsequence gives a bound before anything is ruled out
+                measured(np.arange(count), rows[lo - start : hi - start].argmin(axis=0) + lo, picked)
+        if not whole:
+            continue
+        held = 0
+        for k in range(start, end):
+            size = int(n[k])
+            if size not in limits:
+                limits[size] = limit(size)
+            hit = np.flatnonzero(rows[k - start] <= limits[size])
+            if len(hit):
+                waiting.append((hit, np.full(len(hit), k)))
+                held += len(hit)
+                if held >= PAIRS:
+                    settle()
+                    held = 0
+        if waiting:
+            settle()
+    if not whole:
+        return np.arange(count), np.zeros(count, np.intp), bound, bound
+    query, entry, alike = (np.concatenate(x) for x in zip(*kept)) if kept else (np.array([], np.intp), np.array([], np.intp), np.array([]))
+    good = alike >= bound[query] - 1e-6
+    return query[good], entry[good], alike[good], bound[query[good]]
+
+
 def nearest_of_all(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """(qid, eid): every (qid, query) of up to BITS characters with each (eid, norm) that may be among its two best by edit distance, ties included.
 
-    Both sides are dealt into blocks, and each block of queries meets each block of entries in a task.
+    Both sides are dealt into blocks, and each block of queries meets each block of entries in a
+    task; before that it meets FIRST of the blocks of entries only for a bound, so that all blocks rule out more.
     """
     parts = [max(1, -(-df.count() // BLOCK)) for df in (queries, entries)]
-    dealt = lambda df, key, n, own, other, m: df.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))}).groupBy("_q", "_e")
-    asked, offered = dealt(queries.select("qid", "query"), "qid", parts[0], "_q", "_e", parts[1]), dealt(entries.select("eid", "norm"), "eid", parts[1], "_e", "_q", parts[0])
     kinds = [dict(queries.dtypes)["qid"], dict(entries.dtypes)["eid"]]
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        q, e = a.column("qid").combine_chunks(), b.column("eid").combine_chunks()
-        if not len(q) or not len(e):
-            return pa.table({"qid": q[:0], "eid": e[:0], "alike": pa.array([], pa.float64()), "bound": pa.array([], pa.float64())})
-        i, j, alike, bound = _nearest_in_block(a.column("query").to_pylist(), b.column("norm").to_pylist())
-        return pa.table({"qid": q.take(pa.array(i)), "eid": e.take(pa.array(j)), "alike": alike, "bound": bound})
-
-    met = asked.cogroup(offered).applyInArrow(run, f"qid {kinds[0]}, eid {kinds[1]}, alike double, bound double")
-    return met.withColumn("bound", F.max("bound").over(Window.partitionBy("qid"))).where(F.col("alike") >= F.col("bound") - 1e-6).select("qid", "eid")
+    dealt = lambda df, key, n, own, other, m: df.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+
+    def met(asked: DataFrame, most: int, whole: bool) -> DataFrame:
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            q, e = a.column("qid").combine_chunks(), b.column("eid").combine_chunks()
+            if not len(q) or not len(e):
+                return pa.table({"qid": q[:0], "eid": e[:0], "alike": pa.array([], pa.float64()), "bound": pa.array([], pa.float64())})
+            i, j, alike, bound = _nearest_in_block(a.column("query").to_pylist(), b.column("norm").to_pylist(), a.column("bound").to_numpy(), whole)
+            return pa.table({"qid": q.take(pa.array(i)), "eid": e.take(pa.array(j)), "alike": alike, "bound": bound})
+
+        # more partitions than pairs of blocks: these are few and take long, and several may hash to one
+        n = min(4 * parts[0] * most, max(1000, parts[0] * most))
+        left = dealt(asked, "qid", parts[0], "_q", "_e", most).repartition(n, "_q", "_e")
+        right = dealt(entries.select("eid", "norm"), "eid", parts[1], "_e", "_q", parts[0]).where(F.col("_e") < most).repartition(n, "_q", "_e")
+        return left.groupBy("_q", "_e").cogroup(right.groupBy("_q", "_e")).applyInArrow(run, f"qid {kinds[0]}, eid {kinds[1]}, alike double, bound double")
+
+    asked, first = queries.select("qid", "query").withColumn("bound", F.lit(-1.0)), -(-parts[1] // FIRST)
+    if first < parts[1]:
+        bounds = met(asked, first, False).groupBy("qid").agg(F.max("bound").alias("bound"))
+        asked = stage(queries.select("qid", "query").join(bounds.hint(SHUFFLED), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0))), "bounds")
+    close = stage(met(asked, parts[1], True), "near in blocks")
+    best = close.groupBy("qid").agg(F.max("bound").alias("_bound"))
+    out = stage(close.join(best.hint(SHUFFLED), "qid").where(F.col("alike") >= F.col("_bound") - 1e-6).select("qid", "eid"), "nearest pairs")
+    discard(asked, close)
+    return out
 
 
 def best_two(queries: DataFrame, entries: DataFrame, within: Column | None = None, needed: Column | None = None, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
@@ -184,6 +308,13 @@ def best_two(queries: DataFrame, entries: DataFrame, within: Column | None = Non
 
     inside = containing(e, q, "norm", "query").select("qid", "eid").unionByName(containing(q, e, "query", "norm").select("qid", "eid"))
     found, left = stage(scored(inside.distinct()), "contained"), queries
+    if within is None:
+        # segments short enough for a second entry meet more pairs, and cost more each, than blocks do
+        more = scored(nearest_of_all(left.where(F.length("query").between(1, BITS)), e).join(found.hint(SHUFFLED), ["qid", "eid"], "left_anti"))
+        found = stage(found.unionByName(more), "nearest of all")
+        left = stage(left.where(~F.length("query").between(1, BITS)), "long queries")
+        if left.isEmpty():
+            return found
     for percent in rounds:
         more = scored(near(left.select("qid", "query"), e, percent).join(found.hint(SHUFFLED), ["qid", "eid"], "left_anti"))
         found = stage(found.unionByName(more), "near")
@@ -191,12 +322,6 @@ def best_two(queries: DataFrame, entries: DataFrame, within: Column | None = Non
         left = stage(left.join(done, "qid", "left").where(F.coalesce("_n", F.lit(0)) < F.col("_needed")).drop("_n"), "open queries")
         if left.isEmpty():
             return found
-    if within is None:
-        more = scored(nearest_of_all(left.where(F.length("query").between(1, BITS)), e).join(found.hint(SHUFFLED), ["qid", "eid"], "left_anti"))
-        found = stage(found.unionByName(more), "nearest of all")
-        left = stage(left.where(~F.length("query").between(1, BITS)), "long queries")
-        if left.isEmpty():
-            return found
     # some entries, so that every query has a second best that rules lengths and pairs out
     some = [r["eid"] for r in e.select("eid").limit(SEEDS).collect()]
     seeds = left.select("qid", F.explode(F.array(*map(F.lit, some)) if some else F.array().cast("array<bigint>")).alias("eid"))

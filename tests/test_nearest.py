@@ -85,6 +85,38 @@ def test_blocks_give_every_pair_that_may_be_among_the_two_best():
             assert s < sorted(want)[-2] or (a, b) in got
 
 
+def test_blocks_measure_few_of_the_pairs(monkeypatch):
+    """Common subsequences and bounds found elsewhere rule most pairs out, and none of the two nearest."""
+    rng = random.Random(9)
+    entries = [x.replace(" ", "") for x in names(3000, 4, (3, 4))]
+    queries = [noisy(rng, rng.choice(entries))[:31] for _ in range(60)]
+    measured = []
+    monkeypatch.setattr(nearest, "_distances", lambda *a, of=nearest._distances: measured.append(len(a[4])) or of(*a))
+    want = {}
+    for a, b, s in zip(*nearest._nearest_in_block(queries, entries)[:3]):
+        want.setdefault(int(a), {})[entries[b]] = s
+    measured.clear()
+    i, _, _, bound = nearest._nearest_in_block(queries, entries[: len(entries) // 2], whole=False)
+    assert i.tolist() == list(range(len(queries))) and all(sorted(want[k].values())[-2] >= b - 1e-6 for k, b in zip(i.tolist(), bound.tolist()))
+    got = {}
+    for a, b, s in zip(*nearest._nearest_in_block(queries, entries, bound)[:3]):
+        got.setdefault(int(a), {})[entries[b]] = s
+    assert sum(measured) < 0.1 * len(queries) * len(entries)
+    assert all(got[k] == want[k] for k in want)
+
+
+def test_names_without_a_pool_meet_blocks_not_segments(spark, monkeypatch):
+    """Queries whose second entry is far made more pairs of keys than there are pairs of texts."""
+    monkeypatch.setattr(nearest, "near", lambda *a: pytest.fail("segments of all entries"))
+    monkeypatch.setattr(nearest, "BLOCK", 64)
+    rng = random.Random(13)
+    entries = names(600, 8)
+    q = spark.createDataFrame([(i, noisy(rng, rng.choice(entries))) for i in range(150)], "id int, t string")
+    c = spark.createDataFrame([(e,) for e in entries], "name string")
+    whole, index = ({r["id"]: tuple(r) for r in resolve.match(q, c, "id", "t", "name", few=few).collect()} for few in (10_000, 0))
+    assert len(whole) == 150 and whole == index
+
+
 def test_few_entries_and_few_queries(spark):
     c = spark.createDataFrame([("granite hound",), ("granite hounds",)], "name string")
     q = spark.createDataFrame([(1, "granite houndz"), (2, "hound"), (3, "nothing alike")], "id int, t string")

@@ -152,7 +152,7 @@ def _nearest_in_block(queries: list[str], entries: list[str], least: np.ndarray
     the distance is the difference in length one text may contain the other and so be worth a tenth
     less. Not whole: only a bound, one row for each query, from the entries that look nearest.
 
-    The longest common subsequence of a query and an entry, which costs a third of a distance and is
+    The longest common subsequence of a query and an entry, which costs far less than a distance and is
     computed for all queries at once along the letters of the sorted entries (a beginning that
     entries share once), rules out most pairs: a distance is at least the longer length less it.
     """
@@ -309,7 +309,7 @@ def best_two(queries: DataFrame, entries: DataFrame, within: Column | None = Non
     inside = containing(e, q, "norm", "query").select("qid", "eid").unionByName(containing(q, e, "query", "norm").select("qid", "eid"))
     found, left = stage(scored(inside.distinct()), "contained"), queries
     if within is None:
-        # segments short enough for a second entry meet more pairs, and cost more each, than blocks do
+        # segments short enough to find a second entry have three or four characters of a name of twenty, which very many entries share
         more = scored(nearest_of_all(left.where(F.length("query").between(1, BITS)), e).join(found.hint(SHUFFLED), ["qid", "eid"], "left_anti"))
         found = stage(found.unionByName(more), "nearest of all")
         left = stage(left.where(~F.length("query").between(1, BITS)), "long queries")

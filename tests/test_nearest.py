@@ -106,7 +106,7 @@ def test_blocks_measure_few_of_the_pairs(monkeypatch):
 
 
 def test_names_without_a_pool_meet_blocks_not_segments(spark, monkeypatch):
-    """Queries whose second entry is far made more pairs of keys than there are pairs of texts."""
+    """Short queries are not cut into keys of a few characters that very many entries share."""
     monkeypatch.setattr(nearest, "near", lambda *a: pytest.fail("segments of all entries"))
     monkeypatch.setattr(nearest, "BLOCK", 64)
     rng = random.Random(13)
